@@ -155,3 +155,39 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> list[np.ndarr
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def pack_ints(values: np.ndarray) -> bytes:
+    """An integer array by byte planes, compressed."""
+    import zstandard
+
+    width = values.dtype.itemsize
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T).tobytes())
+
+
+def unpack_ints(packed: bytes, dtype) -> np.ndarray:
+    import zstandard
+
+    dtype = np.dtype(dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(dtype.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending unsigned 64-bit keys by their differences."""
+    return pack_ints(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack_ints(packed, np.uint64), dtype=np.uint64)
+
+
+def merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with their summed counts."""
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    return key[heads], np.add.reduceat(count, heads) if len(heads) else np.zeros(0, np.int64)

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import op1_minhash_lsh_forest
 from .mixing import OP9_SQL, op9_hash_threshold_mixing
+from .quality import op4_distribution_divergence
 from .packing import op2_best_fit_packing
 from .sharding import op8_vector_bin_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_lsh_forest, op2_best_fit_packing, op8_vector_bin_sharding, op9_hash_threshold_mixing)
+    for f in (op1_minhash_lsh_forest, op2_best_fit_packing, op4_distribution_divergence, op8_vector_bin_sharding, op9_hash_threshold_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_hash_threshold_mixing": OP9_SQL}
