@@ -11,10 +11,11 @@ from .mixing import OP9_SQL, op9_hash_threshold_mixing
 from .quality import op4_distribution_divergence
 from .packing import op2_best_fit_packing
 from .sharding import op8_vector_bin_sharding
+from .suffix import op5_suffix_merge_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_lsh_forest, op2_best_fit_packing, op4_distribution_divergence, op8_vector_bin_sharding, op9_hash_threshold_mixing)
+    for f in (op1_minhash_lsh_forest, op2_best_fit_packing, op4_distribution_divergence, op5_suffix_merge_dedup, op8_vector_bin_sharding, op9_hash_threshold_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_hash_threshold_mixing": OP9_SQL}
