@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lm import op6_deleted_interpolation
 from .minhash import op1_minhash_lsh_forest
 from .mixing import OP9_SQL, op9_hash_threshold_mixing
 from .quality import op4_distribution_divergence
@@ -15,7 +16,7 @@ from .suffix import op5_suffix_merge_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_lsh_forest, op2_best_fit_packing, op4_distribution_divergence, op5_suffix_merge_dedup, op8_vector_bin_sharding, op9_hash_threshold_mixing)
+    for f in (op1_minhash_lsh_forest, op2_best_fit_packing, op4_distribution_divergence, op5_suffix_merge_dedup, op6_deleted_interpolation, op8_vector_bin_sharding, op9_hash_threshold_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_hash_threshold_mixing": OP9_SQL}
