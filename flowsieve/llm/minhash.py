@@ -6,9 +6,9 @@ crowded the region is, since sorting brings the longest common prefixes together
 full shingle sets, and links form components.
 
 A crowded region holds more pairs than neighbours. Pairs inside one component no longer
-matter, so the rest is settled exactly: in regions that still hold several components, the documents outside the
-region's largest component are compared by signature with all of the region, in blocks, and the likely pairs of different components
-are confirmed like the others.
+matter, so the rest is settled exactly. In regions that still hold several components, signatures say in blocks which components may
+be linked; these form clusters. In a cluster every document outside the largest component is held against all of its
+documents, in blocks, by an inverted index over full shingle sets.
 
 Equal shingle sets are one node from the start (a 128-bit digest of the set), so that copies cost one row each.
 """
@@ -181,37 +181,97 @@ def _short(trees: int, depth: int):
     return run
 
 
-def _across(least: float):
-    """Pairs of different components in a block of a region whose short signatures agree on a share `least`: its probes against its members."""
+def _groups(batches: Iterator[pa.RecordBatch], settle) -> Iterator[pa.RecordBatch]:
+    """Rows (key, mb, pb, probe, ...) in order of the first three: settle(probes, members) gives pairs for each group."""
+    at, probes, members = None, [], []
 
-    def settle(probes: list, members: list) -> tuple[np.ndarray, np.ndarray]:
-        pid, pc, ps = (np.array([p[i] for p in probes]) for i in range(3))
-        mid, mc, ms = (np.array([m[i] for m in members]) for i in range(3))
-        ps, ms = (np.stack([np.frombuffer(s, np.uint8) for s in x]) for x in ([p[2] for p in probes], [m[2] for m in members]))
-        a, b = [], []
-        for i in range(len(pid)):
-            hit = (mc != pc[i]) & ((ms == ps[i]).mean(1) >= least)
-            b.append(mid[hit])
-            a.append(np.full(len(b[-1]), pid[i]))
-        return np.concatenate(a), np.concatenate(b)
+    def done():
+        if probes and members:
+            pairs = settle(probes, members)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, probes, members = None, [], []
-
-        def done():
-            if probes and members:
-                a, b = settle(probes, members)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            for region, block, probe, rep, comp, low in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if (region, block) != at:
-                    yield from done()
-                    at, probes, members = (region, block), [], []
-                (probes if probe else members).append((rep, comp, low))
-        yield from done()
-
-    return run
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:3] != at:
+                yield from done()
+                at, probes, members = row[:3], [], []
+            (probes if row[3] else members).append(row[4:])
+    yield from done()
+
+
+def _likely(least: float):
+    """Pairs of components of which a probe and a member have short signatures that agree on a share `least`."""
+
+    def settle(probes: list, members: list) -> list[tuple[int, int]]:
+        comps = np.array([m[1] for m in members])
+        low = np.frombuffer(b"".join(m[2] for m in members), np.uint8).reshape(len(members), -1)
+        pairs, known = set(), {}
+        for _, comp, sig in probes:
+            near = ((low == np.frombuffer(sig, np.uint8)).sum(1) >= least * low.shape[1]) & (comps != comp)
+            if near.any():
+                pairs.update((min(comp, c), max(comp, c)) for c in np.unique(comps[near]).tolist())
+        out = []
+        for a, b in sorted(pairs):  # a spanning forest of them says as much
+            while a in known:
+                a = known[a]
+            while b in known:
+                b = known[b]
+            if a != b:
+                known[max(a, b)] = min(a, b)
+                out.append((a, b))
+        return out
+
+    return lambda batches: _groups(batches, settle)
+
+
+def _exact(size: int, percent: int):
+    """Links of probes to members of other components, one to a component: shared shingles are counted by an inverted index over the block's members."""
+
+    def settle_with(unpress):
+        def shingles(z: bytes) -> np.ndarray:
+            data = np.frombuffer(unpress.decompress(z), np.uint8)
+            return shingle_sets(data, np.array([0, len(data)]), size)[0]
+
+        def settle(probes: list, members: list) -> list[tuple[int, int]]:
+            sets = [shingles(m[2]) for m in members]
+            sizes = np.array([len(s) for s in sets])
+            keys = np.concatenate(sets)
+            order = np.argsort(keys, kind="stable")
+            keys, owner = keys[order], np.repeat(np.arange(len(sets)), sizes)[order]
+            kinds, first, count = np.unique(keys, return_index=True, return_counts=True)
+            reps, comps = np.array([m[0] for m in members]), np.array([m[1] for m in members])
+            links = []
+            for rep, comp, z in probes:
+                mine = shingles(z)
+                at = np.searchsorted(kinds, mine)
+                at = at[(at < len(kinds)) & (kinds[np.minimum(at, len(kinds) - 1)] == mine)]
+                n = count[at]
+                posts = np.arange(int(n.sum())) + np.repeat(first[at] - (np.cumsum(n) - n), n)
+                both = np.bincount(owner[posts], minlength=len(sets))
+                hit = np.flatnonzero((100 * both >= percent * (len(mine) + sizes - both)) & (comps != comp))
+                for i in hit[np.unique(comps[hit], return_index=True)[1]].tolist():
+                    links.append((min(rep, int(reps[i])), max(rep, int(reps[i]))))
+            return links
+
+        return settle
+
+    return lambda batches: _groups(batches, settle_with(zstandard.ZstdDecompressor()))
+
+
+def _deal(rows: DataFrame, key: str, payload: str) -> DataFrame:
+    """Rows (key, rep, component, payload) of keys with several components, as blocks: what lies outside a key's largest component, the
+    probes, against all of its rows, BLOCK by BLOCK at most in expectation."""
+    shares = rows.groupBy(key, "component").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy(key).agg(F.sum("n").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("top")).where("kinds > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select(F.col(key).alias("__key"), blocks(F.col("size")).alias("mbs"), blocks(F.col("size") - F.col("top.n")).alias("pbs"), F.col("top.component").alias("__top"))
+    rows = rows.join(mixed, F.col(key) == F.col("__key"))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.select(key, place("mbs").alias("mb"), every("pbs").alias("pb"), F.lit(False).alias("probe"), "rep", "component", payload)
+    probes = rows.where("component <> __top").select(key, every("mbs").alias("mb"), place("pbs").alias("pb"), F.lit(True).alias("probe"), "rep", "component", payload)
+    return members.union(probes).repartition(key, "mb", "pb").sortWithinPartitions(key, "mb", "pb")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, trees: int = TREES, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
@@ -250,20 +310,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, tre
     links = cut(confirmed(first))
     labels = components(links)
 
-    # What is left: pairs across components in regions that hold more than one.
-    marked = reps.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "sig", F.coalesce("component", "rep").alias("component"))
-    places = cut(marked.join(ids, F.col("rep") == F.col("id"), "left_semi").mapInArrow(_regions(trees, depth, least), "region long, rep long, component long"))
-    shares = places.groupBy("region", "component").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy("region").agg(F.sum("n").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("top")).where("kinds > 1")
-    mixed = mixed.select("region", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.col("top.component").alias("top"))
-    low = reps.select("rep", "sig").mapInArrow(_short(trees, depth), "rep long, low binary")
-    rows = places.join(mixed, "region").join(low, "rep")
-    members = rows.select("region", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"), "rep", "component", "low")
-    probes = rows.where("component <> top").select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), "rep", "component", "low")
+    # What is left: links across components. Regions that hold several say which components may be near each other,
+    # and in clusters of these every document outside the largest is held against all.
+    marked = cut(reps.join(ids, F.col("rep") == F.col("id"), "left_semi").join(labels, F.col("rep") == F.col("node"), "left").select("rep", "sig", F.coalesce("component", "rep").alias("component")))
+    places = marked.mapInArrow(_regions(trees, depth, least), "region long, rep long, component long")
+    mixed = places.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("region")
+    places = cut(places.join(mixed, "region", "left_semi"))
+    low = marked.select("rep", "sig").mapInArrow(_short(trees, depth), "rep long, low binary")
     share = similarity - SLACK * (similarity * (1 - similarity) / n) ** 0.5
-    blocks = members.union(probes).repartition("region", "block").sortWithinPartitions("region", "block")
-    rest = blocks.mapInArrow(_across(share), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    links = links.union(confirmed(rest))
+    near = components(_deal(places.join(low, "rep"), "region", "low").mapInArrow(_likely(share), "a long, b long"))
+    clusters = cut(marked.select("rep", "component").join(near.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component"))
+    texts = clusters.join(blobs.select(F.col("doc_id").alias("rep"), "z"), "rep")
+    links = links.union(_deal(texts, "cluster", "z").mapInArrow(_exact(size, percent), "a long, b long"))
     labels = components(links)
 
     named = reps.join(labels, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
