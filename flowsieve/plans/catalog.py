@@ -1,4 +1,555 @@
-"""The engine's queries by name, each with the DuckDB SQL that gives the same rows."""
+"""The engine's queries by name, each with the DuckDB SQL that gives the same rows where SQL can.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Doubles are rounded on both sides, because engines add in different orders."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions.stats import gini
+from ..operators import conformal, decisions, pairs as P, pricing, sketches, summary, timebins, windows
+from ..sources import edges as E, fixtures as fx, synthetic
+from ..sources.fixtures import SQL
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+K = 20
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Finite doubles rounded; infinities stay."""
+    return df.select(*(F.when(F.abs(c) < float("inf"), F.round(c, digits)).otherwise(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def with_ctes(*names: str, pairs: str | None = None) -> str:
+    parts = [f"e{n} AS ({SQL[n]})" for n in names]
+    if pairs:
+        parts.append(f"p AS (SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM e{pairs} GROUP BY src, dst)")
+    return "WITH " + ", ".join(parts)
+
+
+PAIRS_A = with_ctes("a", pairs="a")
+R = lambda x, n=6: f"round({x}, {n})"
+ENTROPY = "coalesce(greatest(log2(sum({w})) - sum({w} * log2({w})) / sum({w}), 0.0), 0.0)"
+
+
+def entropy(w: str) -> str:
+    return ENTROPY.format(w=f"CAST({w} AS DOUBLE)")
+
+
+def gini_sql(rows: str, w: str = "weight", by: str = "") -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    cols = f"{by}, " if by else ""
+    group = f" GROUP BY {by}" if by else ""
+    return f"(SELECT {cols}2 * sum(i * w) / (count(*) * sum(w)) - (count(*) + 1.0) / count(*) AS gini FROM (SELECT {cols}CAST({w} AS DOUBLE) AS w, row_number() OVER ({part}ORDER BY {w}) AS i FROM {rows}){group})"
+
+
+# Pairs
+
+
+@query(f"{PAIRS_A} SELECT row_number() OVER (ORDER BY weight DESC, src, dst) AS rank, src, dst, weight FROM p ORDER BY weight DESC, src, dst LIMIT {K}")
+def top_k_edges(spark, sf):
+    return P.top_k_edges(P.aggregate_pairs(fx.diffuse(spark, sf)), K)
+
+
+@query(f"{PAIRS_A} SELECT src, dst, weight FROM p")
+def pair_aggregate(spark, sf):
+    return P.aggregate_pairs(fx.diffuse(spark, sf))
+
+
+@query(f"{PAIRS_A} SELECT src, dst, weight FROM p")
+def pair_aggregate_salted(spark, sf):
+    return P.aggregate_pairs(fx.diffuse(spark, sf), strategy="preaggregate")
+
+
+@query(f"{PAIRS_A} SELECT src, dst, weight FROM p")
+def pair_aggregate_sorted(spark, sf):
+    return P.aggregate_pairs(fx.diffuse(spark, sf), strategy="sort")
+
+
+@query(f"{PAIRS_A} SELECT count(*) AS left_nnz, count(*) AS right_nnz, CAST(0 AS BIGINT) AS unmatched, CAST(0 AS DOUBLE) AS max_difference, true AS equivalent FROM p")
+def builders_equal(spark, sf):
+    e = fx.diffuse(spark, sf)
+    return P.compare(P.aggregate_pairs(e), P.aggregate_pairs(e, strategy="preaggregate"))
+
+
+@query(f"{PAIRS_A} SELECT src AS label, CAST(sum(weight) AS BIGINT) AS strength, count(*) AS degree FROM p GROUP BY src")
+def src_strength(spark, sf):
+    return P.strength_distribution(P.aggregate_pairs(fx.diffuse(spark, sf)), "src")
+
+
+@query(f"{PAIRS_A} SELECT dst AS label, CAST(sum(weight) AS BIGINT) AS strength, count(*) AS degree FROM p GROUP BY dst")
+def dst_strength(spark, sf):
+    return P.strength_distribution(P.aggregate_pairs(fx.diffuse(spark, sf)), "dst")
+
+
+@query(f"""{with_ctes("d", pairs="d")}
+SELECT 'src' AS axis, CAST(src AS VARCHAR) AS label, CAST(sum(weight) AS BIGINT) AS strength, count(*) AS degree FROM p GROUP BY src
+UNION ALL SELECT 'dst', dst, CAST(sum(weight) AS BIGINT), count(*) FROM p GROUP BY dst UNION ALL SELECT 'all', NULL, CAST(sum(weight) AS BIGINT), count(*) FROM p""")
+def vertex_rollup(spark, sf):
+    return P.vertex_rollup(P.aggregate_pairs(fx.events(spark, sf)))
+
+
+@query(f"""{with_ctes("d", pairs="d")}, s AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS row FROM (SELECT DISTINCT src FROM p)),
+t AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS col FROM (SELECT DISTINCT dst FROM p)) SELECT row, col, weight FROM p JOIN s USING (src) JOIN t USING (dst)""")
+def matrix_codes(spark, sf):
+    return P.coded_pairs(P.aggregate_pairs(fx.events(spark, sf)))
+
+
+@query(f"{PAIRS_A} SELECT src, dst, weight FROM p WHERE src IN (SELECT s_suppkey FROM supplier) AND dst IN (SELECT p_partkey FROM part)")
+def labelled_pairs(spark, sf):
+    labels = fx.table(spark, sf, "supplier").select("s_suppkey"), fx.table(spark, sf, "part").select("p_partkey")
+    return P.aggregate_pairs(P.with_labels(fx.diffuse(spark, sf), *labels))
+
+
+# Scans and cleaning
+
+
+@query("""WITH v AS (SELECT user_id AS src, event_type AS dst, CASE WHEN event_id % 7 = 0 THEN 'n/a' WHEN event_id % 11 = 0 THEN 'NaN' WHEN event_id % 13 = 0 THEN NULL ELSE CAST(CAST(round(value * 100) AS BIGINT) - 200 AS VARCHAR) END AS t FROM events)
+SELECT src, dst, count(*) AS n, CAST(sum(CAST(t AS BIGINT)) AS BIGINT) AS weight FROM v WHERE src IS NOT NULL AND dst IS NOT NULL AND TRY_CAST(t AS BIGINT) > 0 GROUP BY src, dst""")
+def coerced_edges(spark, sf):
+    id_, cents = F.col("event_id"), (fx.cents("value") - 200).cast("string")
+    text = F.when(id_ % 7 == 0, "n/a").when(id_ % 11 == 0, "NaN").when(id_ % 13 == 0, F.lit(None)).otherwise(cents)
+    raw = fx.table(spark, sf, "events").select(F.col("user_id").alias("src"), F.col("event_type").alias("dst"), text.alias("bytes"))
+    return E.normalise(raw).groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("weight").cast("long").alias("weight"))
+
+
+@query("SELECT user_id AS src, event_type AS dst, CAST(count(*) AS DOUBLE) AS weight FROM events GROUP BY 1, 2")
+def unweighted_pairs(spark, sf):
+    raw = fx.table(spark, sf, "events").select(F.col("user_id").alias("src"), F.col("event_type").alias("dst"))
+    return P.aggregate_pairs(E.normalise(raw))
+
+
+@query(f"""{with_ctes("d")}, f AS (SELECT seq, CAST(src AS VARCHAR) AS s, CASE WHEN seq % 10 = 3 THEN NULL ELSE dst END AS d, weight FROM ed),
+s AS (SELECT s, row_number() OVER (ORDER BY min(seq)) - 1 AS c FROM f GROUP BY s), t AS (SELECT d, row_number() OVER (ORDER BY min(seq)) - 1 AS c FROM f WHERE d IS NOT NULL GROUP BY d)
+SELECT f.seq, s.c AS src, coalesce(t.c, -1) AS dst, CAST(weight AS DOUBLE) AS weight FROM f JOIN s ON f.s = s.s LEFT JOIN t ON f.d = t.d WHERE weight > 0""")
+def flow_adapter(spark, sf):
+    e = fx.events(spark, sf)
+    flows = e.select(F.col("seq").alias("at"), F.col("src").cast("string").alias("SrcAddr"), F.when(F.col("seq") % 10 == 3, F.lit(None)).otherwise(F.col("dst")).alias("DstAddr"), F.col("weight").alias("TotBytes"))
+    return E.adapt_flows(flows, ["at"])
+
+
+@query(f"{with_ctes('a')} SELECT count(*) AS records, count(DISTINCT src) AS unique_sources, count(DISTINCT dst) AS unique_destinations, count(DISTINCT (src, dst)) AS unique_pairs, min(weight) AS min_weight, max(weight) AS max_weight, CAST(sum(weight) AS BIGINT) AS total_weight FROM ea")
+def trace_statistics(spark, sf):
+    return summary.trace_statistics(fx.diffuse(spark, sf))
+
+
+# Summaries
+
+
+def _summary_sql(name: str) -> str:
+    return f"""{with_ctes(name, pairs=name)}, s AS (SELECT src, sum(weight) AS w, count(*) AS n FROM p GROUP BY src), t AS (SELECT dst, sum(weight) AS w, count(*) AS n FROM p GROUP BY dst)
+SELECT c.*, a.*, b.*, {R("g.gini")} AS edge_gini, {R("nnz / CAST(n_source * n_destination AS DOUBLE)")} AS density FROM
+(SELECT count(*) AS nnz, CAST(sum(weight) AS DOUBLE) AS total_weight, CAST(max(weight) AS DOUBLE) AS max_edge FROM p) c,
+(SELECT count(*) AS n_source, CAST(max(w) AS DOUBLE) AS max_source_strength, max(n) AS max_source_degree, {R(entropy("w"))} AS source_entropy_bits FROM s) a,
+(SELECT count(*) AS n_destination, CAST(max(w) AS DOUBLE) AS max_destination_strength, max(n) AS max_destination_degree, {R(entropy("w"))} AS destination_entropy_bits FROM t) b,
+{gini_sql("p")} g"""
+
+
+@query(_summary_sql("a"))
+def matrix_summary(spark, sf):
+    return rounded(summary.matrix_summary(P.aggregate_pairs(fx.diffuse(spark, sf))))
+
+
+@query(_summary_sql("c"))
+def matrix_summary_dense(spark, sf):
+    return rounded(summary.matrix_summary(P.aggregate_pairs(fx.dense(spark, sf))))
+
+
+@query(f"{PAIRS_A} SELECT {R('sqrt(sum(CAST(weight AS DOUBLE) * CAST(weight AS DOUBLE)))', 2)} AS frobenius_norm FROM p")
+def frobenius_norm(spark, sf):
+    return rounded(summary.frobenius_norm(P.aggregate_pairs(fx.diffuse(spark, sf))), 2)
+
+
+def _power_sql(rounds: int) -> str:
+    out = [with_ctes("c", pairs="c"), "x0 AS (SELECT dst, 1.0 / sqrt(count(*) OVER ()) AS x FROM (SELECT DISTINCT dst FROM p))"]
+    for i in range(rounds):
+        out.append(f"y{i} AS MATERIALIZED (SELECT src, sum(weight * x) AS y FROM p JOIN x{i} USING (dst) GROUP BY src)")
+        out.append(f"z{i} AS MATERIALIZED (SELECT dst, sum(weight * y) AS z FROM p JOIN y{i} USING (src) GROUP BY dst)")
+        out.append(f"x{i + 1} AS MATERIALIZED (SELECT dst, z / sqrt((SELECT sum(z * z) FROM z{i})) AS x FROM z{i})")
+    return ", ".join(out) + f" SELECT round(sqrt(sum(y * y)) / 1000) AS top_singular_value FROM y{rounds - 1}"
+
+
+@query(_power_sql(8))
+def top_singular_value(spark, sf):
+    return summary.top_singular_value(P.aggregate_pairs(fx.dense(spark, sf)), 8).select(F.round(F.col("top_singular_value") / 1000).alias("top_singular_value"))
+
+
+@query(f"""{with_ctes("d", pairs="d")} SELECT a.*, b.*, c.* FROM
+(SELECT CAST(sum(weight) AS DOUBLE) AS total_weight, count(*) AS activity_nnz, count(DISTINCT src) AS n_source, count(DISTINCT dst) AS n_destination FROM p) a,
+(SELECT count(*) AS src_similarity_nnz FROM (SELECT DISTINCT x.src, y.src AS o FROM p x JOIN p y ON x.dst = y.dst)) b,
+(SELECT count(*) AS dst_similarity_nnz FROM (SELECT DISTINCT x.dst, y.dst AS o FROM p x JOIN p y ON x.src = y.src)) c""")
+def official_formula(spark, sf):
+    return summary.official_formula(P.aggregate_pairs(fx.events(spark, sf)))
+
+
+# Windows, prefixes
+
+
+def _window_sql(name: str, size: int, exact_k: str = "kth") -> str:
+    alone = "k.kth" if exact_k == "kth" else "0"
+    return f"""w AS (SELECT *, seq // {size} AS win FROM e{name} WHERE seq // {size} < (SELECT (max(seq) + 1) // {size} FROM e{name})),
+wp AS (SELECT win, src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM w GROUP BY 1, 2, 3),
+k AS (SELECT win, max(CASE WHEN r = {K} THEN weight END) AS kth, max(CASE WHEN r = {K + 1} THEN weight END) AS nxt FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY weight DESC, src, dst) AS r FROM wp) GROUP BY win),
+t AS (SELECT win, count(*) AS n, CAST(sum(weight) AS DOUBLE) AS tw FROM wp GROUP BY win),
+ws AS (SELECT t.win AS "window", CAST({size} AS BIGINT) AS window_edges, n AS unique_pairs, {R(f"1 - n / {size}.0")} AS duplication_rate, tw AS total_weight,
+{R(f"CASE WHEN k.kth IS NULL THEN 0.0 WHEN k.nxt IS NULL THEN {alone} / tw ELSE (k.kth - k.nxt) / tw END", 9)} AS topk_gap_share, {R("coalesce(k.kth, 0) / tw", 9)} AS kth_weight_share FROM t JOIN k USING (win))"""
+
+
+def _fine(df: DataFrame, *fine: str) -> DataFrame:
+    cols = [F.round(c, 9 if c in fine else 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+    return df.select(*cols)
+
+
+@query(f"{with_ctes('d')}, {_window_sql('d', 700)} SELECT * FROM ws")
+def window_statistics(spark, sf):
+    return _fine(windows.window_statistics(fx.events(spark, sf), 700, K), "topk_gap_share", "kth_weight_share")
+
+
+@query(f"{with_ctes('aseq')}, {_window_sql('aseq', 5000)} SELECT * FROM ws")
+def window_statistics_sequenced(spark, sf):
+    return _fine(windows.window_statistics(fx.diffuse_sequenced(spark, sf), 5000, K), "topk_gap_share", "kth_weight_share")
+
+
+def _shape_sql(x: str) -> str:
+    return f"CASE WHEN {x}.duplication_rate >= 0.55 OR {x}.edge_gini >= 0.82 OR {x}.top_edge_share >= 0.01 OR greatest({x}.top_source_share, {x}.top_destination_share) >= 0.05 THEN 'concentrated' WHEN {x}.duplication_rate <= 0.2 AND {x}.nnz_growth_rate >= 0.8 THEN 'diffuse' ELSE 'mixed' END"
+
+
+_METHOD_SQL = "CASE WHEN shape = 'concentrated' THEN 'pandas_groupby' ELSE 'sparse_direct' END AS recommended_exact_method, CASE shape WHEN 'concentrated' THEN 'viable_for_concentrated_heavy_hitters' WHEN 'diffuse' THEN 'not_recommended_for_topk_without_large_candidates' ELSE 'profile_before_using_for_topk' END AS streaming_heavy_hitter_advice"
+
+
+def _stability_sql(name: str, size: int, head: int) -> str:
+    return f"""{with_ctes(name)}, {_window_sql(name, size, "zero")},
+h AS (SELECT win, src, dst, sum(weight) AS weight, count(*) AS n FROM w WHERE seq - win * {size} < {head} GROUP BY 1, 2, 3),
+f AS (SELECT h.win AS "window", CAST(sum(n) AS BIGINT) AS observed_edges, count(*) AS unique_pairs, 1 - count(*) / CAST(sum(n) AS DOUBLE) AS duplication_rate, count(*) / CAST(sum(n) AS DOUBLE) AS nnz_growth_rate, max(gini) AS edge_gini,
+max(weight) / CAST(sum(weight) AS DOUBLE) AS top_edge_share, max(ms) / CAST(sum(weight) AS DOUBLE) AS top_source_share, max(md) / CAST(sum(weight) AS DOUBLE) AS top_destination_share
+FROM h JOIN (SELECT win, max(s) AS ms FROM (SELECT win, src, sum(weight) AS s FROM h GROUP BY 1, 2) GROUP BY 1) USING (win) JOIN (SELECT win, max(s) AS md FROM (SELECT win, dst, sum(weight) AS s FROM h GROUP BY 1, 2) GROUP BY 1) USING (win)
+JOIN {gini_sql("h", by="win")} USING (win) GROUP BY h.win), g AS (SELECT *, {_shape_sql("f")} AS shape FROM f), m AS (SELECT *, {_METHOD_SQL} FROM g)
+SELECT "window", observed_edges, unique_pairs, {", ".join(f"{R(c)} AS {c}" for c in ("duplication_rate", "nnz_growth_rate", "edge_gini", "top_edge_share", "top_source_share", "top_destination_share"))},
+shape, recommended_exact_method, streaming_heavy_hitter_advice, ws.topk_gap_share, min(recommended_exact_method) OVER () = max(recommended_exact_method) OVER () AS all_agree FROM m JOIN ws USING ("window")"""
+
+
+@query(_stability_sql("d", 1000, 300))
+def window_stability(spark, sf):
+    return _fine(decisions.window_stability(fx.events(spark, sf), 1000, 300, K), "topk_gap_share")
+
+
+_SETS = {"a": ("diffuse", "aseq", fx.diffuse_sequenced), "d": ("events", "d", fx.events)}
+_HEAD = 5000
+
+
+def _features_sql(name: str, label: str) -> str:
+    q = f"q{name}"
+    return f"""{q} AS (SELECT src, dst, sum(weight) AS weight, count(*) AS n FROM e{name} WHERE seq < {_HEAD} GROUP BY 1, 2),
+f{name} AS (SELECT '{label}' AS source, CAST(sum(n) AS BIGINT) AS observed_edges, count(*) AS unique_pairs, (SELECT count(DISTINCT src) FROM {q}) AS unique_sources, (SELECT count(DISTINCT dst) FROM {q}) AS unique_destinations,
+1 - count(*) / CAST(sum(n) AS DOUBLE) AS duplication_rate, count(*) / CAST(sum(n) AS DOUBLE) AS nnz_growth_rate,
+(SELECT {entropy("s")} FROM (SELECT sum(weight) AS s FROM {q} GROUP BY src)) AS source_entropy_bits, (SELECT {entropy("s")} FROM (SELECT sum(weight) AS s FROM {q} GROUP BY dst)) AS destination_entropy_bits,
+{entropy("weight")} AS edge_entropy_bits, (SELECT gini FROM {gini_sql(q)}) AS edge_gini, max(weight) / CAST(sum(weight) AS DOUBLE) AS top_edge_share,
+(SELECT max(s) FROM (SELECT sum(weight) AS s FROM {q} GROUP BY src)) / CAST(sum(weight) AS DOUBLE) AS top_source_share, (SELECT max(s) FROM (SELECT sum(weight) AS s FROM {q} GROUP BY dst)) / CAST(sum(weight) AS DOUBLE) AS top_destination_share FROM {q})"""
+
+
+_FEATURES = ("duplication_rate", "nnz_growth_rate", "source_entropy_bits", "destination_entropy_bits", "edge_entropy_bits", "edge_gini", "top_edge_share", "top_source_share", "top_destination_share")
+
+
+@query(f"""{with_ctes("aseq", "d")}, {_features_sql("aseq", "diffuse")}, {_features_sql("d", "events")}, u AS (SELECT * FROM faseq UNION ALL SELECT * FROM fd), g AS (SELECT *, {_shape_sql("u")} AS shape FROM u)
+SELECT source, observed_edges, unique_pairs, unique_sources, unique_destinations, {", ".join(f"{R(c)} AS {c}" for c in _FEATURES)}, shape, {_METHOD_SQL} FROM g""")
+def early_features(spark, sf):
+    rows = [decisions.recommend(decisions.early_features(make(spark, sf), _HEAD)).select(F.lit(label).alias("source"), "*") for label, _, make in _SETS.values()]
+    return rounded(rows[0].unionByName(rows[1]))
+
+
+def _certificate_sql(name: str, label: str, k: int = K, width: int = 8192, capacity: int = 512) -> str:
+    return f"""SELECT '{label}' AS source, {k} AS top_k, {R("tk / tw", 9)} AS topk_weight_share, {R("kth / tw", 9)} AS kth_weight_share, {R("gap", 9)} AS topk_gap_share, c_min, {R("gap / 2", 9)} AS epsilon_required, width_min, {R("gap - noise", 9)} AS margin, CAST({width * 5 * 8} AS BIGINT) AS sketch_bytes, reason,
+CASE WHEN reason = 'ok' THEN 'certified_safe' ELSE 'not_certified' END AS decision FROM (SELECT *, CASE WHEN tk <= 0 THEN 'no weight in the top k' WHEN gap <= 0 THEN 'no gap after rank k' WHEN c_min > {capacity} THEN 'capacity too small' WHEN width_min > {width} THEN 'width too small' WHEN gap - noise <= 0 THEN 'joint error too large' ELSE 'ok' END AS reason
+FROM (SELECT *, CASE WHEN gap > 0 THEN ceil(exp(1.0) / (gap / 2)) ELSE CAST('inf' AS DOUBLE) END AS width_min, greatest(ceil(tw / kth) - 1, 0) AS c_min, 2 * (exp(1.0) / {width} + 1.0 / {capacity + 1}) AS noise
+FROM (SELECT *, (kth - nxt) / tw AS gap FROM (SELECT CAST(sum(weight) AS DOUBLE) AS tw, CAST(sum(CASE WHEN r <= {k} THEN weight END) AS DOUBLE) AS tk, CAST(max(CASE WHEN r = {k} THEN weight END) AS DOUBLE) AS kth, CAST(max(CASE WHEN r = {k + 1} THEN weight END) AS DOUBLE) AS nxt
+FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, src, dst) AS r FROM (SELECT src, dst, sum(weight) AS weight FROM e{name} WHERE seq < {_HEAD} GROUP BY 1, 2))))))"""
+
+
+@query(f"{with_ctes('aseq', 'd')} {_certificate_sql('aseq', 'diffuse')} UNION ALL {_certificate_sql('d', 'events')}")
+def prefix_certificate(spark, sf):
+    rows = [decisions.prefix_certificate(make(spark, sf), _HEAD, K).select(F.lit(label).alias("source"), "*") for label, _, make in _SETS.values()]
+    return rounded(rows[0].unionByName(rows[1]), 9)
+
+
+# Time bins
+
+_BINS = f"""bp AS (SELECT time_bin, src, dst, sum(weight) AS weight, count(*) AS n FROM ed GROUP BY 1, 2, 3),
+bs AS (SELECT time_bin, src, sum(weight) AS s FROM bp GROUP BY 1, 2), bd AS (SELECT time_bin, dst, sum(weight) AS s FROM bp GROUP BY 1, 2),
+bsum AS (SELECT time_bin, CAST(sum(n) AS BIGINT) AS n_edges, count(*) AS nnz, CAST(sum(weight) AS DOUBLE) AS total_weight, max(se) AS source_entropy_bits, max(de) AS destination_entropy_bits, max(gini) AS edge_gini,
+max(weight) / CAST(sum(weight) AS DOUBLE) AS top_edge_share, max(ms) / CAST(sum(weight) AS DOUBLE) AS top_source_share, max(md) / CAST(sum(weight) AS DOUBLE) AS top_destination_share, max(ns) AS unique_sources, max(nd) AS unique_destinations
+FROM bp JOIN (SELECT time_bin, {entropy("s")} AS se, max(s) AS ms, count(*) AS ns FROM bs GROUP BY 1) USING (time_bin) JOIN (SELECT time_bin, {entropy("s")} AS de, max(s) AS md, count(*) AS nd FROM bd GROUP BY 1) USING (time_bin) JOIN {gini_sql("bp", by="time_bin")} USING (time_bin) GROUP BY time_bin)"""
+_BIN_COLS = ("total_weight", "source_entropy_bits", "destination_entropy_bits", "edge_gini", "top_edge_share", "top_source_share", "top_destination_share")
+
+
+@query(f"{with_ctes('d')}, {_BINS} SELECT time_bin, n_edges, nnz, unique_sources, unique_destinations, {', '.join(f'{R(c)} AS {c}' for c in _BIN_COLS)} FROM bsum")
+def timebin_summary(spark, sf):
+    return rounded(timebins.time_bin_summary(fx.events(spark, sf)))
+
+
+def _anomaly_sql() -> str:
+    z = timebins.Z_COLUMNS
+    med = ", ".join(f"median(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in z)
+    mad = ", ".join(f"median(abs({c} - m_{c})) AS d_{c}" for c in z)
+    zs = ", ".join(f"({c} - m_{c}) / (CASE WHEN d_{c} > 0 THEN d_{c} WHEN s_{c} > 0 THEN s_{c} ELSE 1 END) AS z_{c}" for c in z)
+    score = " + ".join(f"greatest(z_{c}, 0)" for c in timebins.SCORED)
+    return f"{with_ctes('d')}, {_BINS}, m AS (SELECT {med} FROM bsum), q AS (SELECT * FROM bsum, m), d AS (SELECT {mad} FROM q), zz AS (SELECT time_bin, {zs} FROM q, d), sc AS (SELECT *, {score} AS s FROM zz) SELECT time_bin, {', '.join(f'round(z_{c}, 4) AS {c}_robust_z' for c in z)}, round(s, 4) AS anomaly_score, CAST(row_number() OVER (ORDER BY round(s, 4) DESC, time_bin) AS INTEGER) AS rank FROM sc"
+
+
+@query(_anomaly_sql())
+def timebin_anomaly(spark, sf):
+    scored = timebins.anomaly_scores(timebins.time_bin_summary(fx.events(spark, sf)))
+    scored = rounded(scored, 4)
+    return timebins.anomaly_ranks(scored).select("time_bin", *(f"{c}_robust_z" for c in timebins.Z_COLUMNS), "anomaly_score", "rank")
+
+
+# Conformal, prices, routing
+
+_W = 250
+_SCORES = f"{_window_sql('d', _W)}, sc AS (SELECT 'events' AS source, \"window\", topk_gap_share AS score FROM ws)"
+
+
+def _scores(spark, sf):
+    w = windows.window_statistics(fx.events(spark, sf), _W, K)
+    return w.select(F.lit("events").alias("source"), "window", F.round("topk_gap_share", 9).alias("score"))
+
+
+_ALPHAS = "(VALUES (CAST(0.05 AS DOUBLE)), (CAST(0.1 AS DOUBLE)), (CAST(0.2 AS DOUBLE))) al(alpha)"
+
+
+def _bound_sql(rows: str) -> str:
+    return f"(SELECT source, alpha, m, CAST(floor(alpha * (m + 1)) AS BIGINT) AS rank, coalesce(max(CASE WHEN r = floor(alpha * (m + 1)) THEN score END), CAST('-inf' AS DOUBLE)) AS bound FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score) AS r, count(*) OVER (PARTITION BY source) AS m FROM {rows}), {_ALPHAS} GROUP BY source, alpha, m)"
+
+
+@query(f"{with_ctes('d')}, {_SCORES} SELECT b.*, width, capacity, {R('2 * (exp(1.0) / width + 1.0 / (capacity + 1))', 9)} AS threshold, bound > 2 * (exp(1.0) / width + 1.0 / (capacity + 1)) AS certified, {R('bound - 2 * (exp(1.0) / width + 1.0 / (capacity + 1))', 9)} AS margin FROM {_bound_sql('sc')} b, (VALUES (8192, 512), (16384, 5000)) v(width, capacity)")
+def conformal_certificates(spark, sf):
+    budgets = spark.createDataFrame([(8192, 512), (16384, 5000)], "width int, capacity int")
+    return rounded(conformal.certificates(_scores(spark, sf), budgets, (0.05, 0.1, 0.2)), 9)
+
+
+@query(f"""{with_ctes('d')}, {_SCORES}, o AS (SELECT *, row_number() OVER (ORDER BY "window") AS i, count(*) OVER () AS n FROM sc), cal AS (SELECT source, "window", score FROM o WHERE i <= n // 2), tst AS (SELECT source, score AS s FROM o WHERE i > n // 2)
+SELECT source, alpha, m AS n_calibration, rank, bound, n_test, coverage, coverage >= 1.0 - alpha AS valid FROM (SELECT b.source, alpha, m, rank, bound, count(s) AS n_test, {R("avg(CASE WHEN s >= bound THEN 1.0 ELSE 0.0 END)", 9)} AS coverage FROM {_bound_sql('cal')} b JOIN tst USING (source) GROUP BY 1, 2, 3, 4, 5)""")
+def conformal_coverage(spark, sf):
+    return rounded(conformal.coverage(_scores(spark, sf)), 9)
+
+
+@query()
+def adaptive_conformal(spark, sf):
+    return conformal.adaptive(_scores(spark, sf), warmup=10)
+
+
+_GAPS = "(VALUES ('flows', CAST(3.0811065327336545e-05 AS DOUBLE)), ('hotspot', CAST(4.4079887626703126e-05 AS DOUBLE)), ('wide', CAST(0.01 AS DOUBLE)), ('ties', CAST(0.0 AS DOUBLE))) g(source, gap)"
+
+
+def _gaps(spark):
+    return spark.createDataFrame([("flows", 3.0811065327336545e-05), ("hotspot", 4.4079887626703126e-05), ("wide", 0.01), ("ties", 0.0)], "source string, gap double")
+
+
+_PRICE = f"""w AS (SELECT source, gap, CAST(unnest(generate_series(CAST(0.98 * best AS BIGINT), CAST(1.02 * best AS BIGINT) + 2)) AS BIGINT) AS width FROM (SELECT *, (2 / gap) * (exp(1.0) + sqrt(exp(1.0) * 32 / 40.0)) AS best FROM {_GAPS} WHERE gap > 0)),
+c AS (SELECT *, CAST(greatest(ceil(1 / (gap / 2 - exp(1.0) / width)) - 1, 1) AS BIGINT) AS capacity FROM w WHERE gap / 2 - exp(1.0) / width > 0),
+b AS (SELECT * FROM (SELECT *, 40 * width + 32 * capacity AS total, row_number() OVER (PARTITION BY source ORDER BY 40 * width + 32 * capacity, width) AS r FROM c) WHERE r = 1),
+pr AS (SELECT g.source, g.gap, g.gap > 0 AS feasible, coalesce(width, 0) AS width, coalesce(capacity, 0) AS capacity, coalesce(40 * width, 0) AS sketch_bytes, coalesce(32 * capacity, 0) AS candidate_bytes, coalesce(total, 0) AS total_bytes,
+coalesce(g.gap - 2 * (exp(1.0) / width + 1.0 / (capacity + 1)), CAST('-inf' AS DOUBLE)) AS margin FROM {_GAPS} LEFT JOIN b ON g.source = b.source)"""
+
+
+@query(f"WITH {_PRICE} SELECT source, {R('gap', 12)} AS gap, feasible, width, capacity, sketch_bytes, candidate_bytes, total_bytes, {R('margin', 12)} AS margin FROM pr")
+def budget_price(spark, sf):
+    return rounded(pricing.price(_gaps(spark)), 12)
+
+
+@query(f"""SELECT source, gap, {R("CASE WHEN gap > 0 THEN gap / least_error ELSE 0 END", 9)} AS best_index FROM {_GAPS}, (SELECT min(2 * (exp(1.0) / w + 1.0 / (c + 1))) AS least_error FROM (SELECT floor(i / 40.0 * 16000000 / 40) AS w, floor((1 - i / 40.0) * 16000000 / 32) AS c FROM generate_series(1, 39) t(i)) WHERE w >= 8 AND c >= 1)""")
+def best_index(spark, sf):
+    return pricing.best_index(_gaps(spark), 16_000_000).select("source", "gap", F.round("best_index", 9).alias("best_index"))
+
+
+@query(f"""WITH {_PRICE}, t AS (SELECT * FROM (VALUES ('flows', 0.01, 0.03, 'sparse_direct', false), ('hotspot', 0.01, 0.03, 'pandas_groupby', false), ('wide', 0.03, 0.01, 'pandas_groupby', true), ('ties', 0.01, 0.0101, 'sparse_direct', true)) v(source, sparse_seconds, pandas_seconds, heuristic, native)),
+j AS (SELECT *, CASE WHEN pandas_seconds / sparse_seconds > 1.2 THEN 'sparse_direct' WHEN pandas_seconds / sparse_seconds < 1 / 1.2 THEN 'pandas_groupby' ELSE 'indecisive' END AS profile_choice FROM pr JOIN t USING (source)),
+x AS (SELECT *, CASE WHEN profile_choice = heuristic THEN profile_choice ELSE 'sparse_direct' END AS exact_choice FROM j)
+SELECT source, profile_choice, exact_choice, CASE WHEN profile_choice = heuristic THEN 'agreement' WHEN profile_choice = 'indecisive' THEN 'profile undecided' ELSE 'disagreement' END AS exact_source,
+CASE WHEN NOT feasible THEN 'unidentifiable' WHEN total_bytes > 1000000000 THEN 'not_worth_it' WHEN total_bytes <= 15000000 THEN 'certifiable_within_budget' ELSE 'certifiable_over_budget' END AS sketch_decision, total_bytes, feasible AND total_bytes <= 15000000 AS within_budget,
+(CASE WHEN exact_choice = 'pandas_groupby' THEN 'pandas_then_' ELSE '' END) || (CASE WHEN native THEN 'graphblas_hypersparse' ELSE 'scipy_csr' END) AS backend FROM x""")
+def route(spark, sf):
+    rows = spark.createDataFrame([("flows", 0.01, 0.03, "sparse_direct", False), ("hotspot", 0.01, 0.03, "pandas_groupby", False), ("wide", 0.03, 0.01, "pandas_groupby", True), ("ties", 0.01, 0.0101, "sparse_direct", True)], "source string, sparse_seconds double, pandas_seconds double, heuristic string, native boolean")
+    out = pricing.route(rows.join(_gaps(spark), "source"), memory_budget=15_000_000)
+    return out.select("source", "profile_choice", "exact_choice", "exact_source", "sketch_decision", "total_bytes", "within_budget", "backend")
+
+
+# Sketches
+
+_CMW, _CMD = 2048, 4
+
+
+def _bucket_sql(src: str, dst: str, row: int, width: int, seed: int) -> str:
+    a, b, c = sketches.hash_parameters(row, seed)
+    p = sketches.PRIME
+    return f"((CAST({c} AS BIGINT) * ({dst} % {p}) + (CAST({a} AS BIGINT) * ({src} % {p}) + {b}) % {p}) % {p}) % {_CMW if width is None else width}"
+
+
+def _cm_rows(rows: str, extra: str) -> str:
+    return " UNION ALL ".join(f"SELECT {extra}, {r} AS row, {_bucket_sql('src', 'dst', r, _CMW, sketches.SEED)} AS col FROM {rows}" for r in range(_CMD))
+
+
+_CM = f"cm AS (SELECT row, col, CAST(sum(weight) AS BIGINT) AS w FROM ({_cm_rows('p', 'weight')}) GROUP BY row, col)"
+_EST = f"est AS (SELECT src, dst, min(w) AS estimated_weight FROM ({_cm_rows('p', 'src, dst')}) k JOIN cm USING (row, col) GROUP BY src, dst)"
+
+
+@query(f"{PAIRS_A}, {_CM} SELECT CAST(row AS INTEGER) AS row, CAST(col AS BIGINT) AS col, w FROM cm")
+def count_min_table(spark, sf):
+    return sketches.count_min(fx.diffuse(spark, sf), _CMW, _CMD)
+
+
+@query(f"{PAIRS_A}, {_CM}, {_EST} SELECT src, dst, estimated_weight FROM est")
+def count_min_estimates(spark, sf):
+    e = fx.diffuse(spark, sf)
+    return sketches.estimate(e.select("src", "dst").distinct(), sketches.count_min(e, _CMW, _CMD), _CMW, _CMD)
+
+
+@query(f"""{PAIRS_A}, {_CM}, {_EST}, ex AS (SELECT src, dst, weight, row_number() OVER (ORDER BY weight DESC, src, dst) AS rank FROM p), ap AS (SELECT *, row_number() OVER (ORDER BY estimated_weight DESC, src, dst) AS r FROM est), c AS (SELECT * FROM ap WHERE r <= 512),
+j AS (SELECT ex.*, c.r, c.estimated_weight AS e FROM (SELECT * FROM ex WHERE rank <= {K}) ex LEFT JOIN c USING (src, dst))
+SELECT {R("avg(CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END)")} AS candidate_recall, {R(f"avg(CASE WHEN coalesce(r, 1000000) <= {K} THEN 1.0 ELSE 0.0 END)")} AS topk_recall, {R("median(abs(coalesce(e, 0) - weight) / CAST(weight AS DOUBLE))")} AS median_relative_error, {R("max(abs(coalesce(e, 0) - weight) / CAST(weight AS DOUBLE))")} AS max_relative_error FROM j""")
+def streaming_accuracy(spark, sf):
+    e = fx.diffuse(spark, sf)
+    exact = top_k_edges(spark, sf)
+    ranked = P.top_k_edges(count_min_estimates(spark, sf).withColumnRenamed("estimated_weight", "weight"), 512).withColumnRenamed("weight", "estimated_weight")
+    return rounded(sketches.streaming_accuracy(exact, ranked, K)) if e else None
+
+
+@query()
+def space_saving_candidates(spark, sf):
+    return sketches.space_saving(fx.diffuse(spark, sf), 512)
+
+
+@query(f"{PAIRS_A} SELECT 512 AS candidates, true AS upper_bounds, true AS error_bounded, true AS heavy_kept")
+def space_saving_guarantees(spark, sf):
+    """The tracker's promises, held against exact weights: counts bound from above, errors stay below W / c, weights above W / c are kept."""
+    e = fx.tied(spark, sf)
+    found = sketches.space_saving(e, 512)
+    pairs = P.aggregate_pairs(e)
+    total = pairs.agg(F.sum("weight").alias("w"))
+    both = pairs.join(found, ["src", "dst"], "left").join(F.broadcast(total))
+    limit = F.col("w") / 512.0
+    return both.agg(F.count("count").cast("int").alias("candidates"), F.coalesce(F.bool_and(F.col("count") >= F.col("weight")), F.lit(True)).alias("upper_bounds"), F.coalesce(F.bool_and((F.col("error") <= limit) & (F.col("count") - F.col("error") <= F.col("weight"))), F.lit(True)).alias("error_bounded"), F.bool_and((F.col("weight") <= limit) | F.col("count").isNotNull()).alias("heavy_kept"))
+
+
+_BITS, _DW, _DD, _TOP, _BEAM = (14, 17), 1024, 3, 12, 512
+
+
+def _dyadic_bucket_sql(p: str, level: int, row: int) -> str:
+    return _bucket_sql(f"({p} >> 31)", f"({p} & {sketches.PRIME})", row, _DW, 101 + 1009 * level)
+
+
+def _dyadic_sql() -> str:
+    bits = sum(_BITS)
+    keys = f"{PAIRS_A}, ky AS (SELECT (CAST(src AS BIGINT) << {_BITS[1]}) | CAST(dst AS BIGINT) AS key, weight FROM p)"
+    cells = " UNION ALL ".join(f"SELECT {v} AS level, {r} AS row, {_dyadic_bucket_sql(f'(key >> {bits - v})', v, r)} AS col, weight FROM ky" for v in range(_TOP, bits + 1) for r in range(_DD))
+    return f"{keys}, dy AS MATERIALIZED (SELECT level, row, col, CAST(sum(weight) AS BIGINT) AS w FROM ({cells}) GROUP BY 1, 2, 3)"
+
+
+def _descent_sql() -> str:
+    bits = sum(_BITS)
+    out = [_dyadic_sql()]
+    for v in range(_TOP, bits + 1):
+        nodes = f"(SELECT i AS p FROM generate_series(0, {(1 << _TOP) - 1}) t(i))" if v == _TOP else f"(SELECT unnest([2 * p, 2 * p + 1]) AS p FROM n{v - 1})"
+        rows = " UNION ALL ".join(f"SELECT p, {r} AS row, {_dyadic_bucket_sql('p', v, r)} AS col FROM {nodes}" for r in range(_DD))
+        out.append(f"n{v} AS MATERIALIZED (SELECT p, min(coalesce(w, 0)) AS e FROM ({rows}) k LEFT JOIN (SELECT * FROM dy WHERE level = {v}) USING (row, col) GROUP BY p ORDER BY e DESC, p LIMIT {K if v == bits else _BEAM})")
+    return ", ".join(out) + f" SELECT row_number() OVER (ORDER BY e DESC, p) AS rank, p >> {_BITS[1]} AS src, p & {(1 << _BITS[1]) - 1} AS dst, e AS estimated_weight FROM n{bits}"
+
+
+@query(f"{_dyadic_sql()} SELECT CAST(level AS INTEGER) AS level, CAST(row AS INTEGER) AS row, CAST(col AS BIGINT) AS col, w FROM dy")
+def dyadic_table(spark, sf):
+    keys, bits, _ = sketches.edge_keys(fx.diffuse(spark, sf), _BITS)
+    return sketches.dyadic_count_min(keys, bits, _DW, _DD, _TOP)
+
+
+@query(_descent_sql())
+def dyadic_top_k(spark, sf):
+    keys, bits, dst_bits = sketches.edge_keys(fx.diffuse(spark, sf), _BITS)
+    sketch = sketches.dyadic_count_min(keys, bits, _DW, _DD, _TOP)
+    return sketches.unpack(sketches.dyadic_heavy_hitters(sketch, bits, K, _BEAM, _DW, _DD, _TOP), dst_bits)
+
+
+def _identifiability_sql(name: str) -> str:
+    gamma = "2 * (exp(1.0) / 8192 + 1.0 / 513)"
+    return f"""{with_ctes(name, pairs=name)}, ex AS (SELECT *, row_number() OVER (ORDER BY weight DESC, src, dst) AS r FROM p), ap AS (SELECT *, row_number() OVER (ORDER BY weight DESC, dst, src) AS o FROM p), f AS (SELECT src, dst, o FROM ap WHERE o <= {K}),
+l AS (SELECT CAST(sum(weight) AS DOUBLE) AS tw, max(CASE WHEN r = {K} THEN weight END) AS kth, max(CASE WHEN r = {K + 1} THEN weight END) AS nxt FROM ex),
+t AS (SELECT ex.*, f.o, (weight - coalesce(nxt, 0)) / tw > {gamma} AS core FROM ex LEFT JOIN f USING (src, dst), l WHERE r <= {K})
+SELECT {R(f"count(o) / {K}.0")} AS strict_recall, {R(f"least((SELECT count(*) FROM p JOIN f USING (src, dst), l WHERE o <= {K} AND weight >= kth) / {K}.0, 1.0)")} AS tie_aware_recall, count(*) FILTER (core) AS identifiable_core_size,
+{R("CASE WHEN count(*) FILTER (core) > 0 THEN count(o) FILTER (core) / CAST(count(*) FILTER (core) AS DOUBLE) END")} AS identifiable_recall, count(*) FILTER (core) > 0 AS identifiable FROM t"""
+
+
+def _other_order(edges: DataFrame) -> DataFrame:
+    """A top k that breaks ties the other way."""
+    from pyspark.sql import Window
+
+    best = P.aggregate_pairs(edges).orderBy(F.desc("weight"), "dst", "src").limit(K)
+    return best.select(F.row_number().over(Window.orderBy(F.desc("weight"), "dst", "src")).alias("rank"), "src", "dst")
+
+
+@query(_identifiability_sql("b"))
+def identifiability_tied(spark, sf):
+    e = fx.tied(spark, sf)
+    return rounded(sketches.identifiability_report(e, _other_order(e), K))
+
+
+@query(_identifiability_sql("c"))
+def identifiability_dense(spark, sf):
+    e = fx.dense(spark, sf)
+    return rounded(sketches.identifiability_report(e, _other_order(e), K))
+
+
+# Benchmark rows, generators, streams
+
+_RUNS = [("hotspot", m, n, s) for m, n, s in (("sparse_direct", 1, 0.03), ("sparse_direct", 1, 0.05), ("pandas_groupby", 1, 0.02), ("pandas_groupby", 1, 0.06), ("counter", 1, 0.9))] + [("uniform", m, 1, s) for m, s in (("sparse_direct", 0.07), ("pandas_groupby", 0.18))]
+_RUNS_SQL = "(VALUES " + ", ".join(f"('{r}', '{m}', CAST({n} AS BIGINT), CAST({s} AS DOUBLE))" for r, m, n, s in _RUNS) + ") v(regime, method, n_edges, seconds)"
+
+
+@query(f"SELECT regime, method, n_edges, {R('avg(seconds)')} AS mean, {R('coalesce(stddev_samp(seconds), 0)')} AS std FROM {_RUNS_SQL} GROUP BY 1, 2, 3")
+def benchmark_means(spark, sf):
+    runs = spark.createDataFrame(_RUNS, "regime string, method string, n_edges long, seconds double")
+    return rounded(summary.mean_and_std(runs, ["regime", "method", "n_edges"], "seconds"))
+
+
+@query(f"SELECT regime, arg_min(method, (seconds, method)) AS method, min(seconds) AS seconds FROM {_RUNS_SQL} WHERE method IN ('sparse_direct', 'pandas_groupby') GROUP BY 1")
+def fastest_methods(spark, sf):
+    runs = spark.createDataFrame(_RUNS, "regime string, method string, n_edges long, seconds double")
+    return summary.fastest(runs.where(F.col("method").isin("sparse_direct", "pandas_groupby")), ["regime"])
+
+
+@query(f"{with_ctes('d', pairs='d')} SELECT dst, {R('gini')} AS gini FROM {gini_sql('p', by='dst')}")
+def gini_by_destination(spark, sf):
+    return rounded(gini(P.aggregate_pairs(fx.events(spark, sf)), "weight", ["dst"]))
+
+
+@query()
+def synthetic_edges(spark, sf):
+    """A row of shape figures for each regime of the generator."""
+    rows = [decisions.recommend(decisions.early_features(E.normalise(synthetic.make_edges(spark, 20_000, 2048, 2048, r)), 20_000)).withColumn("regime", F.lit(r)) for r in synthetic.REGIMES]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS records, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS weight FROM events GROUP BY 1, 2")
+def streaming_daily_totals(spark, sf):
+    """The event table as a stream of its file, by day and type, run over all that is there."""
+    import uuid
+
+    from ..streaming import jobs
+
+    schema = fx.table(spark, sf, "events").schema
+    stream = jobs.edge_stream(spark, f"{sf}/events.parquet*", schema).withColumn("weight", fx.cents("value"))
+    out = jobs.collect_stream(jobs.windowed_totals(stream, keys=("event_type",)), f"daily_{uuid.uuid4().hex}")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
