@@ -237,7 +237,7 @@ f AS (SELECT h.win AS "window", CAST(sum(n) AS BIGINT) AS observed_edges, count(
 max(weight) / CAST(sum(weight) AS DOUBLE) AS top_edge_share, max(ms) / CAST(sum(weight) AS DOUBLE) AS top_source_share, max(md) / CAST(sum(weight) AS DOUBLE) AS top_destination_share
 FROM h JOIN (SELECT win, max(s) AS ms FROM (SELECT win, src, sum(weight) AS s FROM h GROUP BY 1, 2) GROUP BY 1) USING (win) JOIN (SELECT win, max(s) AS md FROM (SELECT win, dst, sum(weight) AS s FROM h GROUP BY 1, 2) GROUP BY 1) USING (win)
 JOIN {gini_sql("h", by="win")} USING (win) GROUP BY h.win), g AS (SELECT *, {_shape_sql("f")} AS shape FROM f), m AS (SELECT *, {_METHOD_SQL} FROM g)
-SELECT "window", observed_edges, unique_pairs, {", ".join(f"{R(c)} AS {c}" for c in ("duplication_rate", "nnz_growth_rate", "edge_gini", "top_edge_share", "top_source_share", "top_destination_share"))},
+SELECT "window", m.observed_edges, m.unique_pairs, {", ".join(f"{R('m.' + c)} AS {c}" for c in ("duplication_rate", "nnz_growth_rate", "edge_gini", "top_edge_share", "top_source_share", "top_destination_share"))},
 shape, recommended_exact_method, streaming_heavy_hitter_advice, ws.topk_gap_share, min(recommended_exact_method) OVER () = max(recommended_exact_method) OVER () AS all_agree FROM m JOIN ws USING ("window")"""
 
 
@@ -420,10 +420,9 @@ def count_min_estimates(spark, sf):
 j AS (SELECT ex.*, c.r, c.estimated_weight AS e FROM (SELECT * FROM ex WHERE rank <= {K}) ex LEFT JOIN c USING (src, dst))
 SELECT {R("avg(CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END)")} AS candidate_recall, {R(f"avg(CASE WHEN coalesce(r, 1000000) <= {K} THEN 1.0 ELSE 0.0 END)")} AS topk_recall, {R("median(abs(coalesce(e, 0) - weight) / CAST(weight AS DOUBLE))")} AS median_relative_error, {R("max(abs(coalesce(e, 0) - weight) / CAST(weight AS DOUBLE))")} AS max_relative_error FROM j""")
 def streaming_accuracy(spark, sf):
-    e = fx.diffuse(spark, sf)
     exact = top_k_edges(spark, sf)
     ranked = P.top_k_edges(count_min_estimates(spark, sf).withColumnRenamed("estimated_weight", "weight"), 512).withColumnRenamed("weight", "estimated_weight")
-    return rounded(sketches.streaming_accuracy(exact, ranked, K)) if e else None
+    return rounded(sketches.streaming_accuracy(exact, ranked, K))
 
 
 @query()
