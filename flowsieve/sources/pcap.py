@@ -53,7 +53,8 @@ def _sizes(data: bytes, h: Header, most: int = PROBE) -> list[tuple[int, int]]:
 
 def uniform_size(data: bytes, h: Header) -> int | None:
     """Bytes of a record with its header if the first ones, two at least, agree."""
-    sizes = {n for _, n in (found := _sizes(data, h))}
+    found = _sizes(data, h)
+    sizes = {n for _, n in found}
     return RECORD + sizes.pop() if len(found) >= 2 and len(sizes) == 1 else None
 
 

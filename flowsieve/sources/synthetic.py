@@ -72,7 +72,7 @@ def make_controlled_edges(spark: SparkSession, n: int, sources: int, destination
         target_nnz = round(density * sources * destinations) if density is not None else round(n * (1 - duplication)) if duplication is not None else n // 2
     target_nnz = max(1, min(int(target_nnz), sources * destinations, n))
     cells = sources * destinations
-    slot = F.when(F.lit(skew) > 0, zipf(uniform(seed, 0), target_nnz, 1.0 + skew)).otherwise(F.floor(uniform(seed, 0) * target_nnz)).cast("long")
+    slot = zipf(uniform(seed, 0), target_nnz, 1.0 + skew) if skew > 0 else F.floor(uniform(seed, 0) * target_nnz).cast("long")
     slot = F.when(F.col("seq") < min(n, target_nnz), F.col("seq")).otherwise(slot)  # each pair of the pool once, as far as records go
     cell = _scatter(slot, cells, seed)
     src, dst = F.floor(cell / destinations).cast("long"), (cell % destinations).cast("long")
