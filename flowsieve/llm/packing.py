@@ -20,8 +20,9 @@ from .common import cut, partitions_for, table, with_text_bytes
 from .kernels import slices
 
 GROUP = 2048
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Pieces of text, and words in them, whose ids a worker remembers.
+REMEMBERED, WORDS = 1_600_000, 1_000_000
+_STOPS = ".,!?;:"
 
 
 class Encoder:
@@ -29,7 +30,8 @@ class Encoder:
 
     Where all white space of a text is single spaces and newlines between other characters, byte-level BPE
     with the usual pre-tokenizer never merges across them: a space belongs to what follows, a newline stands alone. Such a text is
-    cut there and each piece is encoded once. Any other text is encoded whole."""
+    cut there and each piece is encoded once. A newline before a piece and stops after its last letter are tokens of
+    their own, so that a new piece often needs no encoding either. Any other text is encoded whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -38,24 +40,45 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn(self, keys: list[str]) -> None:
+        if len(self.words) > WORDS:
+            self.words.clear()
+        parts = []
+        for k in keys:
+            first = k[0]
+            head, body = ("\n", k[1:]) if first == "\n" else ("", k[1:]) if first == "\r" else ("", " " + k)
+            word = body.rstrip(_STOPS)
+            parts.append((head, word, body[len(word) :]) if word and word[-1].isalpha() else ("", head + body, ""))
+        missing = list({x for part in parts for x in part} - self.words.keys())
+        self.words.update(zip(missing, self._plain(missing)))
+        get = self.words.__getitem__
+        self.known.update([(k, get(a) + get(b) + get(c)) for k, (a, b, c) in zip(keys, parts)])
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        # Keys: a word after a space is itself, one after a newline has it in front, the first of a text a carriage return.
         cuts: list[list[str] | None] = []
         for t in texts:
-            words, gaps = t.split(), t.count(" ") + t.count("\n")
-            if words and len(words) == gaps + 1 and len(t) - len("".join(words)) == gaps:
-                pieces = t.replace("\n", " \n").split(" ")
-                cuts.append([p if p[0] == "\n" else " " + p for p in pieces[1:]])
-                cuts[-1].insert(0, pieces[0])
+            words = t.split()
+            gaps = len(t) - len("".join(words))
+            lines = t.count("\n")
+            if words and gaps == len(words) - 1 == t.count(" ") + lines:
+                words[0] = "\r" + words[0]
+                if lines:
+                    at = 0
+                    for line in t.split("\n")[:-1]:
+                        at += line.count(" ") + 1
+                        words[at] = "\n" + words[at]
+                cuts.append(words)
             else:
                 cuts.append(None)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        missing = list(set().union(*(c for c in cuts if c)) - self.known.keys())
-        self.known.update(zip(missing, self._plain(missing)))
+        self._learn(list(set().union(*(c for c in cuts if c)) - self.known.keys()))
         whole = iter(self._plain([t for t, c in zip(texts, cuts) if c is None]))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) if c else next(whole) for c in cuts]
