@@ -226,7 +226,8 @@ def _likely(least: float):
 
 
 def _exact(size: int, percent: int):
-    """Links of probes to members of other components, one to a component: shared shingles are counted by an inverted index over the block's members."""
+    """Links of probes to members of other components, as many as it takes to join the components of a block: shared shingles are
+    counted by an inverted index over the block's members."""
 
     def settle_with(unpress):
         def shingles(z: bytes) -> np.ndarray:
@@ -241,7 +242,13 @@ def _exact(size: int, percent: int):
             keys, owner = keys[order], np.repeat(np.arange(len(sets)), sizes)[order]
             kinds, first, count = np.unique(keys, return_index=True, return_counts=True)
             reps, comps = np.array([m[0] for m in members]), np.array([m[1] for m in members])
-            links = []
+            links, joined = [], {}
+
+            def root(c: int) -> int:
+                while c in joined:
+                    c = joined[c]
+                return c
+
             for rep, comp, z in probes:
                 mine = shingles(z)
                 at = np.searchsorted(kinds, mine)
@@ -251,7 +258,10 @@ def _exact(size: int, percent: int):
                 both = np.bincount(owner[posts], minlength=len(sets))
                 hit = np.flatnonzero((100 * both >= percent * (len(mine) + sizes - both)) & (comps != comp))
                 for i in hit[np.unique(comps[hit], return_index=True)[1]].tolist():
-                    links.append((min(rep, int(reps[i])), max(rep, int(reps[i]))))
+                    x, y = root(comp), root(int(comps[i]))
+                    if x != y:
+                        joined[max(x, y)] = min(x, y)
+                        links.append((min(rep, int(reps[i])), max(rep, int(reps[i]))))
             return links
 
         return settle
