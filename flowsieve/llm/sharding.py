@@ -1,7 +1,7 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced together.
 
-Rows with equal texts form a group that is placed whole, unless it is larger than a small share of a
-shard in some dimension: then a hash of doc_id splits it into pieces. Packing runs at two levels.
+Rows with equal texts form a group that is placed whole, unless it is larger than a quarter of a
+shard in some dimension: then a hash of doc_id splits it into pieces of about that size. Packing runs at two levels.
 Cells of about CELL groups are packed by themselves into as many bins as there are shards, largest group
 first, each where the dot product with the bin's residual capacity is highest. The bins of all cells, at most MAX_CELLS times the shards, are then placed
 into the shards by the same rule.
@@ -22,7 +22,9 @@ from .kernels import Words, slices
 
 CELL, MAX_CELLS = 2048, 4096
 #: A group larger than a shard divided by this, in any dimension, is split.
-PIECES_PER_SHARD = 128
+PIECES_PER_SHARD = 4
+#: Rows whose slots are counted off together.
+SLOTS = 4096
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +93,7 @@ def shard(docs: DataFrame, shards: int = 8, cell: int = CELL) -> DataFrame:
 
     docs: doc_id and text; other columns are ignored. size: UTF-8 bytes of the text plus 1, tokens: its
     words; a null text has none of either and counts as equal to an empty one. Rows with equal texts share a shard, unless
-    together they exceed a small share of it. slot counts a shard's rows from 0 without gaps. Repeated rows and null ids are rows
+    together they exceed a quarter of it. slot counts a shard's rows from 0 without gaps. Repeated rows and null ids are rows
     like others. An empty table gives an empty table."""
     rows = cut(with_text_bytes(docs).mapInArrow(_measure, "doc_id long, size long, tokens long, text_crc32 long, digest binary"))
     total = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "tokens")), F.count("*").alias("rows")).first()
@@ -114,12 +116,19 @@ def shard(docs: DataFrame, shards: int = 8, cell: int = CELL) -> DataFrame:
     order, at = _order(vectors), np.empty(len(vectors), np.int32)
     at[order] = place(vectors[order], shards)
     loads["shard"] = at
-    loads["first"] = loads.groupby("shard")["rows"].cumsum() - loads["rows"]
-    where = docs.sparkSession.createDataFrame(list(loads[["cell", "bin", "shard", "first"]].itertuples(index=False, name=None)), "cell int, bin int, shard int, first long")
+    loads["parts"] = -(-loads["rows"] // SLOTS)
+    where = docs.sparkSession.createDataFrame(list(loads[["cell", "bin", "shard", "parts"]].itertuples(index=False, name=None)), "cell int, bin int, shard int, parts long")
 
+    # Slots: a bin's rows are counted off in parts of about SLOTS, so that neither a shard nor a large group meets in one task.
     out = rows.join(placed.select("digest", "piece", "cell", "bin"), ["digest", "piece"]).join(F.broadcast(where), ["cell", "bin"])
-    within = F.row_number().over(Window.partitionBy("cell", "bin").orderBy("doc_id", "text_crc32", "size"))
-    return out.select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("first") + within - 1).alias("slot"))
+    out = cut(out.select("doc_id", "size", "tokens", "text_crc32", "shard", "cell", "bin", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part")))
+    key = ["shard", "cell", "bin", "part"]
+    counts = out.groupBy(*key).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("cell", "bin", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = counts.select(*key, before.alias("first"))
+    within = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "text_crc32", "size"))
+    numbered = out.withColumn("__i", within).join(firsts, key)
+    return numbered.select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("first") + F.col("__i") - 1).alias("slot"))
 
 
 def op8_vector_bin_sharding(spark, sf_dir: str) -> DataFrame:
