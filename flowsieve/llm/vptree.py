@@ -142,8 +142,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
     """A row for each query and rank: query_id, rank (from 1), vec_id, score (Euclidean distance, double precision).
 
     Both tables: vec_id and embedding (array); other columns are ignored. A query's own id is no candidate. Vectors
-    that are null, all zero, or hold null or non-finite components take no part, nor rows with a null id; vectors of another length than most are an
-    error of the caller's. Of repeated rows (same id and vector) one takes part. Ties go to the smaller vec_id. Queries are answered in blocks against every shard; with fewer than k candidates all come
+    that are null, all zero, or hold null or non-finite components take no part, nor rows with a null id or with another length than most of
+    the table's (the smaller length at a draw). Of repeated rows (same id and vector) one takes part. Ties go to the smaller vec_id. Queries are answered in blocks against every shard; with fewer than k candidates all come
     back. Empty tables give no rows."""
     if factor < 1:
         raise ValueError("factor must be 1 or more")
@@ -154,10 +154,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("embedding")).where(F.coalesce(ok, F.lit(False)))
 
     rows = cut(usable(vectors))
+    most = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    same = F.size("embedding") == F.lit(most["d"] if most else 0)
+    rows = rows.where(same)
     shards = partitions_for(rows.count(), shard)
     # An id twice in one shard is caught when the shards' answers are merged.
     placed = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("query"), "vec_id", "embedding").dropDuplicates()
-    asked = usable(queries).dropDuplicates(["vec_id"]).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"), "vec_id", "embedding")
+    asked = usable(queries).where(same).dropDuplicates(["vec_id"]).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"), "vec_id", "embedding")
     dealt = placed.union(asked).repartition("shard").sortWithinPartitions("shard", "query", "vec_id")
     found = dealt.mapInArrow(_search(k, factor), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

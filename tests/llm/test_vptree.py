@@ -12,7 +12,7 @@ def vectors(spark):
     x = rng.normal(size=(400, 8)).astype(np.float32)
     x[50:120] = x[3]  # a crowd of equal vectors
     rows = [(i, [float(v) for v in x[i]], "s", 1) for i in range(400)]
-    rows += [(1000, None, "s", 1), (1001, [0.0] * 8, "s", 1), (1002, [float("nan")] + [1.0] * 7, "s", 1), (1003, [None] + [1.0] * 7, "s", 1), (1004, [float("inf")] + [1.0] * 7, "s", 1), (None, [1.0] * 8, "s", 1), rows[7]]
+    rows += [(1000, None, "s", 1), (1001, [0.0] * 8, "s", 1), (1002, [float("nan")] + [1.0] * 7, "s", 1), (1003, [None] + [1.0] * 7, "s", 1), (1004, [float("inf")] + [1.0] * 7, "s", 1), (None, [1.0] * 8, "s", 1), (1005, [1.0] * 3, "s", 1), rows[7]]
     return x.astype(float), spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
