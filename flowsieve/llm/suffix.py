@@ -30,7 +30,7 @@ from .kernels import Prefix, mix, pack_ints, pack_sorted, slices, unpack_ints, u
 
 HOT = 64
 #: Anchors for a bucket of hashes, suffixes for a bucket of the sort, bytes of text or suffixes that a task gathers before it sends.
-HASHES, SUFFIXES, TEXT, RUN = 100_000, 16_384, 24 << 20, 65_536
+HASHES, SUFFIXES, TEXT, RUN = 100_000, 16_384, 12 << 20, 32_768
 _U = np.uint64
 
 
@@ -114,7 +114,7 @@ def _send(length: int, buckets: int, most: int):
                 yield _rows(_MARKS, rows[i : i + 256])
 
         for batch in batches:
-            for part, data, offs in slices(batch):
+            for part, data, offs in slices(batch, limit=1 << 20):
                 found, h = anchors(data, offs, length)
                 doc = np.searchsorted(offs, found, "right") - 1
                 keys.append(h)
@@ -294,7 +294,10 @@ def _contexts(length: int, buckets: int):
 
         def flush():
             m, doc, at, lo, hi = (np.concatenate([h[i] for h in held]) for i in range(5))
-            bucket = ((m[:, :gram].astype(_U) * weights).sum(1, dtype=_U) >> _U(16)) % _U(buckets)
+            bucket = np.zeros(len(m), _U)
+            for i in range(gram):
+                bucket += m[:, i] * weights[i]
+            bucket = (bucket >> _U(16)) % _U(buckets)
             rank = _order_keys(doc, at)
             rows = m.tobytes()
             keys = [rows[i * width : i * width + width] for i in range(len(m))]
