@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import cut, partitions_for, table, with_text_bytes
 from .kernels import LOWER, Words, merge_counts, mix, pack_ints, pack_sorted, slices, unpack_ints, unpack_sorted
 
-CHUNK, TOKENS = 12 << 20, 400_000
+CHUNK, TOKENS = 6 << 20, 400_000
 FOLDS, HELD = 5, 1
 #: Steps of a ratio's rounding in an octave, for the held-out counts alone; context buckets with fewer held-out tokens share the pooled weights.
 STEPS, LEAST = 8, 200
