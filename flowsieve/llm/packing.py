@@ -20,8 +20,8 @@ from .common import cut, partitions_for, table, with_text_bytes
 from .kernels import slices
 
 GROUP = 2048
-#: Pieces of text, and words in them, whose ids a worker remembers.
-REMEMBERED, WORDS = 1_600_000, 1_000_000
+#: Pieces of text whose ids a worker remembers, with five words for eight of them: about 300 bytes each. Fewer cost time, not results.
+REMEMBERED = 1_600_000
 _STOPS = ".,!?;:"
 
 
@@ -33,7 +33,8 @@ class Encoder:
     cut there and each piece is encoded once. A newline before a piece and stops after its last letter are tokens of
     their own, so that a new piece often needs no encoding either. Any other text is encoded whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -46,7 +47,7 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, keys: list[str]) -> None:
-        if len(self.words) > WORDS:
+        if len(self.words) > self.remembered * 5 // 8:
             self.words.clear()
         parts = []
         for k in keys:
@@ -76,7 +77,7 @@ class Encoder:
                 cuts.append(words)
             else:
                 cuts.append(None)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known.clear()
         self._learn(list(set().union(*(c for c in cuts if c)) - self.known.keys()))
         whole = iter(self._plain([t for t, c in zip(texts, cuts) if c is None]))
@@ -84,12 +85,13 @@ class Encoder:
         return [b"".join(map(get, c)) if c else next(whole) for c in cuts]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def _pieces(path: str, window: int, end: int, keep_ids: bool):
+def _pieces(path: str, window: int, end: int, keep_ids: bool, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+        key = path, remembered
+        encoder = _encoders.get(key) or _encoders.setdefault(key, Encoder(*key))
         last = array("I", [end]).tobytes()
         for batch in batches:
             for part, _, _ in slices(batch):
@@ -191,7 +193,7 @@ def _pack(window: int, groups: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, keep_ids: bool = False, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, keep_ids: bool = False, group: int = GROUP, remembered: int = REMEMBERED) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with keep_ids also ids.
 
     docs: doc_id and text; other columns are ignored. A document is its token ids and then `end`; a null or empty
@@ -199,7 +201,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, keep
     follow each other from offset 0. Repeated rows are packed each; a null doc_id stays null. An empty table gives no rows.
     ids: the piece's ids as little-endian unsigned 32-bit integers."""
     names = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
-    pieces = cut(with_text_bytes(docs).mapInArrow(_pieces(tokenizer, window, end, keep_ids), names))
+    pieces = cut(with_text_bytes(docs).mapInArrow(_pieces(tokenizer, window, end, keep_ids, remembered), names))
     groups = partitions_for(pieces.count(), group)
     dealt = pieces.select(F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).alias("part"), "*")
     dealt = dealt.repartition("part").sortWithinPartitions("part", F.desc("length"), "doc_id", "start", "ids_crc32")

@@ -48,5 +48,6 @@ def mixing_stage(docs: DataFrame) -> DataFrame:
 
 
 def packing_stage(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Token sequences of at most 2048: a row for each piece of a document, as op2 has them."""
-    return pack(docs, tokenizer)
+    """Token sequences of at most 2048: a row for each piece of a document, as op2 has them. Workers of a long job hold much already, so
+    that they remember fewer pieces of text here."""
+    return pack(docs, tokenizer, remembered=250_000)
