@@ -1,7 +1,11 @@
-"""Stages of the corpus pipeline: each takes documents and returns documents that its operator kept."""
+"""Stages of the corpus pipeline: each takes documents and returns documents that its operator kept. Verdicts act on rows, also
+where a doc_id is null or several rows share it."""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, without_ids
@@ -12,23 +16,40 @@ from .quality import quality
 from .suffix import repeated_spans, without_spans
 
 
+def _named(docs: DataFrame) -> bool:
+    """Whether doc_id names each row."""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
+
+
+def _by_row(stage: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A stage that names rows by doc_id, for tables with null or shared ids too: there it gets keys of the rows instead, in the order of
+    doc_id (nulls last), and its rows get their doc_id back."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame) -> DataFrame:
+        if _named(docs):
+            return stage(docs)
+        order = F.asc_nulls_last("doc_id")
+        ordered = docs.repartitionByRange(order, F.xxhash64("text")).sortWithinPartitions(order, F.xxhash64("text"))
+        keyed = cut(ordered.withColumn("__doc_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()))
+        return stage(keyed).withColumn("doc_id", F.col("__doc_id")).select(*docs.columns)
+
+    return run
+
+
+@_by_row
 def quality_stage(docs: DataFrame) -> DataFrame:
-    """Documents that the quality rules keep. Rows with a null doc_id can't be named in a verdict and go."""
-    dropped = cut(quality(docs).where("not kept and doc_id is not null").select("doc_id"))
-    return without_ids(docs.where("doc_id is not null"), dropped)
+    """Documents that the quality rules keep."""
+    return without_ids(docs, cut(quality(docs).where("not kept").select("doc_id")))
 
 
+@_by_row
 def near_duplicate_stage(docs: DataFrame) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near duplicates (five-word shingles, similarity 0.8); of rows that share a doc_id one."""
-    ids = cut(near_duplicates(docs, size=5, similarity=0.8).select("doc_id", "kept"))
-    twice = cut(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    left = without_ids(docs, ids.where("not kept").select("doc_id").distinct())
-    if not twice.limit(1).count():
-        return left
-    again = left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return without_ids(left, twice).unionByName(again)
+    """One document, the one with the smallest doc_id, of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    return without_ids(docs, cut(near_duplicates(docs, size=5, similarity=0.8).where("not kept").select("doc_id")))
 
 
+@_by_row
 def passage_stage(docs: DataFrame) -> DataFrame:
     """Documents without the passages of 100 bytes or more that start earlier; what has no word left goes. n_chars follows the text."""
     spans = repeated_spans(docs, 100)
@@ -38,10 +59,14 @@ def passage_stage(docs: DataFrame) -> DataFrame:
 
 
 def mixing_stage(docs: DataFrame) -> DataFrame:
-    """Documents as often as the mix of sources takes them, 0 to 3 times."""
-    times = mix(docs).select(F.col("doc_id").alias("__id"), F.col("repeats").alias("__n"))
+    """Documents as often as the mix of sources takes them, 0 to 3 times; that depends on doc_id and source alone."""
+    times = mix(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("repeats").alias("__n"))
     names = docs.columns
-    other = cut(times.where("__n <> 1"))
+    if not _named(docs):
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
+        taken = docs.join(cut(times.where("__n > 0").distinct()), same)
+        return taken.select(*names, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__i")).select(*names)
+    other = cut(times.where("__n <> 1").drop("__source"))
     once = without_ids(docs, other.select("__id"))
     more = docs.join(other.where("__n > 1"), F.col("doc_id") == F.col("__id")).select(*names, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__i")).select(*names)
     return once.unionByName(more)

@@ -1,6 +1,9 @@
+import random
+from collections import Counter
+
 import pytest
 
-from flowsieve.llm import queries, stages
+from flowsieve.llm import mixing, queries, stages
 
 from ..oracle import same
 from . import brute
@@ -38,3 +41,27 @@ def test_stages_on_nothing_and_odd_rows(empty, odd_ids):
     for stage in (stages.quality_stage, stages.near_duplicate_stage, stages.passage_stage, stages.mixing_stage):
         assert stage(empty).count() == 0
         assert stage(odd_ids).columns == odd_ids.columns
+
+
+def test_verdicts_act_on_rows(spark, empty):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(60)]
+    prose = lambda k=60: " ".join(rng.choice(vocabulary) for _ in range(k))
+    passage = prose(40)
+    near = prose(200)
+    texts = [(i, prose()) for i in range(20)]
+    odd = [(None, prose()), (None, prose()), (3, prose()), (4, "too short")]
+    copies = [(7, near), (None, near), (7, near + " end"), (8, near)]
+    cut = [(30, passage + " " + prose(9)), (30, prose(9) + " " + passage), (None, prose(9) + " " + passage)]
+    rows = [(i, t, "en", "ab"[n % 2], len(t), "x", 7, "y", "z") for n, (i, t) in enumerate(texts + odd + copies + cut)]
+    docs = spark.createDataFrame(rows, empty.schema).repartition(3)
+    names = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    every = Counter((r[0], r[1]) for r in rows)
+    assert names(stages.quality_stage(docs)) == every - Counter([(4, "too short")])
+    kept = names(stages.near_duplicate_stage(docs))
+    assert kept in (every - Counter(copies) + Counter([c]) for c in (copies[0], copies[2]))
+    left = names(stages.passage_stage(docs.where("doc_id = 30 or doc_id is null and length(text) < 400")))
+    assert sum(n for (_, t), n in left.items() if passage in t) == 1 and sum(left.values()) == 5
+    times = Counter({(r.doc_id, r.source): r.repeats for r in mixing.mix(docs).collect()})
+    mixed = Counter(tuple(r) for r in stages.mixing_stage(docs).collect())
+    assert mixed == Counter({r: times[r[0], r[3]] for r in rows if times[r[0], r[3]]})
