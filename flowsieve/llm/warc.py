@@ -101,6 +101,14 @@ def page_metadata(page: str, uri: str) -> dict:
     return {"title": _SPACE.sub(" ", html.unescape(title[1])).strip() if title else None, "metas": meta, "links": links}
 
 
+def _by_name(headers: list[tuple[str, str]]) -> dict[str, str | list[str]]:
+    """Headers by name in any case, under its first spelling: the value, or all of them in order where the name is there several times."""
+    out: dict[str, tuple[str, list[str]]] = {}
+    for k, v in headers:
+        out.setdefault(k.lower(), (k, []))[1].append(v)
+    return {k: v if len(v) > 1 else v[0] for k, v in out.values()}
+
+
 def derive_record(data: bytes) -> list[dict]:
     """The metadata and the conversion record of a response; none of another type."""
     headers, block = parse(data)
@@ -113,7 +121,7 @@ def derive_record(data: bytes) -> list[dict]:
     payload = by.get("warc-payload-digest") or digest(body)
     page = decode(body, kind)
     envelope = {
-        "envelope": {"warc-header": dict(headers), "payload-digest": payload, "http-response": {"status": status, "headers": dict(fields), "entity-length": len(body), "entity-digest": digest(body)}},
+        "envelope": {"warc-header": _by_name(headers), "payload-digest": payload, "http-response": {"status": status, "headers": _by_name(fields), "entity-length": len(body), "entity-digest": digest(body)}},
         "html": page_metadata(page, uri or ""),
     }
     out = []

@@ -46,6 +46,14 @@ def test_other_records(spark):
             warc.parse(bad)
 
 
+def test_repeated_headers_are_kept():
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nContent-Type: text/html\r\nset-cookie: b=2\r\nSet-Cookie: a=1\r\n\r\n<p>x</p>"
+    source = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Concurrent-To", "<urn:uuid:2>"), ("WARC-Concurrent-To", "<urn:uuid:3>")], block)
+    envelope = json.loads(warc.parse(warc.derive_record(source)[0]["record"])[1])["envelope"]
+    assert envelope["warc-header"]["WARC-Concurrent-To"] == ["<urn:uuid:2>", "<urn:uuid:3>"] and envelope["warc-header"]["WARC-Type"] == "response"
+    assert envelope["http-response"]["headers"] == {"Set-Cookie": ["a=1", "b=2", "a=1"], "Content-Type": "text/html"}
+
+
 CHANGES = "op string, source string, lang string, version string, tokens long, old_source string, old_lang string, old_version string, old_tokens long, change_id long"
 
 
