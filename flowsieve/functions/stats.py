@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+#: Rows of a histogram that one task may sort.
+SMALL = 200_000
+
+
 def positive(w: Column) -> Column:
     return F.when(w > 0, w)
 
@@ -21,27 +25,26 @@ def share(part: Column, total: Column) -> Column:
     return F.coalesce(F.when(total > 0, part.cast("double") / total.cast("double")), F.lit(0.0))
 
 
-def gini(df: DataFrame, weight: str, by: list[str]) -> DataFrame:
+def gini(df: DataFrame, weight: str, by: list[str], ranges: int | None = None) -> DataFrame:
     """Gini coefficient of a weight column for each group: by, gini.
 
     Equal weights are counted first. Ranks then follow from a running count over distinct weights, so that the window
-    sees a histogram and not the rows. With no groups the histogram's sum is taken by two levels of ranges."""
-    hist = df.groupBy(*by, F.col(weight).cast("double").alias("w")).agg(F.count("*").cast("double").alias("c"))
-    before = F.sum("c").over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("w").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = hist.withColumn("b", F.coalesce(before, F.lit(0.0)))
+    sees a histogram and not the rows. A histogram of more than SMALL rows is cut into ranges, groups too, so that no single task sorts it all; `ranges`
+    asks for that many in any case."""
+    from ..operators.ordering import durable, with_sequence
+
+    hist = durable(df.groupBy(*by, F.col(weight).cast("double").alias("w")).agg(F.count("*").cast("double").alias("c")))
+    if ranges or hist.count() > SMALL:
+        ranked = with_sequence(hist, ["w"], count="c", name="b", partitions=ranges, by=tuple(by))
+    else:
+        before = F.sum("c").over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("w").rowsBetween(Window.unboundedPreceding, -1))
+        ranked = hist.withColumn("b", F.coalesce(before, F.lit(0.0)))
     n, total = F.sum("c"), F.sum(F.col("w") * F.col("c"))
     ranks = F.sum(F.col("w") * (F.col("c") * F.col("b") + F.col("c") * (F.col("c") + 1) / 2))
     value = F.coalesce(F.when(total > 0, 2 * ranks / (n * total) - (n + 1) / n), F.lit(0.0))
     return ranked.groupBy(*by).agg(value.alias("gini"))
 
 
-def gini_total(df: DataFrame, weight: str, ranges: int = 64) -> DataFrame:
-    """Gini coefficient of a whole column, one row. The histogram of weights is cut into ranges whose counts are small, so that no single task
-    sorts it all."""
-    from ..operators.ordering import with_sequence
-
-    hist = df.groupBy(F.col(weight).cast("double").alias("w")).agg(F.count("*").cast("double").alias("c"))
-    ranked = with_sequence(hist, ["w"], count="c", name="b", partitions=ranges)
-    n, total = F.sum("c"), F.sum(F.col("w") * F.col("c"))
-    ranks = F.sum(F.col("w") * (F.col("c") * F.col("b") + F.col("c") * (F.col("c") + 1) / 2))
-    return ranked.agg(F.coalesce(F.when(total > 0, 2 * ranks / (n * total) - (n + 1) / n), F.lit(0.0)).alias("gini"))
+def gini_total(df: DataFrame, weight: str, ranges: int | None = None) -> DataFrame:
+    """Gini coefficient of a whole column, one row; 0 without rows."""
+    return gini(df, weight, [], ranges)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stats import entropy_bits, gini_total, share
+from .ordering import durable
 from .pairs import aggregate_pairs
 from .windows import gap_share, kth_weights, prefix
 
@@ -25,10 +26,10 @@ def early_features(edges: DataFrame, prefix_edges: int = 50_000) -> DataFrame:
     if "weight" not in edges.columns:
         raise ValueError("missing value column 'weight'")
     head = prefix(edges, prefix_edges)
-    pairs = head.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    pairs = durable(head.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")))
     cells = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("observed_edges"), F.count("*").alias("unique_pairs"), F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("w"), F.max("weight").alias("top_e"), entropy_bits("weight").alias("edge_entropy_bits"))
     side = lambda a, p, q: pairs.groupBy(a).agg(F.sum("weight").alias("s")).agg(F.count("*").alias(f"unique_{q}"), F.max("s").alias(f"top_{a}"), entropy_bits("s").alias(f"{p}_entropy_bits"))
-    one = cells.join(F.broadcast(side("src", "source", "sources"))).join(F.broadcast(side("dst", "destination", "destinations"))).join(F.broadcast(gini_total(pairs, "weight", 8)))
+    one = cells.join(F.broadcast(side("src", "source", "sources"))).join(F.broadcast(side("dst", "destination", "destinations"))).join(F.broadcast(gini_total(pairs, "weight")))
     n = F.col("observed_edges")
     rate = F.when(n > 0, F.col("unique_pairs") / n).otherwise(0.0)
     return one.select(
@@ -57,7 +58,7 @@ def prefix_certificate(edges: DataFrame, prefix_edges: int = 50_000, k: int = 20
     """One row: top-k share, gap, the least capacity and width that they ask for, margin and decision.
 
     strict: a tracker of c counters surely keeps weights above W / c; the default asks for W / (c + 1)."""
-    pairs = aggregate_pairs(prefix(edges, prefix_edges))
+    pairs = durable(aggregate_pairs(prefix(edges, prefix_edges)))
     total = pairs.agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("w"))
     row = total.join(F.broadcast(kth_weights(pairs, k))).withColumn("gap", gap_share(F.col("kth"), F.col("next"), F.col("w"), on_exact_k))
     inf = F.lit(float("inf"))
@@ -93,7 +94,7 @@ def window_stability(edges: DataFrame, window_edges: int, prefix_edges: int, k:
     from .windows import window_statistics, windowed
 
     rows = windowed(edges, window_edges).where(F.col("seq") - F.col("window") * window_edges < prefix_edges)
-    pairs = rows.groupBy("window", "src", "dst").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    pairs = durable(rows.groupBy("window", "src", "dst").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")))
     cells = pairs.groupBy("window").agg(F.sum("n").alias("observed_edges"), F.count("*").alias("unique_pairs"), F.sum("weight").cast("double").alias("w"), F.max("weight").alias("top_e"))
     side = lambda a: pairs.groupBy("window", a).agg(F.sum("weight").alias("s")).groupBy("window").agg(F.max("s").alias(f"top_{a}"))
     one = cells.join(side("src"), "window").join(side("dst"), "window").join(gini(pairs, "weight", ["window"]).withColumnRenamed("gini", "edge_gini"), "window")

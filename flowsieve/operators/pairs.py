@@ -11,13 +11,13 @@ def aggregate_pairs(edges: DataFrame, by: tuple[str, ...] = (), strategy: str =
     """Sums weights by source and destination, and by the columns in `by` if any.
 
     direct: partial sums, one exchange, final sums. preaggregate: a salted first level for inputs whose pairs repeat so
-    unevenly that one pair fills a task even after partial sums. sort: rows are dealt and sorted by pair first, for inputs with next to no repeats."""
+    unevenly that one pair fills a task even after partial sums; the salt is a hash of the row, so that a rerun of a lost task deals alike. sort: rows are dealt and sorted by pair first, for inputs with next to no repeats."""
     keys = [*by, "src", "dst"]
     total = F.sum("weight").alias("weight")
     if strategy == "direct":
         return edges.groupBy(*keys).agg(total)
     if strategy == "preaggregate":
-        salted = edges.withColumn("__salt", (F.rand(7) * salt).cast("int"))
+        salted = edges.withColumn("__salt", F.pmod(F.xxhash64(*edges.columns), F.lit(salt)))
         return salted.groupBy(*keys, "__salt").agg(total).groupBy(*keys).agg(total)
     if strategy == "sort":
         return edges.repartition(*keys).sortWithinPartitions(*keys).groupBy(*keys).agg(total)
@@ -84,3 +84,12 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
 def same_rows(left: DataFrame, right: DataFrame) -> bool:
     """Multiset equality."""
     return not left.exceptAll(right).limit(1).count() and not right.exceptAll(left).limit(1).count()
+
+
+def window_differences(left: DataFrame, right: DataFrame, window_edges: int = 131_072) -> DataFrame:
+    """A row for each window of window_edges records: window, left_rows, right_rows, unmatched (rows of either side that the other lacks, counted with
+    repeats) and equal. Both sides: seq, src, dst. Records are counted by pair first, so that the comparison meets counts and not rows."""
+    side = lambda df, n: df.groupBy(F.expr(f"seq div {window_edges}").alias("window"), "src", "dst").agg(F.count("*").alias(n))
+    both = side(left, "l").join(side(right, "r"), ["window", "src", "dst"], "full_outer").select("window", F.coalesce("l", F.lit(0)).alias("l"), F.coalesce("r", F.lit(0)).alias("r"))
+    out = both.groupBy("window").agg(F.sum("l").alias("left_rows"), F.sum("r").alias("right_rows"), F.sum(F.abs(F.col("l") - F.col("r"))).alias("unmatched"))
+    return out.withColumn("equal", F.col("unmatched") == 0)

@@ -10,7 +10,10 @@ from .pairs import strengths
 
 
 def matrix_summary(pairs: DataFrame, singular: DataFrame | None = None) -> DataFrame:
-    """One row of scalars. Dimensions are the labels seen. singular: one row with top_singular_value, see top_singular_value()."""
+    """One row of scalars. Dimensions are the labels seen. singular: one row with top_singular_value, see top_singular_value().
+
+    The pairs are written once; labels, cells and the histogram of weights are read from there."""
+    pairs = durable(pairs)
     src, dst = strengths(pairs, "src"), strengths(pairs, "dst")
     side = lambda s, p: s.agg(F.count("*").alias(f"n_{p}"), F.coalesce(F.max("strength"), F.lit(0)).cast("double").alias(f"max_{p}_strength"), F.coalesce(F.max("degree"), F.lit(0)).alias(f"max_{p}_degree"), entropy_bits("strength").alias(f"{p}_entropy_bits"))
     cells = pairs.agg(F.count("*").alias("nnz"), F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("total_weight"), F.coalesce(F.max("weight"), F.lit(0)).cast("double").alias("max_edge"))
@@ -58,6 +61,7 @@ def similarity_cells(pairs: DataFrame, axis: str = "src") -> DataFrame:
 
 def official_formula(pairs: DataFrame) -> DataFrame:
     """One row: total weight, activity cells, and the cells of both similarities."""
+    pairs = durable(pairs)
     head = pairs.agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("total_weight"), F.count("*").alias("activity_nnz"), F.count_distinct("src").alias("n_source"), F.count_distinct("dst").alias("n_destination"))
     return head.join(F.broadcast(similarity_cells(pairs, "src"))).join(F.broadcast(similarity_cells(pairs, "dst")))
 

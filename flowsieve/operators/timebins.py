@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.stats import entropy_bits, gini, share
+from .ordering import durable
 
 #: Fixed: the columns with a robust z, and those whose positive z the score sums (all but the Gini).
 Z_COLUMNS = ("total_weight", "nnz", "source_entropy_bits", "destination_entropy_bits", "edge_gini", "top_edge_share", "top_source_share", "top_destination_share", "unique_sources", "unique_destinations")
@@ -14,8 +15,8 @@ SCORED = tuple(c for c in Z_COLUMNS if c != "edge_gini")
 
 
 def time_bin_summary(edges: DataFrame) -> DataFrame:
-    """A row for each time_bin. One exchange on (bin, pair) carries the counts; sources and destinations follow from pairs."""
-    pairs = edges.groupBy("time_bin", "src", "dst").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    """A row for each time_bin. One exchange on (bin, pair) carries the counts; the pairs are written once, and sources, destinations and the Gini follow from them."""
+    pairs = durable(edges.groupBy("time_bin", "src", "dst").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")))
     whole = pairs.groupBy("time_bin").agg(F.sum("n").alias("n_edges"), F.count("*").alias("nnz"), F.sum("weight").cast("double").alias("total_weight"), F.max("weight").cast("double").alias("top"))
 
     def side(axis: str, name: str, plural: str) -> DataFrame:
@@ -44,6 +45,16 @@ def anomaly_scores(summary: DataFrame) -> DataFrame:
     return z.withColumn("anomaly_score", score)
 
 
+def injected_bins(summary: DataFrame, bad_bin: int, by: str = "scenario") -> DataFrame:
+    """A row for each scenario of scored summaries: the injected bin's rank (highest score first), score and figures, beside the medians of weight and pairs
+    over the other bins."""
+    ranked = anomaly_ranks(summary, (by,)).withColumn("injected", F.col("time_bin") == bad_bin)
+    typical = ranked.groupBy(by).agg(*(F.median(F.when(~F.col("injected"), F.col(c).cast("double"))).alias(f"typical_{c}_median") for c in ("total_weight", "nnz")))
+    figures = ("total_weight", "nnz", "top_edge_share", "top_source_share", "top_destination_share", "unique_sources", "unique_destinations")
+    own = ranked.where("injected").select(by, F.col("time_bin").alias("anomaly_bin"), F.col("rank").cast("long").alias("anomaly_rank"), "anomaly_score", *figures)
+    return own.join(typical, by)
+
+
 def anomaly_ranks(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """scored with rank, highest score first, ties to the earlier bin; by scenario if asked. Time bins are few."""
     order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))

@@ -115,3 +115,23 @@ def test_prefix_certificate_decides(spark):
     ties = spark.createDataFrame([(i, 0, 40, i) for i in range(50)], EDGES + ", seq long")
     row = decisions.prefix_certificate(ties, 100, 5).first()
     assert (row.decision, row.reason, row.width_min) == ("not_certified", "no gap after rank k", float("inf"))
+
+
+def test_gini_of_groups_in_ranges(spark):
+    """A group cut by ranges has the same coefficient; null is a group."""
+    rows = [("hot", float(i * i % 97)) for i in range(400)] + [("b", 1.0), ("b", 5.0)] + [(None, float(i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "g string, w double").repartition(5)
+    whole = {r.g: round(r.gini, 9) for r in gini(df, "w", ["g"]).collect()}
+    assert {r.g: round(r.gini, 9) for r in gini(df, "w", ["g"], ranges=7).collect()} == whole and len(whole) == 3
+
+
+def test_salt_is_a_function_of_the_row(spark):
+    df = spark.createDataFrame([(1, 2, i % 5 + 1, i) for i in range(500)] + [(2, 3, 7, 500)], "src long, dst long, weight long, seq long")
+    assert P.same_rows(P.aggregate_pairs(df), P.aggregate_pairs(df.repartition(7), strategy="preaggregate"))
+
+
+def test_window_differences(spark):
+    left = spark.createDataFrame([(i, i % 3, i % 2) for i in range(20)], "seq long, src long, dst long")
+    right = left.where("seq <> 13").unionByName(spark.createDataFrame([(13, 9, 9), (13, 9, 9)], left.schema))
+    rows = {r.window: (r.left_rows, r.right_rows, r.unmatched, r["equal"]) for r in P.window_differences(left, right, 8).collect()}
+    assert rows == {0: (8, 8, 0, True), 1: (8, 9, 3, False), 2: (4, 4, 0, True)}
