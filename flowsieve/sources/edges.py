@@ -36,22 +36,46 @@ def read_edges(spark: SparkSession, path: str, value_column: str = "bytes", sche
     return normalise(df, value_column)
 
 
+def matrix_market_head(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Banner and size line of a Matrix Market file, or of the first part of a folder of them: read from its start, by the driver, a few lines."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(conf)
+    files = sorted((f.getPath() for f in fs.listStatus(where) if f.isFile() and f.getLen() and not f.getPath().getName().startswith(("_", "."))), key=lambda f: f.getName())
+    if not files:
+        raise ValueError(f"nothing to read at {path}")
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(files[0])
+    stream = fs.open(files[0])
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        banner = reader.readLine()
+        if banner is None or not banner.startswith("%%MatrixMarket"):
+            raise ValueError("not a Matrix Market file in coordinate format")
+        while (line := reader.readLine()) is not None:
+            if not line.startswith("%") and line.strip():
+                return banner, line
+    finally:
+        reader.close()
+    raise ValueError("no size line")
+
+
 def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
     """(src, dst, weight) with labels from 0, repeats summed, and the numbers of rows and columns of the size line. Coordinate format; pattern cells weigh 1."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    head = spark.read.text(path).where(F.col("value").startswith("%%MatrixMarket")).limit(1).collect()
-    if not head or " coordinate " not in head[0][0].lower():
+    banner, size = matrix_market_head(spark, path)
+    kind = banner.lower().split()
+    if "coordinate" not in kind:
         raise ValueError("not a Matrix Market file in coordinate format")
-    parts = F.split(F.trim("value"), r"\s+")
-    size = lines.limit(1).select(parts.alias("p")).first()
-    if size is None:
-        raise ValueError("no size line")
-    rows, cols = int(size["p"][0]), int(size["p"][1])
-    first = lines.limit(1).select(F.col("value").alias("v"))
-    cells = lines.withColumn("i", F.monotonically_increasing_id()).where("i > 0").drop("i") if lines.rdd.getNumPartitions() == 1 else lines.join(F.broadcast(first), F.col("value") == F.col("v"), "left_anti")
-    p = cells.select(parts.alias("p"))
+    rows, cols = (int(x) for x in size.split()[:2])
+    lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    # One line goes that reads as the size line does. A cell may read the same: all but one of these are cells.
+    alike = lines.where(F.col("value") == size).agg(F.count("*").alias("n")).where("n > 1")
+    alike = alike.select(F.explode(F.sequence(F.lit(2), F.col("n"))).alias("i")).select(F.lit(size).alias("value"))
+    p = lines.where(F.col("value") != size).unionByName(alike).select(F.split(F.trim("value"), r"\s+").alias("p"))
     weight = F.coalesce(F.get("p", F.lit(2)).try_cast("double"), F.lit(1.0))
     out = p.select((F.col("p")[0].cast("long") - 1).alias("src"), (F.col("p")[1].cast("long") - 1).alias("dst"), weight.alias("weight"))
+    if kind[-1] in ("symmetric", "skew-symmetric", "hermitian"):  # such files hold one half
+        mirrored = out.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") * (-1 if kind[-1].startswith("skew") else 1)).alias("weight"))
+        out = out.unionByName(mirrored)
     return out.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), rows, cols
 
 

@@ -106,3 +106,26 @@ def test_generators(spark):
     assert synthetic.make_edges(spark, 3, 4, 4, strings=True).first().src.startswith("s0000")
     with pytest.raises(ValueError):
         synthetic.make_edges(spark, 1, 1, 1, "odd")
+
+
+def test_a_cell_that_reads_like_the_size_line(spark, tmp_path):
+    """In one partition and in several, in one file and in a folder of parts."""
+    cells = [(i, j, i + j) for i in range(1, 4) for j in range(1, 4)]
+    text = "%%MatrixMarket matrix coordinate real general\n% c\n3 3 6\n" + "".join(f"{i} {j} {w}\n" for i, j, w in cells)
+    (tmp_path / "a.mtx").write_text(text)
+    head, tail = text.split("3 1 4\n")
+    (tmp_path / "parts").mkdir()
+    (tmp_path / "parts" / "part-0").write_text(head)
+    (tmp_path / "parts" / "part-1").write_text("3 1 4\n" + tail)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for path in ("a.mtx", "parts"):
+            got, rows, cols = E.read_matrix_market(spark, str(tmp_path / path))
+            assert (rows, cols) == (3, 3)
+            assert sorted(tuple(r) for r in got.collect()) == [(i - 1, j - 1, float(w)) for i, j, w in cells]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "s.mtx").write_text("%%MatrixMarket matrix coordinate real symmetric\n2 2 2\n1 1 1\n2 1 5\n")
+    assert sorted(tuple(r) for r in E.read_matrix_market(spark, str(tmp_path / "s.mtx"))[0].collect()) == [(0, 0, 1.0), (0, 1, 5.0), (1, 0, 5.0)]
