@@ -47,7 +47,11 @@ def coverage(scores: DataFrame, alphas: tuple[float, ...] = (0.05, 0.1, 0.2), by
     return out.withColumn("valid", F.col("coverage") >= 1.0 - F.col("alpha"))
 
 
-def adaptive(scores: DataFrame, target: float = 0.1, gamma: float = 0.05, warmup: int = 20) -> DataFrame:
+#: Fixed: windows seen before the first bound; range that the level is held to when a rank is taken.
+WARMUP, LEAST_LEVEL, MOST_LEVEL = 20, 1e-6, 0.999
+
+
+def adaptive(scores: DataFrame, target: float = 0.1, gamma: float = 0.05, warmup: int = WARMUP) -> DataFrame:
     """Adaptive conformal inference: source, window, alpha_t, bound, score, miscovered. A fold over each source's windows, which are few."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -58,7 +62,7 @@ def adaptive(scores: DataFrame, target: float = 0.1, gamma: float = 0.05, warmup
         alpha, out = target, []
         for i, (window, score) in enumerate(zip(rows["window"], rows["score"])):
             if i >= warmup:
-                rank = math.floor(min(max(alpha, 1e-6), 0.999) * (len(seen) + 1))
+                rank = math.floor(min(max(alpha, LEAST_LEVEL), MOST_LEVEL) * (len(seen) + 1))
                 bound = seen[rank - 1] if rank >= 1 else float("-inf")
                 missed = float(score < bound)
                 out.append((rows["source"].iloc[0], window, alpha, bound, score, missed))

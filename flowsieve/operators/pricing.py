@@ -34,13 +34,13 @@ def price(gaps: DataFrame, depth: int = 5, counter: int = COUNTER, candidate: in
     best = (2 / gap) * (E + math.sqrt(E * candidate / (depth * counter)))
     start = F.greatest(F.ceil(1 / (gap / 2 - E / best)) - 1, F.lit(1))
     span = 1024
-    rows = gaps.withColumn("__ok", ok).withColumn("__id", F.monotonically_increasing_id())
-    tries = rows.where("__ok").withColumn("capacity", F.explode(F.sequence(F.greatest(start - span, F.lit(1)), start + span)))
+    rows = gaps.withColumn("__ok", ok)
+    tries = rows.where("__ok").select("gap").distinct().withColumn("capacity", F.explode(F.sequence(F.greatest(start - span, F.lit(1)), start + span)))
     least = F.ceil(F.lit(E) / (gap / 2 - 1 / (F.col("capacity") + 1)))
     tries = tries.where(gap / 2 - 1 / (F.col("capacity") + 1) > 0).withColumn("width", F.explode(F.array(least, least + 1))).withColumn("capacity", capacity_for_width(gap, F.col("width"))).where("capacity is not null")
     tries = tries.withColumn("total", F.col("width") * (depth * counter) + F.col("capacity") * candidate)
-    found = tries.groupBy("__id").agg(F.min(F.struct("total", "width", "capacity")).alias("b"))
-    out = rows.join(found, "__id", "left")
+    found = tries.groupBy(gap.alias("__gap")).agg(F.min(F.struct("total", "width", "capacity")).alias("b"))
+    out = rows.join(found, gap == F.col("__gap"), "left")  # by the gap itself: the price is a function of it
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return out.select(
         *gaps.columns, F.col("__ok").alias("feasible"), zero(F.col("b.width")).alias("width"), zero(F.col("b.capacity")).alias("capacity"), zero(F.col("b.width") * (depth * counter)).alias("sketch_bytes"), zero(F.col("b.capacity") * candidate).alias("candidate_bytes"), zero(F.col("b.total")).alias("total_bytes"),
@@ -56,6 +56,17 @@ def best_index(gaps: DataFrame, total_bytes: int, depth: int = 5, counter: int =
     return gaps.join(F.broadcast(least)).withColumn("best_index", F.when((F.col("gap") > 0) & F.col("__least").isNotNull(), F.col("gap") / F.col("__least")).otherwise(0.0)).drop("__least")
 
 
+def with_bounds(rows: DataFrame, bounds: DataFrame, suffix: str = "_edges", name: str = "gap") -> DataFrame:
+    """rows (source, ...) with the bound of their source from bounds (source, bound): by its name, else by its name without every `suffix`, else 0; never below 0.
+    Where a source has several bounds, the least counts."""
+    known = bounds.groupBy("source").agg(F.min("bound").alias("b"))
+    own = known.select(F.col("source").alias("__own"), F.col("b").alias("__b"))
+    other = known.select(F.col("source").alias("__other"), F.col("b").alias("__c"))
+    out = rows.join(own, F.col("source") == F.col("__own"), "left").join(other, F.replace(F.col("source"), F.lit(suffix), F.lit("")) == F.col("__other"), "left")
+    bound = F.greatest(F.coalesce("__b", "__c", F.lit(0.0)), F.lit(0.0))
+    return out.withColumn(name, bound).drop("__own", "__b", "__other", "__c")
+
+
 def identifiability_index(gap: Column, width: Column, capacity: Column) -> Column:
     return gap / budget_threshold(width, capacity)
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 #: Fixed: the prime of the hash family and the stride of its rows' seeds.
 PRIME, STRIDE = 2147483647, 104729
 WIDTH, DEPTH, CAPACITY, SEED = 8192, 5, 512, 17
+#: Summaries that one task merges.
+FAN_IN = 8
 
 
 def hash_parameters(row: int, seed: int = SEED) -> tuple[int, int, int]:
@@ -105,15 +107,26 @@ def space_saving(edges: DataFrame, capacity: int = 256) -> DataFrame:
         floor = max(floors.sum(), best["count"].iloc[capacity] if len(best) > capacity else 0.0)
         return best.head(capacity)[["src", "dst", "count", "error"]].assign(floor=floor, part=int(frame["part"].iloc[0]))
 
+    from .ordering import durable
+
     pairs = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    parts = pairs.mapInPandas(track, schema).withColumn("part", F.spark_partition_id())
-    n = max(1, pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    while True:
-        parts = parts.withColumn("slot", F.col("part")).withColumn("part", F.expr("part div 8").cast("int"))
+    # As many summaries as tasks had records, each of `capacity` rows at most: how many there are is read from what was written.
+    parts = durable(pairs.mapInPandas(track, schema).withColumn("part", F.spark_partition_id()))
+    last = parts.agg(F.max("part")).first()[0] or 0
+    while last > 0:
+        parts = parts.withColumn("slot", F.col("part")).withColumn("part", F.expr(f"part div {FAN_IN}").cast("int"))
         parts = parts.groupBy("part").applyInPandas(merged, schema)
-        n = -(-n // 8)
-        if n <= 1:
-            return parts.select("src", "dst", "count", "error")
+        last //= FAN_IN
+    return parts.select("src", "dst", "count", "error")
+
+
+def heavy_hitters(edges: DataFrame, capacity: int = 256) -> DataFrame:
+    """(src, dst, weight) of the pairs that weigh more than a share 1 / capacity of all. A tracker of `capacity` counters holds each of them, and at most
+    `capacity` pairs come to the second pass, which sums them exactly."""
+    found = space_saving(edges, capacity).select("src", "dst")
+    total = edges.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("total"))
+    exact = edges.join(F.broadcast(found), ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return exact.join(F.broadcast(total)).where(F.col("weight") > F.col("total") / float(capacity)).drop("total")
 
 
 def stream_summary(edges: DataFrame, candidates: DataFrame, sketch: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
@@ -155,15 +168,18 @@ def edge_keys(edges: DataFrame, bits: tuple[int, int] | None = None) -> tuple[Da
     return edges.groupBy(key.alias("key")).agg(F.sum("weight").alias("weight")), src_bits + dst_bits, dst_bits
 
 
-def _prefix(level: int, bits: int) -> Column:
-    return F.shiftrightunsigned(F.col("key"), bits - level)
-
-
 def dyadic_count_min(keys: DataFrame, bits: int, width: int = WIDTH, depth: int = 4, top_bits: int = 12, seed: int = 101) -> DataFrame:
     """(level, row, col, w): a weighted Count-Min over every prefix length from top_bits on."""
-    levels = range(min(top_bits, bits), bits + 1)
-    cells = F.array(*(F.struct(F.lit(v).alias("level"), F.lit(r).alias("row"), _level_bucket(_prefix(v, bits), v, r, width, seed).alias("col")) for v in levels for r in range(depth)))
-    return keys.select("weight", F.explode(cells).alias("c")).groupBy("c.level", "c.row", "c.col").agg(F.sum("weight").alias("w"))
+    first = min(top_bits, bits)
+    # Every (level, row) of a key is a small number; the hash's parameters are looked up by it, so that the generated code stays small.
+    hashes = [hash_parameters(r, seed + 1009 * v) for v in range(first, bits + 1) for r in range(depth)]
+    names = [f"array({', '.join(f'{h[i]}L' for h in hashes)})[i]" for i in range(3)]
+    cells = keys.select("key", "weight", F.explode(F.sequence(F.lit(0), F.lit(len(hashes) - 1))).alias("i"))
+    cells = cells.select("weight", "i", F.expr(f"shiftrightunsigned(key, {bits - first} - i div {depth})" if bits - first else "key").alias("p"))
+    h = F.expr(f"({names[0]} * (shiftrightunsigned(p, 31) % {PRIME}) + {names[1]}) % {PRIME}")
+    col = (F.expr(f"{names[2]} * ((p & {PRIME}) % {PRIME})") + h) % PRIME % width
+    sums = cells.groupBy("i", col.alias("col")).agg(F.sum("weight").alias("w"))
+    return sums.select((F.lit(first) + F.expr(f"i div {depth}")).cast("int").alias("level"), (F.col("i") % depth).cast("int").alias("row"), "col", "w")
 
 
 def _level_bucket(prefix: Column, level: int, row: int, width: int, seed: int) -> Column:

@@ -5,11 +5,13 @@ Doubles are rounded on both sides, because engines add in different orders."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.stats import gini
 from ..operators import conformal, decisions, pairs as P, pricing, sketches, summary, timebins, windows
+from ..operators.ordering import durable
 from ..sources import edges as E, fixtures as fx, synthetic
 from ..sources.fixtures import SQL
 
@@ -79,12 +81,31 @@ def pair_aggregate_sorted(spark, sf):
     return P.aggregate_pairs(fx.diffuse(spark, sf), strategy="sort")
 
 
-@query(f"{PAIRS_A} SELECT count(*) AS left_nnz, count(*) AS right_nnz, CAST(0 AS BIGINT) AS unmatched, CAST(0 AS DOUBLE) AS max_difference, true AS equivalent FROM p")
+_COMPARE = """SELECT count(l.weight) AS left_nnz, count(r.weight) AS right_nnz, count(*) FILTER (l.weight IS NULL OR r.weight IS NULL) AS unmatched, coalesce(max(abs(CAST(coalesce(l.weight, 0) - coalesce(r.weight, 0) AS DOUBLE))), 0.0) AS max_difference,
+count(*) FILTER (l.weight IS NULL OR r.weight IS NULL) = 0 AND coalesce(max(abs(coalesce(l.weight, 0) - coalesce(r.weight, 0))), 0) < 1e-9 AS equivalent FROM l FULL JOIN r ON l.src = r.src AND l.dst = r.dst"""
+
+
+@query(f"{PAIRS_A}, l AS (SELECT * FROM p), r AS (SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM ea GROUP BY src, dst) {_COMPARE}")
 def builders_equal(spark, sf):
     e = fx.diffuse(spark, sf)
     return P.compare(P.aggregate_pairs(e), P.aggregate_pairs(e, strategy="preaggregate"))
 
 
+@query(f"{PAIRS_A}, l AS (SELECT * FROM p), r AS (SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM ea WHERE weight % 11 <> 3 GROUP BY src, dst) {_COMPARE}")
+def builders_differ(spark, sf):
+    """A table against itself without some records."""
+    e = fx.diffuse(spark, sf)
+    return P.compare(P.aggregate_pairs(e), P.aggregate_pairs(e.where("weight % 11 <> 3"), strategy="sort"))
+
+
+@query(f"""{with_ctes('d')}, l AS (SELECT seq // 1000 AS "window", src, dst, count(*) AS n FROM ed GROUP BY 1, 2, 3), r AS (SELECT seq // 1000 AS "window", src, dst, count(*) AS n FROM ed WHERE seq % 500 <> 7 OR seq < 1000 GROUP BY 1, 2, 3)
+SELECT coalesce(l."window", r."window") AS "window", CAST(sum(coalesce(l.n, 0)) AS BIGINT) AS left_rows, CAST(sum(coalesce(r.n, 0)) AS BIGINT) AS right_rows, CAST(sum(abs(coalesce(l.n, 0) - coalesce(r.n, 0))) AS BIGINT) AS unmatched, sum(abs(coalesce(l.n, 0) - coalesce(r.n, 0))) = 0 AS equal
+FROM l FULL JOIN r ON l."window" = r."window" AND l.src = r.src AND l.dst = r.dst GROUP BY 1""")
+def window_differences(spark, sf):
+    e = fx.events(spark, sf)
+    return P.window_differences(e, e.where("seq % 500 <> 7 or seq < 1000"), 1000)
+
+
 @query(f"{PAIRS_A} SELECT src AS label, CAST(sum(weight) AS BIGINT) AS strength, count(*) AS degree FROM p GROUP BY src")
 def src_strength(spark, sf):
     return P.strength_distribution(P.aggregate_pairs(fx.diffuse(spark, sf)), "src")
@@ -179,12 +200,12 @@ def _power_sql(rounds: int) -> str:
         out.append(f"y{i} AS MATERIALIZED (SELECT src, sum(weight * x) AS y FROM p JOIN x{i} USING (dst) GROUP BY src)")
         out.append(f"z{i} AS MATERIALIZED (SELECT dst, sum(weight * y) AS z FROM p JOIN y{i} USING (src) GROUP BY dst)")
         out.append(f"x{i + 1} AS MATERIALIZED (SELECT dst, z / sqrt((SELECT sum(z * z) FROM z{i})) AS x FROM z{i})")
-    return ", ".join(out) + f" SELECT round(sqrt(sum(y * y)) / 1000) AS top_singular_value FROM y{rounds - 1}"
+    return ", ".join(out) + f" SELECT round(sqrt(sum(y * y))) AS top_singular_value FROM y{rounds - 1}"
 
 
 @query(_power_sql(8))
 def top_singular_value(spark, sf):
-    return summary.top_singular_value(P.aggregate_pairs(fx.dense(spark, sf)), 8).select(F.round(F.col("top_singular_value") / 1000).alias("top_singular_value"))
+    return summary.top_singular_value(P.aggregate_pairs(fx.dense(spark, sf)), 8).select(F.round("top_singular_value").alias("top_singular_value"))
 
 
 @query(f"""{with_ctes("d", pairs="d")} SELECT a.*, b.*, c.* FROM
@@ -345,44 +366,92 @@ def conformal_coverage(spark, sf):
     return rounded(conformal.coverage(_scores(spark, sf)), 9)
 
 
-@query()
+_AW, _AK, _AWARM, _TARGET, _GAMMA = 20, 3, 10, 0.1, 0.05
+
+
+def _adaptive_sql() -> str:
+    """The fold as a recursion over windows: the scores so far are the head of one list, the level is the state."""
+    rank = f"CAST(floor(least(greatest(alpha, {conformal.LEAST_LEVEL}), {conformal.MOST_LEVEL}) * (i + 1)) AS BIGINT)"
+    ws = _window_sql("d", _AW).replace(f"WHEN r = {K} ", f"WHEN r = {_AK} ").replace(f"WHEN r = {K + 1} ", f"WHEN r = {_AK + 1} ")
+    step = f"SELECT i, alpha, CASE WHEN {rank} >= 1 THEN list_sort(s[1:i])[{rank}] ELSE CAST('-inf' AS DOUBLE) END AS bound, s[i + 1] AS score FROM"
+    return f"""{with_ctes('d').replace('WITH', 'WITH RECURSIVE', 1)}, {ws}, al AS MATERIALIZED (SELECT list(topk_gap_share ORDER BY "window") AS s FROM ws),
+st AS (SELECT CAST({_AWARM} AS BIGINT) AS i, CAST({_TARGET} AS DOUBLE) AS alpha UNION ALL
+SELECT i + 1, alpha + {_GAMMA} * ({_TARGET} - CASE WHEN score < bound THEN 1.0 ELSE 0.0 END) FROM ({step} st, al WHERE i + 1 < len(s)))
+SELECT 'events' AS source, i AS "window", {R('alpha', 9)} AS alpha_t, bound, score, CASE WHEN score < bound THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS miscovered FROM ({step} st, al WHERE i < len(s))"""
+
+
+@query(_adaptive_sql())
 def adaptive_conformal(spark, sf):
-    return conformal.adaptive(_scores(spark, sf), warmup=10)
+    w = windows.window_statistics(fx.events(spark, sf), _AW, _AK)
+    scores = w.select(F.lit("events").alias("source"), "window", F.round("topk_gap_share", 9).alias("score"))
+    return rounded(conformal.adaptive(scores, _TARGET, _GAMMA, _AWARM), 9)
 
 
-_GAPS = "(VALUES ('flows', CAST(3.0811065327336545e-05 AS DOUBLE)), ('hotspot', CAST(4.4079887626703126e-05 AS DOUBLE)), ('wide', CAST(0.01 AS DOUBLE)), ('ties', CAST(0.0 AS DOUBLE))) g(source, gap)"
+_RANKS = (1, 2, 5, 10, 20)
+_GAPS = f"""{with_ctes("b", "c", pairs="c")}, gr AS (SELECT weight, lead(weight) OVER (ORDER BY weight DESC, src, dst) AS nxt, row_number() OVER (ORDER BY weight DESC, src, dst) AS r FROM p),
+gb AS (SELECT weight, lead(weight) OVER (ORDER BY weight DESC, src, dst) AS nxt, row_number() OVER (ORDER BY weight DESC, src, dst) AS r FROM (SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM eb GROUP BY src, dst)),
+g AS (SELECT 'rank_' || r || '_edges' AS source, CAST(weight - nxt AS DOUBLE) / (SELECT CAST(sum(weight) AS DOUBLE) FROM p) AS gap FROM gr WHERE r IN {_RANKS}
+UNION ALL SELECT 'tied_' || min(r), CAST(0 AS DOUBLE) FROM gb WHERE weight = nxt)"""
 
 
-def _gaps(spark):
-    return spark.createDataFrame([("flows", 3.0811065327336545e-05), ("hotspot", 4.4079887626703126e-05), ("wide", 0.01), ("ties", 0.0)], "source string, gap double")
+def _gaps(spark, sf):
+    """(source, gap) of the dense matrix after some ranks, and the first tie of the tied one, whose gap is 0."""
+    def steps(edges):
+        pairs = P.aggregate_pairs(edges)
+        order = Window.partitionBy(F.lit(0)).orderBy(F.desc("weight"), "src", "dst")
+        return pairs, pairs.select("weight", F.lead("weight").over(order).alias("next"), F.row_number().over(order).alias("r"))
 
+    pairs, ranked = steps(fx.dense(spark, sf))
+    total = pairs.agg(F.sum("weight").cast("double").alias("w"))
+    some = ranked.where(F.col("r").isin(*_RANKS)).join(F.broadcast(total)).select(F.concat(F.lit("rank_"), F.col("r").cast("string"), F.lit("_edges")).alias("source"), ((F.col("weight") - F.col("next")).cast("double") / F.col("w")).alias("gap"))
+    _, tied = steps(fx.tied(spark, sf))
+    none = tied.where("weight = next").agg(F.min("r").alias("r")).select(F.concat(F.lit("tied_"), F.col("r").cast("string")).alias("source"), F.lit(0.0).alias("gap"))
+    return durable(some.unionByName(none))
 
-_PRICE = f"""w AS (SELECT source, gap, CAST(unnest(generate_series(CAST(0.98 * best AS BIGINT), CAST(1.02 * best AS BIGINT) + 2)) AS BIGINT) AS width FROM (SELECT *, (2 / gap) * (exp(1.0) + sqrt(exp(1.0) * 32 / 40.0)) AS best FROM {_GAPS} WHERE gap > 0)),
+
+_PRICE = f"""w AS (SELECT source, gap, CAST(unnest(generate_series(CAST(0.98 * best AS BIGINT), CAST(1.02 * best AS BIGINT) + 2)) AS BIGINT) AS width FROM (SELECT *, (2 / gap) * (exp(1.0) + sqrt(exp(1.0) * 32 / 40.0)) AS best FROM g WHERE gap > 0)),
 c AS (SELECT *, CAST(greatest(ceil(1 / (gap / 2 - exp(1.0) / width)) - 1, 1) AS BIGINT) AS capacity FROM w WHERE gap / 2 - exp(1.0) / width > 0),
 b AS (SELECT * FROM (SELECT *, 40 * width + 32 * capacity AS total, row_number() OVER (PARTITION BY source ORDER BY 40 * width + 32 * capacity, width) AS r FROM c) WHERE r = 1),
 pr AS (SELECT g.source, g.gap, g.gap > 0 AS feasible, coalesce(width, 0) AS width, coalesce(capacity, 0) AS capacity, coalesce(40 * width, 0) AS sketch_bytes, coalesce(32 * capacity, 0) AS candidate_bytes, coalesce(total, 0) AS total_bytes,
-coalesce(g.gap - 2 * (exp(1.0) / width + 1.0 / (capacity + 1)), CAST('-inf' AS DOUBLE)) AS margin FROM {_GAPS} LEFT JOIN b ON g.source = b.source)"""
+coalesce(g.gap - 2 * (exp(1.0) / width + 1.0 / (capacity + 1)), CAST('-inf' AS DOUBLE)) AS margin FROM g LEFT JOIN b ON g.source = b.source)"""
 
 
-@query(f"WITH {_PRICE} SELECT source, {R('gap', 12)} AS gap, feasible, width, capacity, sketch_bytes, candidate_bytes, total_bytes, {R('margin', 12)} AS margin FROM pr")
+@query(f"{_GAPS}, {_PRICE} SELECT source, {R('gap', 12)} AS gap, feasible, width, capacity, sketch_bytes, candidate_bytes, total_bytes, {R('margin', 12)} AS margin FROM pr")
 def budget_price(spark, sf):
-    return rounded(pricing.price(_gaps(spark)), 12)
+    return rounded(pricing.price(_gaps(spark, sf)), 12)
 
 
-@query(f"""SELECT source, gap, {R("CASE WHEN gap > 0 THEN gap / least_error ELSE 0 END", 9)} AS best_index FROM {_GAPS}, (SELECT min(2 * (exp(1.0) / w + 1.0 / (c + 1))) AS least_error FROM (SELECT floor(i / 40.0 * 16000000 / 40) AS w, floor((1 - i / 40.0) * 16000000 / 32) AS c FROM generate_series(1, 39) t(i)) WHERE w >= 8 AND c >= 1)""")
+@query(f"""{_GAPS} SELECT source, gap, {R("CASE WHEN gap > 0 THEN gap / least_error ELSE 0 END", 9)} AS best_index FROM g, (SELECT min(2 * (exp(1.0) / w + 1.0 / (c + 1))) AS least_error FROM (SELECT floor(i / 40.0 * 16000000 / 40) AS w, floor((1 - i / 40.0) * 16000000 / 32) AS c FROM generate_series(1, 39) t(i)) WHERE w >= 8 AND c >= 1)""")
 def best_index(spark, sf):
-    return pricing.best_index(_gaps(spark), 16_000_000).select("source", "gap", F.round("best_index", 9).alias("best_index"))
+    return pricing.best_index(_gaps(spark, sf), 16_000_000).select("source", "gap", F.round("best_index", 9).alias("best_index"))
+
+
+#: What a profile would have measured: timings are inputs of the router, and a name without a bound has a gap of 0.
+_PROFILES = [("rank_1", 0.01, 0.03, "sparse_direct", False), ("rank_2_edges", 0.01, 0.03, "pandas_groupby", False), ("rank_5", 0.03, 0.01, "pandas_groupby", True), ("rank_20_edges", 0.01, 0.0101, "sparse_direct", True), ("unheard_of", 0.01, 0.03, "sparse_direct", False)]
+_PROFILES_SQL = "(VALUES " + ", ".join(f"('{s}', {a}, {b}, '{h}', {str(n).lower()})" for s, a, b, h, n in _PROFILES) + ") v(source, sparse_seconds, pandas_seconds, heuristic, native)"
+_BOUNDS = """bd AS (SELECT replace(source, '_edges', '') AS source, gap AS bound FROM g),
+lk AS (SELECT v.*, greatest(coalesce((SELECT min(bound) FROM bd WHERE bd.source = v.source), (SELECT min(bound) FROM bd WHERE bd.source = replace(v.source, '_edges', '')), 0.0), 0.0) AS gap FROM """ + _PROFILES_SQL + ")"
+
+
+def _bounds(spark, sf):
+    profiles = spark.createDataFrame(_PROFILES, "source string, sparse_seconds double, pandas_seconds double, heuristic string, native boolean")
+    return pricing.with_bounds(profiles, _gaps(spark, sf).select(F.replace("source", F.lit("_edges"), F.lit("")).alias("source"), F.col("gap").alias("bound")))
+
 
+@query(f"{_GAPS}, {_BOUNDS} SELECT source, gap FROM lk")
+def bound_lookup(spark, sf):
+    """Bounds by name, else by the name without its suffix, else 0."""
+    return _bounds(spark, sf).select("source", "gap")
 
-@query(f"""WITH {_PRICE}, t AS (SELECT * FROM (VALUES ('flows', 0.01, 0.03, 'sparse_direct', false), ('hotspot', 0.01, 0.03, 'pandas_groupby', false), ('wide', 0.03, 0.01, 'pandas_groupby', true), ('ties', 0.01, 0.0101, 'sparse_direct', true)) v(source, sparse_seconds, pandas_seconds, heuristic, native)),
-j AS (SELECT *, CASE WHEN pandas_seconds / sparse_seconds > 1.2 THEN 'sparse_direct' WHEN pandas_seconds / sparse_seconds < 1 / 1.2 THEN 'pandas_groupby' ELSE 'indecisive' END AS profile_choice FROM pr JOIN t USING (source)),
+
+@query(f"""{_GAPS}, {_BOUNDS}, {_PRICE.replace("FROM g ", "FROM lk g ")},
+j AS (SELECT *, CASE WHEN pandas_seconds / sparse_seconds > 1.2 THEN 'sparse_direct' WHEN pandas_seconds / sparse_seconds < 1 / 1.2 THEN 'pandas_groupby' ELSE 'indecisive' END AS profile_choice FROM pr JOIN (SELECT * EXCLUDE gap FROM lk) USING (source)),
 x AS (SELECT *, CASE WHEN profile_choice = heuristic THEN profile_choice ELSE 'sparse_direct' END AS exact_choice FROM j)
 SELECT source, profile_choice, exact_choice, CASE WHEN profile_choice = heuristic THEN 'agreement' WHEN profile_choice = 'indecisive' THEN 'profile undecided' ELSE 'disagreement' END AS exact_source,
 CASE WHEN NOT feasible THEN 'unidentifiable' WHEN total_bytes > 1000000000 THEN 'not_worth_it' WHEN total_bytes <= 15000000 THEN 'certifiable_within_budget' ELSE 'certifiable_over_budget' END AS sketch_decision, total_bytes, feasible AND total_bytes <= 15000000 AS within_budget,
 (CASE WHEN exact_choice = 'pandas_groupby' THEN 'pandas_then_' ELSE '' END) || (CASE WHEN native THEN 'graphblas_hypersparse' ELSE 'scipy_csr' END) AS backend FROM x""")
 def route(spark, sf):
-    rows = spark.createDataFrame([("flows", 0.01, 0.03, "sparse_direct", False), ("hotspot", 0.01, 0.03, "pandas_groupby", False), ("wide", 0.03, 0.01, "pandas_groupby", True), ("ties", 0.01, 0.0101, "sparse_direct", True)], "source string, sparse_seconds double, pandas_seconds double, heuristic string, native boolean")
-    out = pricing.route(rows.join(_gaps(spark), "source"), memory_budget=15_000_000)
+    out = pricing.route(_bounds(spark, sf), memory_budget=15_000_000)
     return out.select("source", "profile_choice", "exact_choice", "exact_source", "sketch_decision", "total_bytes", "within_budget", "backend")
 
 
@@ -425,9 +494,17 @@ def streaming_accuracy(spark, sf):
     return rounded(sketches.streaming_accuracy(exact, ranked, K))
 
 
-@query()
+@query(f"{with_ctes('c', pairs='c')} SELECT src, dst, CAST(weight AS DOUBLE) AS count, CAST(0 AS DOUBLE) AS error FROM p")
 def space_saving_candidates(spark, sf):
-    return sketches.space_saving(fx.diffuse(spark, sf), 512)
+    """A tracker with room for every pair counts exactly."""
+    return sketches.space_saving(fx.dense(spark, sf), 1024)
+
+
+@query(f"{with_ctes('skew', pairs='skew')} SELECT src, dst, weight FROM p WHERE weight > (SELECT sum(weight) FROM p) / 256.0")
+def heavy_hitters(spark, sf):
+    """Pairs above a share 1 / c of the weight, in two passes: a tracker of c counters surely holds them, their exact weights decide."""
+    e = fx.skewed(spark, sf)
+    return sketches.heavy_hitters(e, 256)
 
 
 @query(f"{PAIRS_A} SELECT 512 AS candidates, true AS upper_bounds, true AS error_bounded, true AS heavy_kept")
@@ -490,8 +567,6 @@ SELECT {R(f"count(o) / {K}.0")} AS strict_recall, {R(f"least((SELECT count(*) FR
 
 def _other_order(edges: DataFrame) -> DataFrame:
     """A top k that breaks ties the other way."""
-    from pyspark.sql import Window
-
     best = P.aggregate_pairs(edges).orderBy(F.desc("weight"), "dst", "src").limit(K)
     return best.select(F.row_number().over(Window.orderBy(F.desc("weight"), "dst", "src")).alias("rank"), "src", "dst")
 
@@ -510,20 +585,25 @@ def identifiability_dense(spark, sf):
 
 # Benchmark rows, generators, streams
 
-_RUNS = [("hotspot", m, n, s) for m, n, s in (("sparse_direct", 1, 0.03), ("sparse_direct", 1, 0.05), ("pandas_groupby", 1, 0.02), ("pandas_groupby", 1, 0.06), ("counter", 1, 0.9))] + [("uniform", m, 1, s) for m, s in (("sparse_direct", 0.07), ("pandas_groupby", 0.18))]
-_RUNS_SQL = "(VALUES " + ", ".join(f"('{r}', '{m}', CAST({n} AS BIGINT), CAST({s} AS DOUBLE))" for r, m, n, s in _RUNS) + ") v(regime, method, n_edges, seconds)"
+_METHODS = ("sparse_direct", "pandas_groupby", "counter")
+_RUNS = "(SELECT event_type AS regime, CASE user_id % 3 WHEN 0 THEN 'sparse_direct' WHEN 1 THEN 'pandas_groupby' ELSE 'counter' END AS method, event_id % 2 AS n_edges, CAST(round(value * 100) AS BIGINT) / 100.0 AS seconds FROM events) v"
+
 
+def _runs(spark, sf):
+    """Events read as timed runs: the type is the regime, the user the method, the value the seconds."""
+    user = F.col("user_id") % 3
+    method = F.when(user == 0, _METHODS[0]).when(user == 1, _METHODS[1]).otherwise(_METHODS[2])
+    return fx.table(spark, sf, "events").select(F.col("event_type").alias("regime"), method.alias("method"), (F.col("event_id") % 2).alias("n_edges"), (fx.cents("value") / 100.0).alias("seconds"))
 
-@query(f"SELECT regime, method, n_edges, {R('avg(seconds)')} AS mean, {R('coalesce(stddev_samp(seconds), 0)')} AS std FROM {_RUNS_SQL} GROUP BY 1, 2, 3")
+
+@query(f"SELECT regime, method, n_edges, {R('avg(seconds)')} AS mean, {R('coalesce(stddev_samp(seconds), 0)')} AS std FROM {_RUNS} GROUP BY 1, 2, 3")
 def benchmark_means(spark, sf):
-    runs = spark.createDataFrame(_RUNS, "regime string, method string, n_edges long, seconds double")
-    return rounded(summary.mean_and_std(runs, ["regime", "method", "n_edges"], "seconds"))
+    return rounded(summary.mean_and_std(_runs(spark, sf), ["regime", "method", "n_edges"], "seconds"))
 
 
-@query(f"SELECT regime, arg_min(method, (seconds, method)) AS method, min(seconds) AS seconds FROM {_RUNS_SQL} WHERE method IN ('sparse_direct', 'pandas_groupby') GROUP BY 1")
+@query(f"SELECT regime, arg_min(method, (seconds, method)) AS method, min(seconds) AS seconds FROM {_RUNS} WHERE method IN ('sparse_direct', 'pandas_groupby') GROUP BY 1")
 def fastest_methods(spark, sf):
-    runs = spark.createDataFrame(_RUNS, "regime string, method string, n_edges long, seconds double")
-    return summary.fastest(runs.where(F.col("method").isin("sparse_direct", "pandas_groupby")), ["regime"])
+    return summary.fastest(_runs(spark, sf).where(F.col("method").isin(*_METHODS[:2])), ["regime"])
 
 
 @query(f"{with_ctes('d', pairs='d')} SELECT dst, {R('gini')} AS gini FROM {gini_sql('p', by='dst')}")
@@ -531,14 +611,59 @@ def gini_by_destination(spark, sf):
     return rounded(gini(P.aggregate_pairs(fx.events(spark, sf)), "weight", ["dst"]))
 
 
-@query()
+_SYN = (5000, 2048, 1500, 7, 24)
+
+
+def _synthetic_ctes(regime: str) -> str:
+    """e<regime> with the generator's rows: three quadratic rounds for each stream of numbers, then the regime's shape."""
+    n, sources, targets, seed, bins = _SYN
+    g, prime = synthetic, synthetic.PRIME
+    out = [f"x0{regime} AS (SELECT i AS seq, {', '.join(f'i % {prime} AS x{k}' for k in range(11))} FROM generate_series(0, {n - 1}) t(i))"]
+    for r in range(g.ROUNDS):
+        cols = ", ".join(f"(x{k} * x{k} % {prime} + x{k} * CAST({g.stream(seed, k)[r][0]} AS BIGINT) + CAST({g.stream(seed, k)[r][1]} AS BIGINT)) % {prime} AS x{k}" for k in range(11))
+        out.append(f"x{r + 1}{regime} AS (SELECT seq, {cols} FROM x{r}{regime})")
+    out.append(f"u{regime} AS (SELECT seq, {', '.join(f'x{k} / CAST({prime} AS DOUBLE) AS u{k}' for k in range(11))} FROM x{g.ROUNDS}{regime})")
+    pick = lambda u, m: f"CAST(floor({u} * {m}) AS BIGINT)"
+    src, dst = pick("u0", sources), pick("u1", targets)
+    if regime == "hotspot":
+        def ranked(u: str, m: int, s: int) -> str:
+            e = 1.0 - g.ZIPF
+            rank = f"least(CAST(floor(pow({u} * {float(m + 1) ** e - 1.0!r} + 1.0, {1.0 / e!r})) AS BIGINT) - 1, {m - 1})"
+            return f"({rank} * {g.scatter_step(m)} + {s % m}) % {m}"
+
+        src, dst = ranked("u0", sources, seed), ranked("u1", targets, seed + 1)
+    elif regime == "community":
+        blocks = max(1, min(16, sources, targets))
+        inside = lambda u, m: f"{pick('u2', blocks)} * {m // blocks} + {pick(u, max(1, m // blocks))}"
+        src = f"CASE WHEN u4 < {g.BURST} THEN 0 WHEN u3 < {g.LOCAL} THEN {inside('u0', sources)} ELSE {src} END"
+        dst = f"CASE WHEN u4 < {g.BURST} THEN {pick('u5', max(1, targets // 64))} WHEN u3 < {g.LOCAL} THEN {inside('u1', targets)} ELSE {dst} END"
+    elif regime == "scanner":
+        src = f"CASE WHEN u3 < {g.SCAN} THEN {pick('u4', 3)} % {sources} ELSE {src} END"
+    size = "greatest(CAST(floor(exp(5.0 + 1.1 * sqrt(-2 * ln(1 - u8)) * cos(2 * 3.141592653589793 * u9))) AS BIGINT), 1)"
+    return ", ".join([*out, f"e{regime} AS (SELECT seq, {src} AS src, {dst} AS dst, {size} AS weight, CAST(floor(u10 * {bins}) AS INTEGER) AS time_bin FROM u{regime})"])
+
+
+def _synthetic(spark, regime: str) -> DataFrame:
+    n, sources, targets, seed, bins = _SYN
+    return E.normalise(synthetic.make_edges(spark, n, sources, targets, regime, seed, bins))
+
+
+def _every(names, row: str) -> str:
+    return " UNION ALL ".join(row.format(x=x) for x in names)
+
+
+@query(f"WITH {', '.join(map(_synthetic_ctes, synthetic.REGIMES))} {_every(synthetic.REGIMES, "SELECT '{x}' AS regime, seq, time_bin, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST(weight AS BIGINT) AS weight FROM e{x}")}")
 def synthetic_edges(spark, sf):
-    """A row of shape figures for each regime of the generator."""
-    rows = [decisions.recommend(decisions.early_features(E.normalise(synthetic.make_edges(spark, 20_000, 2048, 2048, r)), 20_000)).withColumn("regime", F.lit(r)) for r in synthetic.REGIMES]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """The generator's rows, every regime."""
+    return reduce(DataFrame.unionByName, (_synthetic(spark, r).select(F.lit(r).alias("regime"), "seq", "time_bin", "src", "dst", "weight") for r in synthetic.REGIMES))
+
+
+@query(f"""WITH {', '.join(map(_synthetic_ctes, synthetic.REGIMES))}, {', '.join(_features_sql(r, r) for r in synthetic.REGIMES)}, u AS ({_every(synthetic.REGIMES, 'SELECT * FROM f{x}')}), g AS (SELECT *, {_shape_sql("u")} AS shape FROM u)
+SELECT source, observed_edges, unique_pairs, unique_sources, unique_destinations, {", ".join(f"{R(c)} AS {c}" for c in _FEATURES)}, shape, {_METHOD_SQL} FROM g""")
+def synthetic_features(spark, sf):
+    """Features and advice for every regime of the generator."""
+    rows = [decisions.recommend(decisions.early_features(_synthetic(spark, r), _HEAD)).select(F.lit(r).alias("source"), "*") for r in synthetic.REGIMES]
+    return rounded(reduce(DataFrame.unionByName, rows))
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS records, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS weight FROM events GROUP BY 1, 2")

@@ -33,6 +33,13 @@ def tied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").cast("long").alias("weight"))
 
 
+def skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price in cents; of the first two lines of an order by the logarithms of supplier and part, which makes a few heavy pairs, of the others as in diffuse."""
+    few = F.col("l_linenumber") <= 2
+    side = lambda c: F.when(few, -F.floor(F.ln(F.col(c).cast("double") + 1))).otherwise(F.col(c)).cast("long")
+    return table(spark, sf_dir, "lineitem").select(side("l_suppkey").alias("src"), side("l_partkey").alias("dst"), cents("l_extendedprice").alias("weight"))
+
+
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer nation to supplier nation, price in cents: lines are summed by order and supplier before the joins widen them."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", cents("l_extendedprice").alias("weight"))
@@ -52,6 +59,7 @@ SQL = {
     "a": "SELECT l_suppkey AS src, l_partkey AS dst, CAST(round(l_extendedprice * 100) AS BIGINT) AS weight FROM lineitem",
     "aseq": "SELECT l_suppkey AS src, l_partkey AS dst, CAST(round(l_extendedprice * 100) AS BIGINT) AS weight, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS seq FROM lineitem",
     "b": "SELECT l_suppkey AS src, l_partkey AS dst, CAST(l_quantity AS BIGINT) AS weight FROM lineitem",
+    "skew": "SELECT CASE WHEN l_linenumber <= 2 THEN -CAST(floor(ln(l_suppkey + 1)) AS BIGINT) ELSE l_suppkey END AS src, CASE WHEN l_linenumber <= 2 THEN -CAST(floor(ln(l_partkey + 1)) AS BIGINT) ELSE l_partkey END AS dst, CAST(round(l_extendedprice * 100) AS BIGINT) AS weight FROM lineitem",
     "c": "SELECT c_nationkey AS src, s_nationkey AS dst, CAST(round(l_extendedprice * 100) AS BIGINT) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey",
     "d": "SELECT user_id AS src, event_type AS dst, CAST(round(value * 100) AS BIGINT) AS weight, event_id AS seq, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS time_bin FROM events",
 }

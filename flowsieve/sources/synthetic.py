@@ -1,4 +1,4 @@
-"""Synthetic edges by hashing row numbers: any size, no state, the same rows for the same seed whatever the partitioning."""
+"""Synthetic edges by integer arithmetic on row numbers: any size, no state, the same rows for the same seed whatever the partitioning or engine."""
 
 from __future__ import annotations
 
@@ -9,9 +9,25 @@ REGIMES = ("uniform", "hotspot", "community", "scanner")
 ZIPF, LOCAL, BURST, SCAN = 1.35, 0.88, 0.08, 0.18
 
 
+#: The generator's modulus: products of two numbers below it fit 63 bits, so that any SQL engine can repeat its arithmetic.
+PRIME, ROUNDS = 2147483647, 3
+
+
+def stream(seed: int, salt: int) -> list[tuple[int, int]]:
+    """Multiplier and offset of each round of a stream of numbers."""
+    x, out = (seed * 1_000_003 + salt * 7_919 + 1) % PRIME, []
+    for _ in range(2 * ROUNDS):
+        x = (x * 48_271 + 11) % PRIME
+        out.append(x)
+    return list(zip(out[::2], out[1::2]))
+
+
 def uniform(seed: int, salt: int, row: str = "seq") -> Column:
-    """A number in [0, 1) of a row."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(row)), F.lit(1 << 53)) / float(1 << 53)
+    """A number in [0, 1) of a row: quadratic rounds modulo PRIME."""
+    x = (F.col(row) % PRIME + F.expr(f"{row} div {PRIME}") * 48_271) % PRIME
+    for a, b in stream(seed, salt):
+        x = (x * x % PRIME + x * F.lit(a).cast("long") + F.lit(b).cast("long")) % PRIME
+    return x / float(PRIME)
 
 
 def zipf(u: Column, n: int, power: float = ZIPF) -> Column:
@@ -20,10 +36,14 @@ def zipf(u: Column, n: int, power: float = ZIPF) -> Column:
     return F.least(F.floor(F.pow(u * (float(n + 1) ** e - 1.0) + 1.0, 1.0 / e)) - 1, F.lit(n - 1)).cast("long")
 
 
+def scatter_step(n: int) -> int:
+    """An odd multiplier that permutes 0 to n - 1."""
+    return next(m for m in range(n // 2 * 2 + 1 if n < 3 else int(n * 0.618) | 1, 4 * n + 9, 2) if _coprime(m, n))
+
+
 def _scatter(rank: Column, n: int, seed: int) -> Column:
-    """Ranks spread over labels, one to one where n is a power of two, else by an odd multiplier below n's own size."""
-    step = next(m for m in range(n // 2 * 2 + 1 if n < 3 else int(n * 0.618) | 1, 4 * n + 9, 2) if _coprime(m, n))
-    return F.pmod(rank * step + F.lit(seed % max(n, 1)), F.lit(n))
+    """Ranks spread over labels, one to one."""
+    return F.pmod(rank * scatter_step(n) + F.lit(seed % max(n, 1)), F.lit(n))
 
 
 def _coprime(a: int, b: int) -> bool:
