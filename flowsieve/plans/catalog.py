@@ -4,6 +4,9 @@ Doubles are rounded on both sides, because engines add in different orders."""
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.stats import gini
 from ..operators import conformal, decisions, pairs as P, pricing, sketches, summary, timebins, windows
-from ..operators.ordering import durable
-from ..sources import edges as E, fixtures as fx, synthetic
+from ..operators.ordering import durable, shared_folder
+from ..sources import edges as E, fixtures as fx, pcap, sinks, synthetic
 from ..sources.fixtures import SQL
+from . import sweeps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -669,11 +673,121 @@ def synthetic_features(spark, sf):
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS records, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS weight FROM events GROUP BY 1, 2")
 def streaming_daily_totals(spark, sf):
     """The event table as a stream of its file, by day and type, run over all that is there."""
-    import uuid
-
     from ..streaming import jobs
 
     schema = fx.table(spark, sf, "events").schema
     stream = jobs.edge_stream(spark, f"{sf}/events.parquet*", schema).withColumn("weight", fx.cents("value"))
     out = jobs.collect_stream(jobs.windowed_totals(stream, keys=("event_type",)), f"daily_{uuid.uuid4().hex}")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# Files: written to the shared folder and read back
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/flowsieve/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
+_PACKETS = "SELECT event_id AS seq, user_id AS src, event_id % 97 AS dst, CAST(round(value * 100) AS BIGINT) + 60 AS weight FROM events"
+
+
+def _capture(spark, sf, payload) -> DataFrame:
+    rows = fx.events(spark, sf).select("seq", "src", (F.col("seq") % 97).alias("dst"), (F.col("weight") + 60).alias("weight"), payload.alias("payload"))
+    path = _scratch(spark, "c.pcap")
+    os.makedirs(os.path.dirname(path.removeprefix("file://").removeprefix("file:")), exist_ok=True)
+    sinks.write_pcap(path, rows)
+    return pcap.read_pcap(spark, path, split=1 << 16)
+
+
+@query(_PACKETS)
+def pcap_scan(spark, sf):
+    """Events as packets of one size: read in ranges."""
+    return _capture(spark, sf, F.lit(0))
+
+
+@query(_PACKETS)
+def pcap_scan_drift(spark, sf):
+    """The same with packets whose size changes from the 701st on: ranges, then one task."""
+    return _capture(spark, sf, F.when(F.col("seq") >= 700, F.col("seq") % 5).otherwise(0))
+
+
+@query(f"{with_ctes('d', pairs='d')} SELECT CAST(src AS VARCHAR) AS src, dst, CAST(weight AS DOUBLE) AS weight FROM p")
+def csv_scan(spark, sf):
+    path = _scratch(spark, "edges_csv")
+    fx.events(spark, sf).select("src", "dst", F.col("weight").alias("bytes")).write.option("header", True).csv(path)
+    return P.aggregate_pairs(E.read_edges(spark, path))
+
+
+@query(f"{with_ctes('d', pairs='d')} SELECT src, dst, weight FROM p")
+def parquet_scan(spark, sf):
+    path = _scratch(spark, "edges.parquet")
+    fx.events(spark, sf).select("src", "dst", F.col("weight").alias("packets")).write.parquet(path)
+    return P.aggregate_pairs(E.read_edges(spark, path))
+
+
+@query(f"""{with_ctes("d", pairs="d")}, s AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS row FROM (SELECT DISTINCT src FROM p)),
+t AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS col FROM (SELECT DISTINCT dst FROM p)) SELECT row AS src, col AS dst, CAST(weight AS DOUBLE) AS weight FROM p JOIN s USING (src) JOIN t USING (dst)""")
+def matrix_market_scan(spark, sf):
+    path = _scratch(spark, "m")
+    sinks.write_matrix_market(path, P.aggregate_pairs(fx.events(spark, sf)))
+    return E.read_matrix_market(spark, path)[0]
+
+
+@query(f"""{with_ctes("d", pairs="d")} SELECT c.check, n_source, n_destination, nnz, {R("nnz / CAST(n_source * n_destination AS DOUBLE)")} AS density, total_weight, true AS matches
+FROM (SELECT count(DISTINCT src) AS n_source, count(DISTINCT dst) AS n_destination, count(*) AS nnz, CAST(sum(weight) AS DOUBLE) AS total_weight FROM p), (VALUES ('edge_table'), ('matrix_market')) c("check")""")
+def format_smoke(spark, sf):
+    return rounded(sweeps.format_smoke(P.aggregate_pairs(fx.events(spark, sf)), _scratch(spark, "m")))
+
+
+@query(f"""{with_ctes("d", pairs="d")}, h AS (SELECT count(DISTINCT src) AS n_source, count(DISTINCT dst) AS n_destination, count(*) AS nnz, CAST(sum(weight) AS DOUBLE) AS total_weight FROM p)
+SELECT 'summary' AS implementation, *, {R("nnz / CAST(n_source * n_destination AS DOUBLE)")} AS density, CAST(0 AS BIGINT) AS src_similarity_nnz, CAST(0 AS BIGINT) AS dst_similarity_nnz FROM h UNION ALL
+SELECT 'formulas', *, {R("nnz / CAST(n_source * n_destination AS DOUBLE)")}, (SELECT count(*) FROM (SELECT DISTINCT x.src, y.src AS o FROM p x JOIN p y ON x.dst = y.dst)), (SELECT count(*) FROM (SELECT DISTINCT x.dst, y.dst AS o FROM p x JOIN p y ON x.src = y.src)) FROM h""")
+def formula_comparison(spark, sf):
+    return rounded(sweeps.formula_comparison(P.aggregate_pairs(fx.events(spark, sf))).drop("seconds"))
+
+
+@query(f"""{PAIRS_A} SELECT 'top_edges' AS part, row_number() OVER (ORDER BY weight DESC, src, dst) AS label, weight FROM p QUALIFY label <= {K}
+UNION ALL SELECT 'src_strength', src, CAST(sum(weight) AS BIGINT) FROM p GROUP BY src UNION ALL SELECT 'dst_strength', dst, CAST(sum(weight) AS BIGINT) FROM p GROUP BY dst UNION ALL SELECT 'summary', count(*), CAST(sum(weight) AS BIGINT) FROM p""")
+def saved_analysis(spark, sf):
+    """What the analysis folders hold."""
+    paths = sinks.save_analysis(_scratch(spark, "a"), P.aggregate_pairs(fx.diffuse(spark, sf)), K, "parquet")
+    columns = {"summary": ("nnz", "total_weight"), "top_edges": ("rank", "weight")}
+    frames = []
+    for path in paths:
+        part = next(n for n in ("summary", "top_edges", "src_strength", "dst_strength") if path.endswith(f"_{n}"))
+        label, weight = columns.get(part, ("label", "strength"))
+        frames.append(spark.read.parquet(path).select(F.lit(part).alias("part"), F.col(label).cast("long").alias("label"), F.col(weight).cast("long").alias("weight")))
+    return reduce(DataFrame.unionByName, frames)
+
+
+@query(f"{with_ctes('a')} SELECT 'lineitem' AS source, count(*) AS records, count(DISTINCT src) AS unique_sources, count(DISTINCT dst) AS unique_destinations, count(DISTINCT (src, dst)) AS unique_pairs, min(weight) AS min_weight, max(weight) AS max_weight, CAST(sum(weight) AS BIGINT) AS total_weight, '{hashlib.sha256(b'edges').hexdigest()}' AS sha256 FROM ea")
+def manifest_fields(spark, sf):
+    """The provenance manifest, written as JSON and read back."""
+    text = sinks.manifest(fx.diffuse(spark, sf), "lineitem", b"edges")
+    path = _scratch(spark, "manifest")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    names = ("records", "unique_sources", "unique_destinations", "unique_pairs", "min_weight", "max_weight", "total_weight")
+    return spark.read.option("multiLine", True).json(path).select("source", *names, "sha256")
+
+
+# Drivers
+
+
+def _named(spark, sf) -> dict[str, DataFrame]:
+    return {"diffuse": fx.diffuse_sequenced(spark, sf), "dense_edges": fx.dense(spark, sf)}
+
+
+@query()
+def identifiable_recall(spark, sf):
+    return rounded(sweeps.identifiable_recall(_named(spark, sf)))
+
+
+@query()
+def priced_recall(spark, sf):
+    prices = pricing.price(spark.createDataFrame([("diffuse", 0.01), ("dense_edges", 0.02), ("none", 0.0)], "source string, gap double"))
+    return rounded(sweeps.priced_recall(_named(spark, sf), prices))
+
+
+@query()
+def anomaly_ranking(spark, sf):
+    return rounded(sweeps.anomaly_ranking(spark, n=20_000, labels=512)[1], 4)

@@ -1,13 +1,19 @@
-"""Parameter sweeps over one edge table: a row for each setting. Defaults are the usual ones of the experiments."""
+"""Experiments over edge tables: parameter sweeps and drivers, a row for each setting or source. Defaults are fixed, as the experiments are defined by them."""
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import conformal, decisions, pairs as P, pricing, sketches, windows
+from ..operators import conformal, decisions, pairs as P, pricing, sketches, summary, timebins, windows
 from ..operators.ordering import durable
+from ..sources import edges as E, sinks, synthetic
+
+#: Fixed: the builders that are timed, by the names of the recommendation.
+BUILDERS = {"sparse_direct": "direct", "pandas_groupby": "preaggregate"}
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -69,3 +75,99 @@ def select_and_certify(edges: DataFrame, prefix_edges: int = 50_000, k: int = 20
     """One row: early features, recommended build and the prefix certificate."""
     head = decisions.recommend(decisions.early_features(edges, prefix_edges))
     return head.join(F.broadcast(decisions.prefix_certificate(edges, prefix_edges, k, width, depth, capacity)))
+
+
+def identifiable_recall(sources: dict[str, DataFrame], k: int = 20, width: int = 8192, depth: int = 5, capacity: int = 512) -> DataFrame:
+    """A row for each source: source, n_edges and the identifiability report of the sketch path's ranking."""
+    rows = []
+    for name, edges in sources.items():
+        edges = durable(edges)
+        _, ranked = sketches.stream_summary(edges, sketches.space_saving(edges, capacity), sketches.count_min(edges, width, depth), width, depth)
+        report = sketches.identifiability_report(edges, ranked, k, width, capacity)
+        rows.append(edges.agg(F.lit(name).alias("source"), F.count("*").alias("n_edges")).join(F.broadcast(report)))
+    return _union(rows)
+
+
+def priced_recall(sources: dict[str, DataFrame], prices: DataFrame, k: int = 20, depth: int = 5) -> DataFrame:
+    """A row for each source with a feasible price (source, feasible, width, capacity, total_bytes): what recall the priced memory gives."""
+    rows = []
+    for price in prices.where(F.col("source").isin(*sources) & F.col("feasible")).collect():  # one for each named source
+        edges = durable(sources[price["source"]])
+        found = _accuracy(edges, price["width"], depth, price["capacity"], k).select("topk_recall", "candidate_recall", "median_relative_error")
+        head = edges.agg(F.lit(price["source"]).alias("source"), F.count("*").alias("n_edges"), *(F.lit(price[c]).cast("long").alias(c) for c in ("width", "capacity", "total_bytes")))
+        rows.append(head.join(F.broadcast(found)))
+    return _union(rows) if rows else prices.sparkSession.createDataFrame([], "source string, n_edges long, width long, capacity long, total_bytes long, topk_recall double, candidate_recall double, median_relative_error double")
+
+
+def _timed(build: Callable[[], DataFrame], repeats: int) -> list[float]:
+    out = []
+    for _ in range(repeats):
+        began = time.perf_counter()
+        build().write.format("noop").mode("overwrite").save()
+        out.append(time.perf_counter() - began)
+    return out
+
+
+def router(sources: dict[str, DataFrame], bounds: DataFrame, prefix_edges: int = 50_000, memory_budget: int = 64_000_000, repeats: int = 3, native: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each source: both builders are timed on its prefix, its bound (source, bound) is looked up, and the router decides."""
+    rows = []
+    for name, edges in sources.items():
+        head = durable(windows.prefix(edges, prefix_edges))
+        seconds = {m: min(_timed(lambda s=s: P.aggregate_pairs(head, strategy=s), repeats)) for m, s in BUILDERS.items()}
+        heuristic = decisions.recommend(decisions.early_features(head, prefix_edges)).first()["recommended_exact_method"]
+        rows.append((name, seconds["sparse_direct"], seconds["pandas_groupby"], heuristic, name in native))
+    profiles = bounds.sparkSession.createDataFrame(rows, "source string, sparse_seconds double, pandas_seconds double, heuristic string, native boolean")
+    return pricing.route(pricing.with_bounds(profiles, bounds), memory_budget)
+
+
+def format_smoke(pairs: DataFrame, path: str) -> DataFrame:
+    """Two rows, the pair table and what comes back of it from a Matrix Market file at `path`: sizes, weight, and whether they are the same matrix."""
+    pairs = durable(pairs)
+    sinks.write_matrix_market(path, pairs)
+    back, n_rows, n_cols = E.read_matrix_market(pairs.sparkSession, path)
+    back = durable(back)
+    same = P.compare(P.coded_pairs(pairs).select(F.col("row").alias("src"), F.col("col").alias("dst"), "weight"), back).select("equivalent")
+    names = ("n_source", "n_destination", "nnz", "density", "total_weight")
+    first = summary.matrix_summary(pairs).select(F.lit("edge_table").alias("check"), *names, F.lit(True).alias("matches"))
+    sizes = (F.col("n_source") == n_rows) & (F.col("n_destination") == n_cols)
+    second = summary.matrix_summary(back).join(F.broadcast(same)).select(F.lit("matrix_market").alias("check"), *names, (F.col("equivalent") & sizes).alias("matches"))
+    return first.unionByName(second)
+
+
+def formula_comparison(pairs: DataFrame) -> DataFrame:
+    """Two rows: the summary by one pass over the pair table, and by the formulas taken literally, with the similarity cells, which only these count (0 elsewhere); and seconds."""
+    pairs = durable(pairs)
+    rows = []
+    for name, make in (("summary", summary.matrix_summary), ("formulas", summary.official_formula)):
+        began = time.perf_counter()
+        one = durable(make(pairs))
+        seconds = time.perf_counter() - began
+        nnz = F.col("nnz" if name == "summary" else "activity_nnz")
+        more = [F.col(c) if c in one.columns else F.lit(0).cast("long").alias(c) for c in ("src_similarity_nnz", "dst_similarity_nnz")]
+        rows.append(one.select(F.lit(name).alias("implementation"), "n_source", "n_destination", nnz.alias("nnz"), "total_weight", (nnz / F.greatest(F.col("n_source") * F.col("n_destination"), F.lit(1))).alias("density"), *more, F.lit(seconds).alias("seconds")))
+    return _union(rows)
+
+
+def trace_experiment(edges: DataFrame, prefix_edges: int = 50_000, k: int = 20, width: int = 8192, depth: int = 5, capacities: tuple[int, ...] = (64, 512, 2048, 8192), repeats: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of one edge table with seq: exact builders with times and whether they agree; the selector's advice beside the measured winner; the capacity sweep."""
+    edges = durable(edges)
+    spark, n = edges.sparkSession, edges.count()
+    whole = durable(P.aggregate_pairs(edges))
+    times = {m: _timed(lambda s=s: P.aggregate_pairs(edges, strategy=s), repeats) for m, s in BUILDERS.items()}
+    agree = {m: P.compare(whole, P.aggregate_pairs(edges, strategy=s)).first()["equivalent"] for m, s in BUILDERS.items()}
+    rows = [(m, n, sum(t) / len(t), min(t), n / max(min(t), 1e-12), agree[m]) for m, t in times.items()]
+    exact = spark.createDataFrame(rows, "method string, n_edges long, seconds_mean double, seconds_min double, edges_per_second double, matches boolean").join(F.broadcast(summary.matrix_summary(whole).select("nnz", "density", "total_weight", "edge_gini")))
+    winner = min(times, key=lambda m: min(times[m]))
+    advice = decisions.recommend(decisions.early_features(edges, prefix_edges)).withColumn("fastest_method", F.lit(winner))
+    advice = advice.withColumn("recommendation_matches", F.col("recommended_exact_method") == F.col("fastest_method"))
+    return exact, advice, capacity_sweep(edges, capacities, width, depth, k)
+
+
+def anomaly_ranking(spark: SparkSession, scenarios: tuple[str, ...] = synthetic.SCENARIOS, n: int = 120_000, labels: int = 4096, bins: int = 24, bad_bin: int = 17, seed: int = 59) -> tuple[DataFrame, DataFrame]:
+    """Scored bins of every scenario, and a row for each: where the injected bin ranks, its figures, and the medians of the other bins."""
+    scored = []
+    for i, scenario in enumerate(scenarios):
+        edges = E.normalise(synthetic.make_anomaly_edges(spark, scenario, n, labels, bins, bad_bin, seed + i))
+        scored.append(timebins.anomaly_scores(timebins.time_bin_summary(edges)).withColumn("scenario", F.lit(scenario)))
+    bins_ = durable(_union(scored))
+    return bins_, timebins.injected_bins(bins_, bad_bin)

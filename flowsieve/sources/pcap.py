@@ -1,8 +1,11 @@
 """Packet captures as an edge source: spark.read.format("pcap").
 
 Formats, fixed by the file format: four magic numbers (byte order, micro- or nanoseconds), a 24-byte header, 16-byte record headers. An uncompressed
-file whose records all have one size is split into ranges of whole records; any other file, and a compressed one, is one partition
+file whose first records have one size is split into ranges of whole records; any other file, and a compressed one, is one partition
 read in bounded chunks. A capture cut short gives the records that are whole.
+
+Records may change their size later on. read_pcap() looks for that first, range by range: what lies before the first record of
+another size is read in ranges, all from there on by one task, record by record. The format by itself fails on such a range.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +25,7 @@ LINK_OFFSETS = {0: 4, 1: 14, 12: 0, 101: 0, 113: 16, 228: 0}
 HEADER, RECORD = 24, 16
 CHUNK, PROBE, SPLIT = 8 << 20, 64, 64 << 20
 SCHEMA = "seq bigint, src bigint, dst bigint, weight bigint"
+CHECKED = "start bigint, changed bigint"
 
 
 @dataclass(frozen=True)
@@ -91,10 +96,28 @@ def parse_any(data: bytes, h: Header, ip: int) -> tuple[list[tuple[int, int, int
     return out, at
 
 
-def chunks(path: str, size: int = CHUNK) -> Iterator[bytes]:
-    """Bytes of a file, decompressed if it is zstd; of a damaged one, all before the damage."""
-    with open(path, "rb") as f:
+def open_file(path: str) -> BinaryIO:
+    """A file of any store that has a URI scheme, or a local one."""
+    if "://" in path or path.startswith("file:"):
+        from pyarrow import fs
+
+        if path.startswith("file:"):
+            return open(path.removeprefix("file://").removeprefix("file:"), "rb")
+        store, name = fs.FileSystem.from_uri(path)
+        return store.open_input_file(name)
+    return open(path, "rb")
+
+
+def file_size(path: str) -> int:
+    with open_file(path) as f:
+        return f.seek(0, 2)
+
+
+def chunks(path: str, size: int = CHUNK, start: int = 0) -> Iterator[bytes]:
+    """Bytes of a file from `start` on, decompressed if it is zstd; of a damaged one, all before the damage."""
+    with open_file(path) as f:
         if not path.endswith((".zst", ".zstd")):
+            f.seek(start)
             while part := f.read(size):
                 yield part
             return
@@ -111,9 +134,11 @@ def chunks(path: str, size: int = CHUNK) -> Iterator[bytes]:
             yield part
 
 
-def edges(parts: Iterator[bytes], limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Arrays of sources, destinations and weights of a capture given as chunks."""
+def edges(parts: Iterator[bytes], limit: int | None = None, known: tuple[Header, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Arrays of sources, destinations and weights of a capture given as chunks. known: the header and IPv4 offset of chunks that start at a record of any size."""
     held, h, ip, size, left = b"", None, 0, None, limit
+    if known:
+        (h, ip), size = known, 0
     for part in parts:
         held += part
         if h is None:
@@ -153,6 +178,20 @@ def edges(parts: Iterator[bytes], limit: int | None = None) -> Iterator[tuple[np
         yield tuple(np.array([r[i] for r in rows], np.int64) for i in range(3))
 
 
+def layout(path: str) -> tuple[Header, int, int | None]:
+    """Header, IPv4 offset and the size of the first records if they agree, from the file's first megabyte."""
+    with open_file(path) as f:
+        h, head = read_header(f.read(HEADER)), f.read(1 << 20)
+    return h, find_ip(head, h), uniform_size(head, h)
+
+
+def first_change(data: bytes, h: Header, size: int) -> int | None:
+    """Where in data the first record of another size starts; data holds whole records of `size` bytes as far as they agree."""
+    m = np.frombuffer(data, np.uint8, len(data) // size * size).reshape(-1, size)
+    found = np.flatnonzero(np.ascontiguousarray(m[:, 8:12]).view(h.order + "u4").ravel() != size - RECORD)
+    return int(found[0]) * size if len(found) else None
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, first: int, start: int, end: int | None):
         self.path, self.first, self.start, self.end = path, first, start, end
@@ -163,36 +202,44 @@ class PcapReader(DataSourceReader):
         self.path = options.get("path")
         self.limit = int(options["limit"]) if "limit" in options else None
         self.split = int(options.get("split", SPLIT))
+        self.check = options.get("check") == "true"
+        self.until = int(options["until"]) if "until" in options else None
         if not self.path:
             raise ValueError("the pcap source needs a path")
 
     def partitions(self):
-        import os
-
         if self.path.endswith((".zst", ".zstd")) or self.limit is not None:
             return [_Range(self.path, 0, 0, None)]
-        with open(self.path, "rb") as f:
-            h, head = read_header(f.read(HEADER)), f.read(1 << 20)
-        size, total = uniform_size(head, h), os.path.getsize(self.path) - HEADER
-        if not size or total % size:
+        h, _, size = layout(self.path)
+        total = file_size(self.path) - HEADER
+        if not size:
             return [_Range(self.path, 0, 0, None)]
+        whole = total // size if self.until is None else (self.until - HEADER) // size
         per = max(1, self.split // size)
-        return [_Range(self.path, i, HEADER + i * size, HEADER + min(i + per, total // size) * size) for i in range(0, total // size, per)]
+        ranges = [_Range(self.path, i, HEADER + i * size, HEADER + min(i + per, whole) * size) for i in range(0, whole, per)]
+        # What is left: a record cut short, smaller records, or all from the first change on.
+        return ranges + ([_Range(self.path, whole, HEADER + whole * size, None)] if total > whole * size and not self.check else [])
 
     def read(self, part):
         seq = part.first
         if part.end is None:
-            found = edges(chunks(self.path), self.limit)
+            if part.start:
+                h, ip, _ = layout(self.path)
+                found = edges(chunks(self.path, start=part.start), None, (h, ip))
+            else:
+                found = edges(chunks(self.path), self.limit)
         else:
-            with open(self.path, "rb") as f:
-                h = read_header(f.read(HEADER))
-                head = f.read(1 << 20)
-                size, ip = uniform_size(head, h), find_ip(head, h)
+            h, ip, size = layout(self.path)
+            with open_file(self.path) as f:
                 f.seek(part.start)
                 data = f.read(part.end - part.start)
+            if self.check:
+                at = first_change(data, h, size)
+                yield pa.RecordBatch.from_arrays([pa.array([part.start]), pa.array([None if at is None else part.start + at], pa.int64())], ["start", "changed"])
+                return
             got = parse_uniform(data, h, size, ip)
             if got is None:
-                raise ValueError(f"records of {self.path} have different sizes beyond the first; read it with the option limit set, as one partition")
+                raise ValueError(f"records of {self.path} change their size; read it with read_pcap()")
             found = [got]
         for src, dst, weight in found:
             if len(src):
@@ -201,14 +248,15 @@ class PcapReader(DataSourceReader):
 
 
 class PcapSource(DataSource):
-    """Options: path (on a file system that executors mount), limit (packets), split (bytes of a partition)."""
+    """Options: path, limit (packets), split (bytes of a partition), until (where records change their size), check (true: a row (start, changed) for
+    each range, with the place of its first record of another size)."""
 
     @classmethod
     def name(cls):
         return "pcap"
 
     def schema(self):
-        return SCHEMA
+        return CHECKED if self.options.get("check") == "true" else SCHEMA
 
     def reader(self, schema):
         return PcapReader(self.options)
@@ -216,3 +264,61 @@ class PcapSource(DataSource):
 
 def register(spark) -> None:
     spark.dataSource.register(PcapSource)
+
+
+def _change(spark, path: str, options: dict) -> int | None:
+    """Where the first record of another size starts, if the capture is one that would be split. A job over ranges; the earliest counts, as only what comes
+    before it is aligned."""
+    from pyspark.sql import functions as F
+
+    if path.endswith((".zst", ".zstd")) or not layout(path)[2]:
+        return None
+    return spark.read.format("pcap").options(**options, check="true").load(path).agg(F.min("changed")).first()[0]
+
+
+def read_pcap(spark, path: str, limit: int | None = None, split: int | None = None):
+    """Edges of a capture (seq, src, dst, weight), whether its records keep their size or not."""
+    register(spark)
+    options = {} if split is None else {"split": str(split)}
+    reader = spark.read.format("pcap").options(**options)
+    if limit is not None:
+        return reader.option("limit", limit).load(path)
+    change = _change(spark, path, options)
+    return (reader if change is None else reader.option("until", change)).load(path)
+
+
+def provenance(spark, path: str) -> dict:
+    """What a manifest says about a capture: fixed field names."""
+    register(spark)
+    with_head = next(chunks(path, 1 << 20), b"")
+    h, head = read_header(with_head[:HEADER]), with_head[HEADER:]
+    ip, size = find_ip(head, h), uniform_size(head, h)
+    found = _sizes(head, h)
+    hits = sum(1 for at, n in found if n > ip and head[at + RECORD + ip] >> 4 == 4)
+    parser = "struct" if size is None else "numpy" if _uniform_throughout(spark, path) else "numpy_then_struct"
+    return {
+        "pcap_magic_hex": with_head[:4].hex(),
+        "byte_order": h.order,
+        "nanosecond": h.nanoseconds,
+        "linktype": h.link_type,
+        "ip_offset": ip,
+        "ipv4_fraction_probe": hits / max(1, len(found)),
+        "record_size_detected": size,
+        "parser_path": parser,
+        "packets_parsed": read_pcap(spark, path).count(),
+    }
+
+
+def _uniform_throughout(spark, path: str) -> bool:
+    if not path.endswith((".zst", ".zstd")):
+        return _change(spark, path, {}) is None
+    held, h = b"", None
+    for part in chunks(path):
+        held += part
+        if h is None:
+            h, held = read_header(held), held[HEADER:]
+            size = uniform_size(held, h)
+        if first_change(held, h, size) is not None:
+            return False
+        held = held[len(held) // size * size :]
+    return True

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.ordering import durable, with_sequence
 from ..operators.pairs import coded_pairs, strength_distribution, top_k_edges
@@ -35,7 +38,45 @@ def write_matrix_market(path: str, pairs: DataFrame, labels: str | None = None)
             with_sequence(pairs.select(side).distinct(), [side], name="code").write.mode("overwrite").parquet(f"{labels}_{side}")
 
 
-def manifest(edges: DataFrame, source: str, head: bytes | None = None, **more) -> str:
-    """JSON with the source, its trace statistics, and the SHA-256 of its first bytes where given."""
+def file_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a whole file of any store, streamed on the driver's JVM."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
+def manifest(edges: DataFrame, source: str, head: bytes | None = None, path: str | None = None, **more) -> str:
+    """JSON with the source, its trace statistics, and the SHA-256 of the file at `path`, or of the bytes given, where there are any."""
     stats = trace_statistics(edges).first().asDict()
-    return json.dumps({"source": source, **stats, "sha256": hashlib.sha256(head).hexdigest() if head is not None else None, **more}, indent=2, sort_keys=True, default=str)
+    digest = file_digest(edges.sparkSession, path) if path else hashlib.sha256(head).hexdigest() if head is not None else None
+    return json.dumps({"source": source, **stats, "sha256": digest, **more}, indent=2, sort_keys=True, default=str)
+
+
+def write_pcap(path: str, packets: DataFrame) -> None:
+    """One capture, microseconds, little endian, Ethernet: packets (seq, src, dst, weight[, payload]) in order of seq, weight as original length, payload more
+    captured bytes. One task writes the file, as a capture is one stream; it comes into place when it is whole."""
+    import struct
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, n = path.removeprefix("file://").removeprefix("file:"), 0
+        if "://" in name:
+            store, name = fs.FileSystem.from_uri(name)
+        else:
+            store = fs.LocalFileSystem()
+        with store.open_output_stream(f"{name}.partial") as out:
+            out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 1 << 16, 1))
+            for batch in batches:
+                for seq, src, dst, weight, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                    body = b"\0" * 12 + b"\x08\0" + b"\x45" + b"\0" * 11 + struct.pack(">II", src, dst) + b"\0" * payload
+                    out.write(struct.pack("<IIII", seq >> 20, seq & 0xFFFFF, len(body), weight) + body)
+                n += batch.num_rows
+        store.move(f"{name}.partial", name)
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["packets"])
+
+    payload = F.col("payload").cast("long") if "payload" in packets.columns else F.lit(0).cast("long")
+    rows = packets.select(*(F.col(c).cast("long").alias(c) for c in ("seq", "src", "dst", "weight")), payload.alias("payload"))
+    rows.repartition(1).sortWithinPartitions("seq").mapInArrow(run, "packets long").collect()

@@ -129,3 +129,20 @@ def test_a_cell_that_reads_like_the_size_line(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     (tmp_path / "s.mtx").write_text("%%MatrixMarket matrix coordinate real symmetric\n2 2 2\n1 1 1\n2 1 5\n")
     assert sorted(tuple(r) for r in E.read_matrix_market(spark, str(tmp_path / "s.mtx"))[0].collect()) == [(0, 0, 1.0), (0, 1, 5.0), (1, 0, 5.0)]
+
+
+def test_captures_that_change_their_size(spark, tmp_path):
+    """Before and after the change, at a range's border, and with a cut end: ranges first, then one task; the same rows as by one task alone."""
+    for change, cut in ((700, 0), (640, 0), (999, 7), (10_000, 5), (0, 0)):
+        rows = spark.range(1000).select(F.col("id").alias("seq"), (F.col("id") * 7).alias("src"), (F.col("id") % 13).alias("dst"), (F.col("id") + 60).alias("weight"), F.when(F.col("id") >= change, F.col("id") % 5).otherwise(0).alias("payload"))
+        path = str(tmp_path / f"c{change}.pcap")
+        sinks.write_pcap(path, rows)
+        if cut:
+            data = open(path, "rb").read()
+            open(path, "wb").write(data[:-cut])
+        got = sorted(tuple(r) for r in pcap.read_pcap(spark, path, split=3200).collect())
+        assert got == [(i, i * 7, i % 13, i + 60) for i in range(1000 - bool(cut))]
+        info = pcap.provenance(spark, path)
+        assert info["packets_parsed"] == len(got) and info["byte_order"] == "<" and info["linktype"] == 1 and info["ip_offset"] == 14 and info["ipv4_fraction_probe"] == 1.0
+        assert info["parser_path"] == ("struct" if change == 0 else "numpy" if change >= 999 else "numpy_then_struct")
+        assert len(sinks.file_digest(spark, path)) == 64
