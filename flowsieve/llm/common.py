@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -16,22 +18,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; on a cluster
+    that is an error, since a machine's own folder is not seen by the others."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="flowsieve-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+_written: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, and a lost executor costs a reread."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowsieve/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def consumed(spark: SparkSession) -> Iterator[None]:
+    """Removes what cut() wrote inside the block. For blocks whose results are written elsewhere before it ends."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _written.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, whatever case: each with underscores in front, as many as it takes."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions_for(n: int, per: int, least: int = 1) -> int:
     return max(least, math.ceil(n / per))
 
@@ -41,36 +76,47 @@ def with_text_bytes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-BITMAP_BITS = 1 << 23
+#: Bits of the filter for each id; its least and largest size. What is broadcast is 16 MB at most.
+BITS_PER_ID, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 27
 _ROW_BITS = 32768
 
 
-def _slot(id_col: str):
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(BITMAP_BITS))
+def _hit(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, Column, str] | None:
+    """df with a filter's bits joined, a condition that is false only where the row's id is surely not among ids, and the joined column's name.
 
-
-def _hits(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """df with a column __hit: false only where the row's id is surely not among ids.
-
-    The ids go into a bitmap of BITMAP_BITS bits, 1 MB however many there are; that is what is broadcast.
-    A full bitmap only means that more rows take part in the exact join that follows."""
-    slots = ids.select(_slot(ids.columns[0]).alias("s")).select((F.col("s") / _ROW_BITS).cast("int").alias("__row"), (F.col("s") % _ROW_BITS).alias("p"))
-    rows = slots.groupBy("__row").agg(F.bitmap_construct_agg("p").alias("__bits"))
-    df = df.withColumn("__slot", _slot(id_col)).withColumn("__row", (F.col("__slot") / _ROW_BITS).cast("int"))
-    df = df.join(F.broadcast(rows), "__row", "left")
-    byte = "cast(conv(hex(substring(__bits, cast(__slot % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
-    hit = F.expr(f"coalesce(getbit({byte}, cast(__slot % 8 as int)) = 1, false)")
-    return df.withColumn("__hit", hit).drop("__row", "__slot", "__bits")
+    The ids go into a bitmap with BITS_PER_ID bits an id, MOST_BITS at most; that is what is broadcast. None where a bitmap of that size would be
+    half full: then all rows should take part in the exact join."""
+    n = ids.count()
+    if 2 * n > MOST_BITS:
+        return None
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (n * BITS_PER_ID).bit_length()))
+    name = ids.columns[0]
+    slot = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits))
+    row, held = free(df, "row", "held")
+    slots = ids.select(slot(F.col(name)).alias("s")).select((F.col("s") / _ROW_BITS).cast("int").alias(row), (F.col("s") % _ROW_BITS).alias("p"))
+    rows = slots.groupBy(row).agg(F.bitmap_construct_agg("p").alias(held))
+    at = slot(F.col(id_col))
+    byte = F.conv(F.hex(F.substring(F.col(held), ((at % _ROW_BITS) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    joined = df.join(F.broadcast(rows), (at / _ROW_BITS).cast("int") == F.col(row), "left").drop(row)
+    return joined, found, held
 
 
 def likely_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows whose id is among ids, and a few others: a join on the id must follow."""
-    return _hits(df, ids, id_col).where("__hit").drop("__hit")
+    marked = _hit(df, ids, id_col)
+    return marked[0].where(marked[1]).drop(marked[2]) if marked else df
+
+
+def unlikely_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows that likely_ids() leaves out."""
+    marked = _hit(df, ids, id_col)
+    return marked[0].where(~marked[1]).drop(marked[2]) if marked else df.limit(0)
 
 
 def without_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """df less the rows with these ids. Only rows that the bitmap can't clear are exchanged."""
-    marked = _hits(df, ids, id_col)
-    name = ids.columns[0]
-    doubtful = marked.where("__hit").join(ids.select(F.col(name).alias("__id")).distinct(), F.col(id_col) == F.col("__id"), "left_anti")
-    return marked.where("not __hit").unionByName(doubtful).drop("__hit")
+    (other,) = free(df, "id")
+    exact = ids.select(F.col(ids.columns[0]).alias(other)).distinct()
+    doubtful = likely_ids(df, ids, id_col).join(exact, F.col(id_col) == F.col(other), "left_anti")
+    return unlikely_ids(df, ids, id_col).unionByName(doubtful)

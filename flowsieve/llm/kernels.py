@@ -1,9 +1,10 @@
 """Vectorised text kernels over Arrow string columns.
 
 A batch of texts is one array of UTF-8 bytes with offsets. Words are runs of bytes other than ASCII
-white space, so that byte positions suffice; hashes are 64-bit polynomials of table values,
-taken from prefix sums and finished by a mixer. Everything is a few NumPy passes over a slice
-of bounded size.
+white space, so that byte positions suffice. Hashes of short ranges are 64-bit polynomials of table values,
+taken from prefix sums and finished by a mixer. A polynomial modulo 2**64 collides on long self-similar strings
+(Thue-Morse), so that ranges of more than SHORT bytes go through XXH3 instead. Everything is a few NumPy passes over a slice
+of bounded size; a single text that is larger is hashed BLOCK by BLOCK, which leaves some ten bytes of memory for a byte of it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+#: Longest range hashed by polynomial; bytes of prefix sums at once.
+SHORT, BLOCK = 32, 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -94,6 +97,25 @@ class Prefix:
         return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, short: int | None = None) -> np.ndarray:
+    """64-bit hashes of byte ranges that are apart and ascend. Only hashes of equal `short` (SHORT by default) can be compared."""
+    from xxhash import xxh3_64_intdigest
+
+    out = np.empty(len(starts), np.uint64)
+    far = ends - starts > (SHORT if short is None else short)
+    near = np.flatnonzero(~far)
+    s, e = starts[near], ends[near]
+    at = 0
+    while at < len(s):
+        base = s[at]
+        to = int(np.searchsorted(s, base + BLOCK))
+        out[near[at:to]] = Prefix(data[base : e[to - 1]]).of(s[at:to] - base, e[at:to] - base)
+        at = to
+    for i in np.flatnonzero(far).tolist():
+        out[i] = xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return out
+
+
 class Words:
     """Starts, ends and offsets by document of the words of a slice."""
 
@@ -115,7 +137,7 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self, data: np.ndarray) -> np.ndarray:
-        return Prefix(data).of(self.starts, self.ends)
+        return hash_ranges(data, self.starts, self.ends)
 
 
 def windows(hashes: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,3 +223,17 @@ def merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.n
     key, count = key[order], count[order]
     heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     return key[heads], np.add.reduceat(count, heads) if len(heads) else np.zeros(0, np.int64)
+
+
+def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of ascending 64-bit keys, by ranges of equal width; ascending."""
+    return np.minimum((keys.astype(np.float64) * (buckets / 2.0**64)).astype(np.int64), buckets - 1)
+
+
+def shared_buckets(a: np.ndarray, b: np.ndarray, buckets: int) -> Iterator[tuple[int, tuple[int, int], tuple[int, int]]]:
+    """For each bucket that holds any of two arrays of ascending keys: its number and its range of each. Empty buckets cost nothing."""
+    x, y = buckets_of(a, buckets), buckets_of(b, buckets)
+    found = np.union1d(x, y)
+    ends = np.searchsorted(x, found, "right"), np.searchsorted(y, found, "right")
+    starts = np.searchsorted(x, found), np.searchsorted(y, found)
+    yield from zip(found.tolist(), zip(starts[0].tolist(), ends[0].tolist()), zip(starts[1].tolist(), ends[1].tolist()))
