@@ -12,7 +12,8 @@ For each offset of a string before its anchor, equal strings are then runs of ne
 enough bytes to the right and the same bytes to the left; all but the earliest are repeated.
 
 Skew: whole copies of a text never enter (one digest a document finds them); a task keeps only the earliest of equal suffixes;
-and grams that a task sees HOT times go another exact way, by digests of their windows, of which a task sends each once.
+and grams that a task sees HOT times, or that occur MANY times in all, go another way, by 64-bit digests of their windows, of which a task sends each once:
+these spread evenly, where one gram would be one bucket.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import cut, likely_ids, partitions_for, table, with_text_bytes, without_ids
-from .kernels import Prefix, mix, pack_ints, pack_sorted, slices, unpack_ints, unpack_sorted
+from .common import cut, free, likely_ids, partitions_for, table, unlikely_ids, with_text_bytes, without_ids
+from .kernels import Prefix, mix, pack_ints, pack_sorted, shared_buckets, slices, unpack_ints, unpack_sorted
 
-HOT = 64
+#: A gram goes by digests if a task sees it so often before it sends, or if it occurs so often in all: alone it would fill a good part of a bucket, which
+#: can't be cut below one gram.
+HOT, MANY = 64, 4096
 #: Anchors for a bucket of hashes, suffixes for a bucket of the sort, bytes of text or suffixes that a task gathers before it sends.
 HASHES, SUFFIXES, TEXT, RUN = 100_000, 16_384, 12 << 20, 32_768
 _U = np.uint64
@@ -47,11 +51,23 @@ def _sliding(v: np.ndarray, w: int, least: bool) -> np.ndarray:
     return f(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of anchors and hashes of their grams of length // 2 bytes."""
+def anchors(data: np.ndarray, offs: np.ndarray, length: int, block: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of anchors and hashes of their grams of length // 2 bytes.
+
+    Whether a gram is an anchor depends on the `length` bytes on either side: a text of more than `block` bytes is looked at in overlapping parts."""
     k = length // 2
     w = length - k + 1
     n = len(data)
+    if n > 2 * block:
+        found, hashes = [], []
+        for a in range(0, n, block):
+            lo, hi = max(0, a - length), min(n, a + block + length)
+            inner = np.unique(np.concatenate(([0], np.clip(offs - lo, 0, hi - lo), [hi - lo])))
+            p, h = anchors(data[lo:hi], inner, length, n)
+            mine = (p + lo >= a) & (p + lo < a + block)
+            found.append(p[mine] + lo)
+            hashes.append(h[mine])
+        return np.concatenate(found), np.concatenate(hashes)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, _U)
     at = np.arange(n - k + 1)
@@ -105,11 +121,8 @@ def _send(length: int, buckets: int, most: int):
                 if len(x):
                     rows.append((int(x[0]) % buckets, None, None, pack_ints(y.astype(np.uint32)), None, int(x[0])))
             key, doc, at = key[~hot], doc[~hot], at[~hot]
-            edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(_U)
-            cut_at, cut_hot = np.searchsorted(key, edges), np.searchsorted(hot_keys, edges)
-            for b, (k, d, a, x) in enumerate(zip(np.split(key, cut_at), np.split(doc, cut_at), np.split(at, cut_at), np.split(hot_keys, cut_hot))):
-                if len(k) or len(x):
-                    rows.append((b, pack_sorted(k), pack_ints(d), pack_ints(a.astype(np.uint32)), pack_sorted(x), None))
+            for b, (lo, hi), (x, y) in shared_buckets(key, hot_keys, buckets):
+                rows.append((b, pack_sorted(key[lo:hi]), pack_ints(doc[lo:hi]), pack_ints(at[lo:hi].astype(np.uint32)), pack_sorted(hot_keys[x:y]), None))
             for i in range(0, len(rows), 256):
                 yield _rows(_MARKS, rows[i : i + 256])
 
@@ -144,10 +157,12 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.zeros(len(key), bool)
         twice[1:] |= same
         twice[:-1] |= same
-        is_hot = np.zeros(len(key), bool)
+        heads = np.flatnonzero(np.append(True, ~same)[: len(key)])
+        counts = np.diff(np.append(heads, len(key)))
+        is_hot = np.repeat(counts >= MANY, counts)
         if len(hot):
             near = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-            is_hot = hot[near] == key
+            is_hot |= hot[near] == key
         keep = twice | is_hot
         doc, code = doc[keep], place[keep] * 2 + is_hot[keep]
         for i in range(0, len(doc), 65536):
@@ -337,8 +352,7 @@ def _contexts(length: int, buckets: int):
             key, doc, at = key[~later], doc[~later], at[~later]
             order = np.argsort(key)
             key, doc, at = key[order], doc[order], at[order]
-            cuts = np.searchsorted(key, (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(_U))
-            rows = [(2, b, pack_sorted(k), None, pack_ints(d), pack_ints(a.astype(np.uint32)), None, None, None, None) for b, (k, d, a) in enumerate(zip(np.split(key, cuts), np.split(doc, cuts), np.split(at, cuts))) if len(k)]
+            rows = [(2, b, pack_sorted(key[lo:hi]), None, pack_ints(doc[lo:hi]), pack_ints(at[lo:hi].astype(np.uint32)), None, None, None, None) for b, (lo, hi), _ in shared_buckets(key, key[:0], buckets)]
             for i in range(0, len(rows), 256):
                 yield _rows(_SENT, rows[i : i + 256])
 
@@ -354,9 +368,9 @@ def _contexts(length: int, buckets: int):
                 n = len(data)
                 if (~hot).any():
                     at = x[~hot]
+                    padded = np.concatenate((np.zeros(left, np.uint8), data, np.zeros(length, np.uint8)))
                     for s in range(0, len(at), 8192):
                         a = at[s : s + 8192]
-                        padded = np.concatenate((np.zeros(left, np.uint8), data, np.zeros(length, np.uint8)))
                         right = padded[left + a[:, None] + np.arange(length)]
                         before = padded[left + a[:, None] - 1 - np.arange(left)]
                         held.append((np.concatenate((right, before), 1), np.full(len(a), doc, np.int64), a, np.maximum(0, length - (n - a)), np.minimum(left, a)))
@@ -529,20 +543,30 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the spans' bytes cut out of text; a character that loses some of its bytes goes whole."""
-    from .common import _hits
+    """docs with the spans' bytes cut out of text; a character that loses some of its bytes goes whole.
 
+    Texts that may have spans travel compressed to the join with them; the others stay where they are."""
     names = docs.columns
     at = names.index("text")
+    pressed = StructType([StructField(f.name, BinaryType() if i == at else f.dataType) for i, f in enumerate(docs.schema)])
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(1)
+        for batch in batches:
+            text = pa.array([None if t is None else z.compress(t.encode()) for t in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], text, *batch.columns[at + 1 :]], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
         for batch in batches:
-            text = [None if t is None else kept_bytes(t.encode(), s or []).decode("utf-8", "ignore") for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
+            text = [None if t is None else kept_bytes(z.decompress(t), s or []).decode("utf-8", "ignore") for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(text, pa.string()), *batch.columns[at + 1 : len(names)]], names)
 
-    marked = _hits(docs, spans.select("doc_id"), "doc_id")
-    joined = marked.where("__hit").drop("__hit").join(spans.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")), F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    return marked.where("not __hit").drop("__hit").unionByName(joined.mapInArrow(run, docs.schema))
+    other, cuts = free(docs, "id", "spans")
+    named = spans.select(F.col("doc_id").alias(other), F.col("spans").alias(cuts))
+    likely = likely_ids(docs, spans.select("doc_id")).mapInArrow(press, pressed)
+    joined = likely.join(named.hint("merge"), F.col("doc_id") == F.col(other), "left").drop(other)
+    return unlikely_ids(docs, spans.select("doc_id")).unionByName(joined.mapInArrow(run, docs.schema))
 
 
 def deduplicate(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
