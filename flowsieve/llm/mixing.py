@@ -8,11 +8,13 @@ keeps all that a smaller one took.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut, table
+from .common import cut, free, table
 
 BITS, HASH_BITS = 10, 60
+#: Sources that are broadcast, those with most rows.
+MOST_SOURCES = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -24,33 +26,38 @@ def _ranked(sources: DataFrame) -> DataFrame:
         first.append((part, before))
         before += counts[part]
     heads = sources.sparkSession.createDataFrame(first, "part int, first long")
-    return placed.join(F.broadcast(heads), "part").select("source", "source_size", (F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+    return placed.join(F.broadcast(heads), "part").select("source", "source_size", "rows", (F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """(source, source_size) to (source, source_size, target).
+    """(source, source_size, rows) to (source, source_size, rows, target).
 
     In order of name, null last, sources weigh `weights`, repeating, and share the sum of all sizes; a target stops at `most` times
     its source's size, and the excess is shared again among the rest until none is above."""
     ranked = cut(_ranked(sources).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights)).cast("int") + 1).cast("long")))
     ranked = ranked.withColumn("most", F.col("source_size") * most)
     total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    full = F.lit(False)
+    # A source is full if its share is more than it may take. Each round shares what full ones leave; full ones stay full.
+    full, share, before = F.lit(False), None, -1
     while True:
         got = ranked.agg(F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0)).alias("most"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)).alias("weight"), F.count(F.when(full, 1)).alias("n")).first()
+        if got["n"] == before:
+            return ranked.select("source", "source_size", "rows", F.when(full, F.col("most").cast("double")).otherwise(share).alias("target"))
+        before = got["n"]
         share = F.col("weight") * F.lit(float(total - got["most"])) / F.lit(float(got["weight"] or 1))
-        now = full | (share > F.col("most"))
-        if ranked.where(now).count() == got["n"]:
-            return ranked.select("source", "source_size", F.when(full, F.col("most").cast("double")).otherwise(share).alias("target"))
-        full = (F.col("weight") * F.lit(float(total - got["most"])) / F.lit(float(got["weight"] or 1)) > F.col("most")) | full
+        full = share > F.col("most")
+
+
+def hash_of(id_: Column, seed: str = "") -> Column:
+    """A hash of an id below 2**60; null has one too."""
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(id_.cast("long").cast("string"), F.lit("null"))).cast("binary"))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def sizes(docs: DataFrame, seed: str = "") -> DataFrame:
-    """doc_id, source, size (words of the text, 0 if null) and h, a hash of doc_id below 2**60."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    h = F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+    """doc_id, source, size (words of the text, 0 if null) and h, the hash of doc_id."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), h.alias("h"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), hash_of(F.col("doc_id"), seed).alias("h"))
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame, bits: int = BITS) -> DataFrame:
@@ -81,6 +88,29 @@ def thresholds(rows: DataFrame, budgets: DataFrame, bits: int = BITS) -> DataFra
     return every.select("a.source", F.coalesce("bound", F.when(F.col("rest") > 0, F.lit(1 << HASH_BITS)).otherwise(0)).cast("long").alias("bound"))
 
 
+def shares(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """A row for each source of sizes(): source, source_size, rows, target, whole, bound. The mix takes each of its documents `whole` times, and once
+    more if its h is below bound."""
+    goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, most)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    goals = cut(goals.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
+    return cut(goals.alias("g").join(thresholds(rows, goals).alias("t"), F.col("g.source").eqNullSafe(F.col("t.source"))).select("g.*", "bound"))
+
+
+def _join_sources(df: DataFrame, source: Column, goals: DataFrame, names: list[str]) -> DataFrame:
+    """df with goals' columns by source, null equal to null. goals' columns are called `names` then, the source first.
+
+    The MOST_SOURCES sources with most rows are broadcast. Rows of others, which hold one in MOST_SOURCES each at most, are joined by exchange."""
+    goals = goals.select("source", *(c for c in goals.columns if c != "source"))
+    renamed = goals.toDF(*names)
+    on = source.eqNullSafe(F.col(names[0]))
+    if goals.count() <= MOST_SOURCES:
+        return df.join(F.broadcast(renamed), on)
+    large = cut(goals.orderBy(F.desc("rows"), F.asc_nulls_last("source")).limit(MOST_SOURCES)).toDF(*names)
+    small = renamed.join(F.broadcast(large.select(F.col(names[0]).alias("__s"))), F.col(names[0]).eqNullSafe(F.col("__s")), "left_anti")
+    return df.join(F.broadcast(large), on).unionByName(df.join(F.broadcast(large.select(names[0])), on, "left_anti").join(small, on))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "") -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, repeats, taken.
 
@@ -89,13 +119,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     stand or fall together). Null sources are one source, ordered last; a null or empty text has size 0. The result depends on ids and sizes only, so that
     reruns agree. An empty table gives an empty table."""
     rows = cut(sizes(docs, seed))
-    goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    goals = cut(goals.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    goals = cut(goals.alias("g").join(thresholds(rows, goals).alias("t"), F.col("g.source").eqNullSafe(F.col("t.source"))).select("g.*", "bound"))
+    goals = shares(rows, weights, most)
+    out = _join_sources(rows, F.col("source"), goals, ["__source", *(c for c in goals.columns if c != "source")])
     repeats = F.least(F.col("whole") + (F.col("h") < F.col("bound")).cast("long"), F.lit(most))
-    out = rows.alias("r").join(goals.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
-    return out.select("doc_id", "r.source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "") -> DataFrame:
+    """The rows of docs, each as often as mix() takes it: 0 to `most` times.
+
+    What a row is taken depends on the row and its source alone, so that texts stay where they are. Rows that share a doc_id and a source are taken
+    equally often. An empty table gives an empty table."""
+    goals = shares(cut(sizes(docs, seed)), weights, most)
+    names = free(docs, "source_", "source_size", "rows", "target", "whole", "rest", "bound", "nth")
+    out = _join_sources(docs, F.col("source").cast("string"), goals, names[:-1])
+    times = F.least(F.col(names[4]) + (hash_of(F.col("doc_id"), seed) < F.col(names[6])).cast("long"), F.lit(most)).cast("int")
+    return out.where(times > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), times)).alias(names[-1])).select(*docs.columns)
 
 
 def op9_hash_threshold_mixing(spark, sf_dir: str) -> DataFrame:

@@ -8,11 +8,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, without_ids
+from .common import cut, free, without_ids
 from .minhash import near_duplicates
-from .mixing import mix
+from .mixing import mixed
 from .packing import pack
-from .quality import quality
+from .quality import kept_rows
 from .suffix import repeated_spans, without_spans
 
 
@@ -31,48 +31,45 @@ def _by_row(stage: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], Da
             return stage(docs)
         order = F.asc_nulls_last("doc_id")
         ordered = docs.repartitionByRange(order, F.xxhash64("text")).sortWithinPartitions(order, F.xxhash64("text"))
-        keyed = cut(ordered.withColumn("__doc_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()))
-        return stage(keyed).withColumn("doc_id", F.col("__doc_id")).select(*docs.columns)
+        (own,) = free(docs, "own_id")
+        keyed = cut(ordered.withColumn(own, F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id()))
+        return stage(keyed).withColumn("doc_id", F.col(own)).select(*docs.columns)
 
     return run
 
 
-@_by_row
 def quality_stage(docs: DataFrame) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return without_ids(docs, cut(quality(docs).where("not kept").select("doc_id")))
+    """Documents that the quality rules keep, each row judged by itself. A null text goes; a null doc_id or language does not matter, repeated rows
+    share their verdict, and an empty table stays empty."""
+    return kept_rows(docs)
 
 
 @_by_row
 def near_duplicate_stage(docs: DataFrame) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """One document, the one with the smallest doc_id, of each group of near duplicates (five-word shingles, similarity 0.8); rows with a null doc_id
+    come after the others. Texts without a word are no duplicates of each other. Of equal rows one stays. An empty table stays empty."""
     return without_ids(docs, cut(near_duplicates(docs, size=5, similarity=0.8).where("not kept").select("doc_id")))
 
 
 @_by_row
 def passage_stage(docs: DataFrame) -> DataFrame:
-    """Documents without the passages of 100 bytes or more that start earlier; what has no word left goes. n_chars follows the text."""
+    """Documents without the passages of 100 bytes or more that start earlier (rows with a null doc_id come last); what has no word left goes, null
+    and empty texts too. n_chars, where there is such a column, follows the text. Of equal rows of 100 bytes or more one stays. An empty table stays empty."""
     spans = repeated_spans(docs, 100)
     left = without_spans(docs, spans)
-    changed = left.where(F.col("text").isNotNull()).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    left = left.where(F.col("text").isNotNull()).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
 
 
 def mixing_stage(docs: DataFrame) -> DataFrame:
-    """Documents as often as the mix of sources takes them, 0 to 3 times; that depends on doc_id and source alone."""
-    times = mix(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("repeats").alias("__n"))
-    names = docs.columns
-    if not _named(docs):
-        same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
-        taken = docs.join(cut(times.where("__n > 0").distinct()), same)
-        return taken.select(*names, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__i")).select(*names)
-    other = cut(times.where("__n <> 1").drop("__source"))
-    once = without_ids(docs, other.select("__id"))
-    more = docs.join(other.where("__n > 1"), F.col("doc_id") == F.col("__id")).select(*names, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__i")).select(*names)
-    return once.unionByName(more)
+    """Rows as often as the mix of sources takes them, 0 to 3 times; that depends on doc_id and source alone. A null source is a source, a null
+    doc_id an id, a null text has no words. Equal rows are taken equally often. An empty table stays empty."""
+    return mixed(docs)
 
 
 def packing_stage(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Token sequences of at most 2048: a row for each piece of a document, as op2 has them. Workers of a long job hold much already, so
-    that they remember fewer pieces of text here."""
-    return pack(docs, tokenizer, remembered=250_000)
+    """Token sequences of at most 2048: a row for each piece of a document, as op2 has them. A null or empty text is its end alone; rows that
+    are there several times are packed as often, a null doc_id stays null; an empty table gives no rows."""
+    return pack(docs, tokenizer)

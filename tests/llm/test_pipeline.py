@@ -65,3 +65,26 @@ def test_verdicts_act_on_rows(spark, empty):
     times = Counter({(r.doc_id, r.source): r.repeats for r in mixing.mix(docs).collect()})
     mixed = Counter(tuple(r) for r in stages.mixing_stage(docs).collect())
     assert mixed == Counter({r: times[r[0], r[3]] for r in rows if times[r[0], r[3]]})
+
+
+def test_mixing_takes_rows_not_ids(spark, empty):
+    """Repeated, shared and null ids: as many rows as taken, no more; names of the operator's own columns don't matter."""
+    from flowsieve.llm.mixing import mix, mixed
+
+    rows = [(i % 40 if i % 9 else None, "w " * (i % 11), "en", ("a", "b", None)[i % 3], i, "x", 7, "y", "z") for i in range(300)]
+    docs = spark.createDataFrame(rows + rows[:20], empty.schema).withColumnRenamed("rep", "bound").withColumnRenamed("size", "source_size")
+    times = {(r.doc_id, r.source): r.repeats for r in mix(docs).collect()}
+    want = Counter()
+    for r in rows + rows[:20]:
+        want[r] += times[r[0], r[3]]
+    assert Counter(tuple(r) for r in mixed(docs).collect()) == +want
+
+
+def test_sources_beyond_the_broadcast_are_joined(spark, docs, monkeypatch):
+    from flowsieve.llm import mixing as m
+
+    whole = sorted(tuple(r) for r in m.mix(docs).select("doc_id", "taken").collect())
+    kept = sorted(r.doc_id for r in m.mixed(docs).collect())
+    monkeypatch.setattr(m, "MOST_SOURCES", 2)
+    assert sorted(tuple(r) for r in m.mix(docs).select("doc_id", "taken").collect()) == whole
+    assert sorted(r.doc_id for r in m.mixed(docs).collect()) == kept
