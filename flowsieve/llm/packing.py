@@ -8,110 +8,41 @@ capacity. Only lengths are exchanged; the ids stay where the text was read, unle
 
 from __future__ import annotations
 
-import os
 import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, partitions_for, table, with_text_bytes
+from .encoding import REMEMBERED, encoder
 from .kernels import slices
 
 GROUP = 2048
-#: Pieces of text whose ids a worker remembers, with five words for eight of them: about 300 bytes each. Fewer cost time, not results.
-REMEMBERED = 1_600_000
-_STOPS = ".,!?;:"
-
-
-class Encoder:
-    """Token ids of texts, as bytes of little-endian unsigned 32-bit integers.
-
-    Where all white space of a text is single spaces and newlines between other characters, byte-level BPE
-    with the usual pre-tokenizer never merges across them: a space belongs to what follows, a newline stands alone. Such a text is
-    cut there and each piece is encoded once. A newline before a piece and stops after its last letter are tokens of
-    their own, so that a new piece often needs no encoding either. Any other text is encoded whole."""
-
-    def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.remembered = remembered
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, keys: list[str]) -> None:
-        if len(self.words) > self.remembered * 5 // 8:
-            self.words.clear()
-        parts = []
-        for k in keys:
-            first = k[0]
-            head, body = ("\n", k[1:]) if first == "\n" else ("", k[1:]) if first == "\r" else ("", " " + k)
-            word = body.rstrip(_STOPS)
-            parts.append((head, word, body[len(word) :]) if word and word[-1].isalpha() else ("", head + body, ""))
-        missing = list({x for part in parts for x in part} - self.words.keys())
-        self.words.update(zip(missing, self._plain(missing)))
-        get = self.words.__getitem__
-        self.known.update([(k, get(a) + get(b) + get(c)) for k, (a, b, c) in zip(keys, parts)])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # Keys: a word after a space is itself, one after a newline has it in front, the first of a text a carriage return.
-        cuts: list[list[str] | None] = []
-        for t in texts:
-            words = t.split()
-            gaps = len(t) - len("".join(words))
-            lines = t.count("\n")
-            if words and gaps == len(words) - 1 == t.count(" ") + lines:
-                words[0] = "\r" + words[0]
-                if lines:
-                    at = 0
-                    for line in t.split("\n")[:-1]:
-                        at += line.count(" ") + 1
-                        words[at] = "\n" + words[at]
-                cuts.append(words)
-            else:
-                cuts.append(None)
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        self._learn(list(set().union(*(c for c in cuts if c)) - self.known.keys()))
-        whole = iter(self._plain([t for t, c in zip(texts, cuts) if c is None]))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) if c else next(whole) for c in cuts]
-
-
-_encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def _pieces(path: str, window: int, end: int, keep_ids: bool, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = path, remembered
-        encoder = _encoders.get(key) or _encoders.setdefault(key, Encoder(*key))
-        last = array("I", [end]).tobytes()
+        made = encoder(path, remembered)
+        last = np.array([end], "<u4").tobytes()
         for batch in batches:
-            for part, _, _ in slices(batch):
-                docs, starts, lengths, crcs, totals, kept = [], [], [], [], [], []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids += last
-                    total = len(ids) // 4
-                    for start in range(0, total, window):
-                        piece = ids[4 * start : 4 * (start + window)]
-                        docs.append(doc)
-                        starts.append(start)
-                        lengths.append(len(piece) // 4)
-                        crcs.append(zlib.crc32(piece))
-                        totals.append(total)
-                        if keep_ids:
-                            kept.append(piece)
-                out = [pa.array(x, pa.int64()) for x in (docs, starts, lengths, crcs, totals)]
+            for part, data, offs in slices(batch):
+                flat, bounds = made.encode(data, offs)
+                totals = np.diff(bounds) + 1
+                counts = -(-totals // window)
+                doc = np.repeat(np.arange(len(totals)), counts)
+                starts = (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * window
+                lengths = np.minimum(totals[doc] - starts, window)
+                ids = memoryview(flat.astype("<u4").tobytes())
+                begin = bounds[:-1][doc] + starts
+                closes = starts + lengths == totals[doc]
+                pieces = [bytes(ids[4 * a : 4 * (a + n - c)]) + last * c for a, n, c in zip(begin.tolist(), lengths.tolist(), closes.tolist())]
+                out = [part.column(0).take(pa.array(doc)), pa.array(starts), pa.array(lengths), pa.array([zlib.crc32(x) for x in pieces], pa.int64()), pa.array(totals[doc])]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if keep_ids:
-                    out, names = [*out, pa.array(kept, pa.binary())], [*names, "ids"]
+                    out, names = [*out, pa.array(pieces, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
     return run

@@ -2,10 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from flowsieve.llm.packing import Encoder, best_fit, pack, sequences
+from flowsieve.llm.encoding import Encoder
+from flowsieve.llm.kernels import slices
+from flowsieve.llm.packing import best_fit, pack, sequences
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,9 +17,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def check(rows, docs, tokenizer, window=2048):
@@ -60,10 +61,26 @@ def test_nulls_repeats_and_nothing(odd_ids, empty):
     assert pack(empty, PATH).count() == 0
 
 
-def test_encoder_equals_whole_texts(docs_rows):
-    odd = ["a\n\nb", "a  b", " a", "a ", "\n", "a\tb c", "it's. he'll, x", "x1. y2,", "é. ñ, ǘ. z", "a\nb. c", "a b c", "... a", "a\n... b", "日本. 語", "a\x1cb c", "a\rb c", "\ra b", "a.b. c"]
-    encoder, texts = Encoder(PATH), odd + [t or "" for _, t in docs_rows]
-    assert encoder.encode(texts) == encoder._plain(texts) == encoder.encode(texts)
+ODD = ["a\n\nb", "a  b", " a", "a ", "\n", "a\tb c", "it's. he'll, x", "x1. y2,", "é. ñ, ǘ. z", "a\nb. c", "a b c", "... a", "a\n... b", "日本. 語", "a\x1cb c", "a\rb c", "\ra b", "a.b. c", "<|endoftext|>", "a <|endoftext|> b", "x\u00a0 y", "x \u3000y", "x\u2028 y"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"])
+def test_encoder_equals_whole_texts(name, docs_rows):
+    rng = random.Random(4)
+    alphabet = ["a", "b", "B", "é", "日", "'s", "'", "1", "23", ".", "!!", "#", " ", "\n", " ", "  ", "\t", "\u00a0", "\u3000", "\x1c", "\r", "<|endoftext|>", "-", "e\u0301", "😀", "\x00", "\u180e", "'ll"]
+    texts = ODD + [t or "" for _, t in docs_rows] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    made = Encoder(public_tokenizers.path(name), remembered=500)
+    for limit in (1 << 12, 1 << 20, 1 << 12):
+        for part, data, offs in slices(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}), limit=limit):
+            flat, bounds = made.encode(data, offs)
+            plain = made.whole(part.column(0).to_pylist())
+            assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [list(x) for x in plain]
+
+
+def test_special_tokens_as_text_or_not():
+    text = b"a <|endoftext|> b"
+    ids = [Encoder(PATH, special_as_text=x).encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tolist() for x in (False, True)]
+    assert 50256 in ids[0] and 50256 not in ids[1]
 
 
 def test_best_fit_takes_the_tightest():
