@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, partitions_for, table, with_text_bytes
-from .kernels import LOWER, Words, merge_counts, mix, pack_ints, pack_sorted, slices, unpack_ints, unpack_sorted
+from .kernels import LOWER, Words, merge_counts, mix, pack_ints, pack_sorted, shared_buckets, slices, unpack_ints, unpack_sorted
 
 CHUNK, TOKENS = 6 << 20, 400_000
 FOLDS, HELD = 5, 1
@@ -90,10 +90,6 @@ def _pairs(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mix(mix(before) * _U(0x9E3779B97F4A7C15) + tokens)
 
 
-def _edges(buckets: int) -> np.ndarray:
-    return (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(_U)
-
-
 def _ask(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,8 +97,7 @@ def _ask(buckets: int):
                 tokens, before, _ = _tokens(z, offs)
                 for order, keys in ((1, tokens), (2, _pairs(tokens, before))):
                     keys, counts = np.unique(keys, return_counts=True)
-                    at = np.searchsorted(keys, _edges(buckets))
-                    rows = [(b, pack_sorted(k), None if held else pack_ints(c.astype(np.uint32))) for b, (k, c) in enumerate(zip(np.split(keys, at), np.split(counts, at))) if len(k)]
+                    rows = [(b, pack_sorted(keys[lo:hi]), None if held else pack_ints(counts[lo:hi].astype(np.uint32))) for b, (lo, hi), _ in shared_buckets(keys, keys[:0], buckets)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r[0] for r in rows], pa.int32()), pa.array([order] * len(rows), pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
                         ["bucket", "n", "chunk", "keys", "counts"],
@@ -123,7 +118,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [unpack_sorted(k) for _, k, _ in held]
         counts = [np.zeros(len(k), np.int64) if c is None else unpack_ints(c, np.uint32).astype(np.int64) for k, (_, _, c) in zip(keys, held)]
         key, total = merge_counts(keys, counts)
-        rows = [(chunk, pack_ints(np.minimum(total[np.searchsorted(key, k)], 0xFFFFFFFF).astype(np.uint32)), None, None) for k, (chunk, _, _) in zip(keys, held)]
+        rows = [(chunk, pack_ints(total[np.searchsorted(key, k)]), None, None) for k, (chunk, _, _) in zip(keys, held)]
         if order == 1:
             rows.append((-1, None, int((total > 0).sum()), int(total.sum())))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([order] * len(rows), pa.int32()), pa.array([bucket] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], ["chunk", "n", "bucket", "counts", "kinds", "total"])
@@ -145,7 +140,7 @@ def _counted(offs: bytes, z: bytes, replies: list[dict]):
     found = {}
     for order, keys in ((1, tokens), (2, _pairs(tokens, before))):
         kinds, inverse = np.unique(keys, return_inverse=True)
-        counts = np.concatenate([unpack_ints(r["counts"], np.uint32) for r in sorted((r for r in replies if r["n"] == order), key=lambda r: r["bucket"])]).astype(np.int64)
+        counts = np.concatenate([unpack_ints(r["counts"], np.int64) for r in sorted((r for r in replies if r["n"] == order), key=lambda r: r["bucket"])]).astype(np.int64)
         found[order] = counts[inverse]
         if order == 1:
             ends = counts[np.searchsorted(kinds, END)]
