@@ -4,8 +4,10 @@ Quality rules, near-duplicates (one of each group stays), repeated passages, mix
 columns of documents. STAGES lists (name, function); a function takes (spark, docs, sf_dir).
 """
 
+import uuid
+
 from flowsieve.llm import stages
-from flowsieve.llm.common import cut
+from flowsieve.llm.common import consumed, shared_dir
 
 
 def _packed(spark, docs, sf_dir):
@@ -29,5 +31,9 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with consumed(spark):
+            after = stage(spark, docs, sf_dir)
+            path = f"{shared_dir(spark)}/flowsieve/stage-{uuid.uuid4().hex}"
+            after.write.parquet(path)
+        docs = spark.read.schema(after.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
