@@ -131,10 +131,9 @@ class Encoder:
         self._learn(kinds[new], [_LEADS[x] + data[a:b].tobytes().decode() for x, a, b in zip(lead[i].tolist(), first[i].tolist(), last[i].tolist())])
         return np.searchsorted(self.keys, kinds)[inverse]
 
-    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a slice of texts, one after the other, and where each text's begin and end."""
+    def _pieces(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts that can be cut: document and place of each piece's ids, and whether a newline comes before it; and the documents that can't be cut."""
         words = Words(data, offs)
-        n = len(offs) - 1
         odd = self._odd(data, offs, words)
         doc = words.docs()
         mine = ~odd[doc]
@@ -154,17 +153,29 @@ class Encoder:
         a, b, d, lead = first[word], end[word], doc[word], lead[word]
         a[tail], b[tail], lead[tail] = end[split], last[split], 0
         keys = mix(hash_ranges(data, a, b) + (lead == 1).astype(_U) * _U(0x9E3779B97F4A7C15))
-        slots = self._slots(keys, a, b, lead, data)
-        # A newline's own id comes before what follows it.
-        broken = lead == 2
-        counts = self.n[slots].astype(np.int64) + broken
+        return d, self._slots(keys, a, b, lead, data), lead == 2, np.flatnonzero(odd)
+
+    def _whole(self, data: np.ndarray, offs: np.ndarray, which: np.ndarray) -> list:
+        return [self.whole([data[offs[i] : offs[i + 1]].tobytes().decode()])[0] for i in which.tolist()]
+
+    def counts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Ids in each of a slice of texts."""
+        d, slots, broken, which = self._pieces(data, offs)
+        sizes = np.bincount(d, self.n[slots].astype(np.int64) + broken, len(offs) - 1).astype(np.int64)
+        sizes[which] = [len(t) for t in self._whole(data, offs, which)]
+        return sizes
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a slice of texts, one after the other, and where each text's begin and end."""
+        d, slots, broken, which = self._pieces(data, offs)
+        n = len(offs) - 1
+        counts = self.n[slots].astype(np.int64) + broken  # a newline's own id comes before what follows it
         flat = np.full(int(counts.sum()), self.line, np.int64).astype(np.uint32)
         begin = np.cumsum(counts) - counts
         flat[ragged(begin + broken, counts - broken)] = self.ids[ragged(self.start[slots], self.n[slots].astype(np.int64))]
         sizes = np.bincount(d, counts, n).astype(np.int64)
-        which = np.flatnonzero(odd)
         if len(which):
-            text = [self.whole([data[offs[i] : offs[i + 1]].tobytes().decode()])[0] for i in which.tolist()]
+            text = self._whole(data, offs, which)
             here = np.cumsum(sizes)[which]
             flat = np.insert(flat, np.repeat(here, [len(t) for t in text]), np.concatenate([np.array(t, np.uint32) for t in text]))
             sizes[which] = [len(t) for t in text]

@@ -76,3 +76,75 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     assert "b5" not in r.batches()
     with pytest.raises(ValueError):
         r.commit("a/b", one)
+
+
+def insert(n, **more):
+    return ("insert", "a", "en", "1", n, None, None, None, None, more.get("id"))
+
+
+def test_null_change_ids_count_each(spark, tmp_path):
+    r = ro.Rollup(spark, str(tmp_path / "r"))
+    r.commit("b", spark.createDataFrame([insert(10), insert(20), insert(5, id=1), insert(5, id=1), insert(4, id=1)], CHANGES))
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "1", 3, 34)]
+
+
+def test_incomplete_revise_is_an_error(spark, tmp_path):
+    r = ro.Rollup(spark, str(tmp_path / "r"))
+    with pytest.raises(Exception, match="old_source"):
+        r.commit("b", spark.createDataFrame([("revise", "a", "en", "1", 3)], "op string, source string, lang string, version string, tokens long"))
+    assert r.batches() == []
+
+
+def test_commit_during_compaction_counts_once(spark, tmp_path, monkeypatch):
+    """A batch that comes after compaction listed its deltas stays a delta; a second compaction of the same base loses."""
+    r, other = (ro.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
+    r.commit("b1", spark.createDataFrame([insert(10)], CHANGES))
+    rows = r._rows
+
+    def late(base, deltas):
+        if not r.batches() == ["b1", "b2"]:
+            assert other.commit("b2", spark.createDataFrame([insert(5)], CHANGES))
+            monkeypatch.setattr(r, "_rows", rows)
+            assert other.compact()
+        return rows(base, deltas)
+
+    monkeypatch.setattr(r, "_rows", late)
+    assert not r.compact()
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "1", 2, 15)]
+    monkeypatch.setattr(r, "_rows", rows)
+    reader = r.totals()  # planned before two more compactions' worth of files
+    assert other.commit("b3", spark.createDataFrame([insert(1)], CHANGES)) and r.compact()
+    assert [tuple(x) for x in reader.collect()] == [("a", "en", "1", 2, 15)]
+    assert r.compact() and [tuple(x) for x in other.totals().collect()] == [("a", "en", "1", 3, 16)]
+    assert not other.commit("b1", spark.createDataFrame([insert(10)], CHANGES))
+
+
+def test_unfinished_marker_is_no_commit(spark, tmp_path):
+    r = ro.Rollup(spark, str(tmp_path / "r"))
+    (tmp_path / "r" / "commits").mkdir(parents=True)
+    (tmp_path / "r" / "commits" / "b").write_text("")
+    assert r.batches() == [] and r.totals().count() == 0
+    assert r.commit("b", spark.createDataFrame([insert(7)], CHANGES)) and r.totals().first().tokens == 7
+
+
+def test_tokens_by_two_vocabularies(spark, sf, docs, docs_rows, tmp_path):
+    """Counts equal whole texts'; the history's totals equal SQL on the counts."""
+    import duckdb
+    import public_tokenizers
+    from flowsieve.llm.encoding import Encoder
+
+    from . import brute
+
+    paths = dict(zip(ro.VERSIONS, map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"))))
+    made = {n: Encoder(p) for n, p in paths.items()}
+    counts = ro.token_counts(docs, paths)
+    want = sorted(((None, "a", "b", "é")[i % 4] or "", (None, "en", "de")[i % 3] or "", len(brute.words(t)), *(len(made[n].whole([t or ""])[0]) for n in ro.VERSIONS)) for i, t in docs_rows)
+    assert sorted((r.source or "", r.lang or "", *tuple(r)[2:]) for r in counts.collect()) == want
+    counts.write.parquet(str(tmp_path / "counts"))
+    rollup = ro.Rollup(spark, str(tmp_path / "r"))
+    ro.history(rollup, spark.read.parquet(str(tmp_path / "counts")))
+    sql = f"select source, lang, '{ro.VERSIONS[1]}', count(*), sum({ro.VERSIONS[1]})::bigint from '{tmp_path}/counts/*.parquet' where n_words >= 20 group by all"
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted((tuple(r) for r in rollup.totals().collect()), key=key) == sorted(duckdb.sql(sql).fetchall(), key=key)
+    rows = ro.op10_delta_rollup(spark, sf)
+    assert rows.columns == ["source", "lang", "version", "documents", "tokens"] and rows.count() > 0
