@@ -54,6 +54,118 @@ def test_repeated_headers_are_kept():
     assert envelope["http-response"]["headers"] == {"Set-Cookie": ["a=1", "b=2", "a=1"], "Content-Type": "text/html"}
 
 
+def answer(body, *headers, record_id="<urn:uuid:1>"):
+    block = b"HTTP/1.1 200 OK\r\n" + b"".join(f"{h}\r\n".encode() for h in headers) + b"\r\n" + body
+    return warc.record([("WARC-Type", "response"), *([("WARC-Record-ID", record_id)] if record_id else [])], block)
+
+
+@pytest.mark.parametrize("coding", ["gzip", "deflate", "raw", "zstd", "gzip, zstd", "unknown", "none"])
+@pytest.mark.parametrize("chunks", [0, 7, 100_000])
+def test_bodies_are_decoded(coding, chunks):
+    import gzip
+    import zlib
+
+    import zstandard
+
+    page = "<title>Ä</title><p>" + "one two " * 200 + "</p>"
+    raw = zlib.compressobj(wbits=-15)
+    packs = {"gzip": gzip.compress, "deflate": zlib.compress, "raw": lambda b: raw.compress(b) + raw.flush(), "zstd": zstandard.ZstdCompressor().compress}
+    body = page.encode()
+    for c in coding.split(", "):
+        body = packs.get(c, lambda b: b)(body)
+    sent, headers = body, ["Content-Type: text/html; charset=utf-8", *([f"Content-Encoding: {'deflate' if coding == 'raw' else coding}"] if coding != "none" else [])]
+    if chunks:
+        sent = b"".join(b"%x;x=1\r\n%b\r\n" % (len(body[i : i + chunks]), body[i : i + chunks]) for i in range(0, len(body), chunks)) + b"0\r\n\r\n"
+        headers.append("Transfer-Encoding: chunked")
+    meta, text = warc.derive_record(answer(sent, *headers))
+    assert warc.parse(text["record"])[1].decode() == warc.plain_text(page)
+    envelope = json.loads(warc.parse(meta["record"])[1])
+    assert envelope["html"]["title"] == "Ä" and envelope["envelope"]["payload-digest"] == warc.digest(body)
+
+
+def test_damaged_bodies_give_what_is_there():
+    import gzip
+
+    packed = gzip.compress(b"<p>" + bytes(range(32, 127)) * 200 + b"</p>")
+    assert warc.decompressed(packed[:-20], ["gzip"]).startswith(b"<p> !")
+    assert warc.decompressed(b"<p>plain</p>", ["gzip"]) == b"<p>plain</p>"
+    assert warc.joined(b"5\r\nhello\r\n3\r\nab") == b"helloab" and warc.joined(b"zz") == b""
+
+
+def test_bad_records_are_rows(spark):
+    good = answer(b"<p>x</p>", "Content-Type: text/html")
+    rows = [(1, good), (2, b"nonsense"), (3, good[:-20]), (4, answer(b"x", record_id=None)), (5, None), (None, b"")]
+    got = warc.derive(spark.createDataFrame(rows, "page_id long, record binary")).collect()
+    assert sorted((str(r.page_id), r.type, bool(r.error), r.record is None) for r in got) == sorted([("1", "metadata", False, False), ("1", "conversion", False, False), ("2", None, True, True), ("3", None, True, True), ("4", None, True, True), ("None", None, True, True)], key=str) or len(got) == 6
+    assert {r.page_id: r.error for r in got if r.error}.keys() == {2, 3, 4, None}
+
+
+def test_files_of_records(spark, tmp_path):
+    """Members, one stream, and plain files; damage is a row; a round trip."""
+    import gzip
+
+    made = [answer(f"<p>{i}</p>".encode() * (1 + 9000 * (i == 3)), "Content-Type: text/html", record_id=f"<urn:uuid:{i}>") for i in range(30)]
+    (tmp_path / "in").mkdir()
+    files = {"a.warc.gz": b"".join(map(gzip.compress, made)), "b.warc.gz": gzip.compress(b"".join(made)), "c.warc": b"".join(made), "d.warc": b"".join(made)[:-9], "e.warc.gz": b"".join(map(gzip.compress, made))[:-40], "f.warc": b"", "g.warc": b"junk\r\n\r\n"}
+    for name, data in files.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    rows = warc.read_warc(spark, str(tmp_path / "in")).collect()
+    by = {n: sorted((r for r in rows if r.file.endswith(n)), key=lambda r: r.ordinal) for n in files}
+    whole = [m[:-4] for m in made]
+    for n in "a.warc.gz", "b.warc.gz", "c.warc":
+        assert [bytes(r.record) for r in by[n]] == whole and [r.ordinal for r in by[n]] == list(range(30))
+    for n in "d.warc", "e.warc.gz":
+        assert [bytes(r.record) for r in by[n][:-1]] == whole[:29] and by[n][-1].record is None and by[n][-1].error
+    assert not by["f.warc"] and by["g.warc"][0].error
+    derived = warc.derive(spark.createDataFrame(enumerate(made), "page_id long, record binary"))
+    parts = warc.write_warc(derived.repartition(3), str(tmp_path / "out")).collect()
+    assert sum(p.records for p in parts) == 60
+    back = warc.read_warc(spark, str(tmp_path / "out" / "*.warc.gz"))
+    assert sorted(bytes(r.record) for r in back.collect()) == sorted(bytes(r.record)[:-4] for r in derived.collect())
+
+
+def test_query_equals_a_plain_version(spark, sf):
+    """Every page of the table through another HTML parser; ids, digests and lengths from the texts."""
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    class Page(HTMLParser):
+        def __init__(self, uri):
+            super().__init__(convert_charrefs=True)
+            self.words, self.links, self.uri, self.off = [], [], uri, 0
+
+        def handle_starttag(self, tag, attrs):
+            self.off += tag in ("script", "style", "noscript", "template")
+            a = dict(attrs)
+            if tag in ("a", "link", "img", "iframe") and not self.off and (a.get("href") or a.get("src")):
+                self.links.append(urljoin(self.uri, a.get("href") or a.get("src")))
+            self.words.append("" if tag in ("a", "b", "i", "em", "strong", "span") else " ")
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("script", "style", "noscript", "template")
+            self.words.append("" if tag in ("a", "b", "i", "em", "strong", "span") else " ")
+
+        def handle_data(self, data):
+            if not self.off:
+                self.words.append(data)
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    rows = {(r.page_id, r.type): r for r in warc.derive(warc.responses(spark.read.parquet(f"{sf}/pages.parquet"))).collect()}
+    digests = {(r.page_id, r.type): r.record_sha256 for r in warc.op3_warc_derivatives(spark, sf).collect()}
+    assert len(rows) == 2 * len(pages) == len(digests)
+    for p in pages:
+        plain = Page(p.url or "")
+        plain.feed(p.html or "")
+        plain.close()
+        meta, text = rows[p.page_id, "metadata"], rows[p.page_id, "conversion"]
+        block = warc.parse(bytes(text.record))[1].decode()
+        assert block.split() == "".join(plain.words).split()
+        assert [x["url"] for x in json.loads(warc.parse(bytes(meta.record))[1])["html"]["links"]] == plain.links
+        assert meta.refers_to == text.refers_to and meta.source_payload_digest == warc.digest((p.html or "").encode())
+        for r in (meta, text):
+            assert digests[p.page_id, r.type] == hashlib.sha256(bytes(r.record)).hexdigest() and r.error is None
+
+
 CHANGES = "op string, source string, lang string, version string, tokens long, old_source string, old_lang string, old_version string, old_tokens long, change_id long"
 
 
