@@ -8,23 +8,47 @@ from flowsieve.llm import mixing as m, sharding as sh
 from . import brute
 
 
-def test_shards_balance_and_keep_groups(spark, docs, docs_rows):
-    big = spark.createDataFrame([(1000 + i, f"text number {i} " * (i % 7 + 1)) for i in range(900)] + [(5000 + i, "same text") for i in range(450)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
-    rows = sh.shard(big, 8, cell=200).collect()
-    texts = {r.doc_id: r.text or "" for r in big.collect()}
-    assert len(rows) == len(texts)
-    size, slots, where = defaultdict(int), defaultdict(list), defaultdict(set)
+def check_shards(rows, texts, shards, slack=0.05):
+    """Sizes, slots without gaps, groups whole unless they exceed a shard, sizes near equal."""
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    size, slots, where, group = defaultdict(int), defaultdict(list), defaultdict(set), defaultdict(int)
     for r in rows:
-        b = texts[r.doc_id].encode()
-        assert (r.size, r.text_crc32) == (len(b) + 1, zlib.crc32(b)) and 0 <= r["shard"] < 8
-        size[r["shard"]] += r.size
+        b = (texts[r.doc_id] or "").encode()
+        assert (r["size"], r.tokens, r.text_crc32) == (len(b) + 1, len(brute.words(texts[r.doc_id])), zlib.crc32(b)) and 0 <= r["shard"] < shards
+        size[r["shard"]] += r["size"]
+        group[b] += r["size"]
         slots[r["shard"]].append(r.slot)
-        where[texts[r.doc_id]].add(r["shard"])
+        where[b].add(r["shard"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    largest = max(r.size for r in rows)
-    assert max(size.values()) - min(size.values()) <= largest + 0.05 * sum(size.values()) / 8
-    assert max(map(len, slots.values())) <= 1.3 * len(rows) / 8
-    assert all(len(s) == 1 for t, s in where.items() if t != "same text")
+    share = sum(size.values()) / shards
+    assert all(len(s) == 1 or group[t] > share for t, s in where.items())
+    largest = max([r["size"] for r in rows] + [min(n, share) for n in group.values()])
+    assert max(size.values()) - min(size[i] for i in range(shards)) <= largest + slack * share
+    return size, slots
+
+
+def test_shards_balance_and_keep_groups(spark, docs, docs_rows):
+    """A group of a third of all rows but few bytes stays whole."""
+    big = spark.createDataFrame([(1000 + i, f"text number {i} " * (i % 7 + 1)) for i in range(900)] + [(5000 + i, "same text") for i in range(450)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    texts = {r.doc_id: r.text for r in big.collect()}
+    size, slots = check_shards(sh.shard(big, 8, cell=200).collect(), texts, 8)
+    small = sh.shard(big.where("doc_id < 5000"), 8, cell=200).collect()
+    _, slots = check_shards(small, {i: t for i, t in texts.items() if i < 5000}, 8)
+    assert max(map(len, slots.values())) <= 1.3 * len(small) / 8
+
+
+def test_large_groups_are_split_no_more_than_needed(spark):
+    rows = [(i, "the same long text " * 20) for i in range(400)] + [(1000 + i, f"other {i} " * (5 + i % 50)) for i in range(300)]
+    got = sh.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4, cell=64).collect()
+    check_shards(got, dict(rows), 4, 0.25)
+
+
+def test_levels_of_bins(spark):
+    """Many cells, few bins on the driver: three levels give whole groups and near equal sizes too."""
+    rows = [(i, f"w{i % 1500} " * (1 + i % 1500 * 7 % 40)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    size, slots = check_shards(sh.shard(df, 4, cell=10, on_driver=30).collect(), dict(rows), 4, 0.1)
+    assert max(map(len, slots.values())) <= 1.2 * len(rows) / 4
 
 
 def test_shard_odd_rows(odd_ids, empty):
