@@ -1,14 +1,18 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 Every tree of the forest is a sorted order of the distinct documents by its own run of signature
-values. Neighbours in an order that agree on `least` leading values are candidates; how deep they agree adapts to how
-crowded the region is, since sorting brings the longest common prefixes together. Candidates are confirmed on
-full shingle sets, and links form components.
+values. What two neighbours share is their longest common prefix; those that share `least` leading values or more are candidates, and a document's best
+neighbour is the one with which it shares most values over all orders. Candidates are confirmed on full shingle sets, and links form components.
 
-A crowded region holds more pairs than neighbours. Pairs inside one component no longer
-matter, so the rest is settled exactly. In regions that still hold several components, signatures say in blocks which components may
-be linked; these form clusters. In a cluster every document outside the largest component is held against all of its
-documents, in blocks, by an inverted index over full shingle sets.
+A crowded region of an order holds more pairs than neighbours. Pairs inside one component no longer matter, so that only regions with several components are
+looked at again. How deep a region's prefix is adapts to its crowd: it has `least` values, and one more as long as more than PROBES documents in it lie outside
+the region's largest component, so that what is dealt out grows with the documents and not with the square of a crowd. Beyond a tree's own values the prefix goes on with
+the next tree's. In regions, signatures say in blocks which components may be linked; these form clusters. In a cluster every document outside the
+largest component is held against all of its documents, in blocks, by an inverted index over full shingle sets.
+
+What can be missed: a pair of similarity 0.8 shares 4 leading values in none of 20 orders with probability 3e-5, 6 with 2e-3, 8 with 3e-2 (the last two matter in regions
+with PROBES unlinked documents only, and a pair may be neighbours all the same); signatures of a pair at 0.8 agree on less than the share asked for
+with probability 1e-9.
 
 Equal shingle sets are one node from the start (a 128-bit digest of the set), so that copies cost one row each.
 """
@@ -18,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +31,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, likely_ids, with_text_bytes
 from .components import components
-from .kernels import LOWER, shingle_sets, slices, string_bytes
+from .kernels import LOWER, mix, shingle_sets, slices, string_bytes
 
 #: 20 orders of up to 6 values; two documents of similarity 0.8 agree on 4 leading values in one of them with probability 0.99997.
 TREES, DEPTH, LEAST = 20, 6, 4
 BLOCK = 512
+#: Documents outside a region's largest component from which on its prefix gets longer; the longest prefix.
+PROBES, DEEPEST = 4096, 12
 #: Standard errors of the signature's estimate below the similarity at which a pair is no longer confirmed.
-SLACK = 4.0
+SLACK = 6.0
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,17 +94,24 @@ def _orders(trees: int, depth: int):
     return run
 
 
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading values of four bytes that the rows of two arrays share."""
+    same = (a == b).reshape(len(a), -1, 4).all(2)
+    return np.logical_and.accumulate(same, 1).sum(1)
+
+
 def _neighbours(least: int, edges: bool):
-    """Adjacent rows of a sorted run that agree on `least` values; edges: also the run's first and last row, for the joints between tasks."""
+    """Adjacent rows of a sorted run whose longest common prefix has `least` values or more, with its length; edges: also the run's first and last row,
+    for the joints between tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
 
-        def out(a, b, tree=None, key=None):
+        def out(a, b, lcp, tree=None, key=None):
             n = len(a)
             return pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(tree if tree is not None else [None] * n, pa.int32()), pa.array(key if key is not None else [None] * n, pa.binary())],
-                ["a", "b", "tree", "key"],
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lcp, pa.int32()), pa.array(tree if tree is not None else [None] * n, pa.int32()), pa.array(key if key is not None else [None] * n, pa.binary())],
+                ["a", "b", "lcp", "tree", "key"],
             )
 
         for batch in batches:
@@ -107,15 +121,16 @@ def _neighbours(least: int, edges: bool):
             keys = string_bytes(batch.column(1))[0].reshape(batch.num_rows, -1)
             if last is None:
                 if edges:
-                    yield out([rep[0]], [None], [tree[0]], [keys[0].tobytes()])
+                    yield out([rep[0]], [None], [0], [tree[0]], [keys[0].tobytes()])
             else:
                 tree, rep, keys = np.append(last[0], tree), np.append(last[1], rep), np.concatenate((last[2], keys))
-            near = (tree[1:] == tree[:-1]) & (keys[1:, : 4 * least] == keys[:-1, : 4 * least]).all(1)
+            lcp = np.where(tree[1:] == tree[:-1], common_prefix(keys[1:], keys[:-1]), 0)
+            near = lcp >= least
             a, b = rep[:-1][near], rep[1:][near]
-            yield out(np.minimum(a, b), np.maximum(a, b))
+            yield out(np.minimum(a, b), np.maximum(a, b), lcp[near])
             last = tree[-1:], rep[-1:], keys[-1:].copy()
         if edges and last is not None:
-            yield out([last[1][0]], [None], [last[0][0]], [last[2][0].tobytes()])
+            yield out([last[1][0]], [None], [0], [last[0][0]], [last[2][0].tobytes()])
 
     return run
 
@@ -155,19 +170,23 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _regions(trees: int, depth: int, least: int):
-    """Each document's regions, with its signature cut to a byte a value."""
+def _regions(trees: int, depth: int, length: int):
+    """Rows (rep, sig, component[, tree]) to the region of each document in each tree, or in the tree given: the hash of its first `length` values, counted on
+    through the trees that follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .kernels import mix
-
         for batch in batches:
             n = batch.num_rows
-            sigs = np.frombuffer(string_bytes(batch.column(1).cast(pa.binary()))[0].tobytes(), ">u4").reshape(n, trees, depth).astype(np.uint64)
-            region = np.tile(mix(np.arange(1, trees + 1, dtype=np.uint64)), (n, 1))
-            for i in range(least):
-                region = mix(region + sigs[:, :, i] * np.uint64(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), trees)), pa.array(np.repeat(batch.column(2).to_numpy(), trees))], ["region", "rep", "component"])
+            sigs = np.frombuffer(string_bytes(batch.column(1).cast(pa.binary()))[0].tobytes(), ">u4").reshape(n, trees * depth).astype(np.uint64)
+            rep, component = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            if batch.num_columns > 3:
+                row, tree = np.arange(n), batch.column(3).to_numpy().astype(np.int64)
+            else:
+                row, tree = np.repeat(np.arange(n), trees), np.tile(np.arange(trees), n)
+            region = mix(tree.astype(np.uint64) + np.uint64(1))
+            for i in range(length):
+                region = mix(region + sigs[row, (tree * depth + i) % (trees * depth)] * np.uint64(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(tree.astype(np.int32)), pa.array(rep[row]), pa.array(component[row])], ["region", "tree", "rep", "component"])
 
     return run
 
@@ -269,13 +288,33 @@ def _exact(size: int, percent: int):
     return lambda batches: _groups(batches, settle_with(zstandard.ZstdDecompressor()))
 
 
+def _crowds(rows: DataFrame, key: str) -> DataFrame:
+    """(key, size, outside, top) of keys with several components: its documents, those outside the largest component, and that."""
+    shares = rows.groupBy(key, "component").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy(key).agg(F.sum("n").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("top")).where("kinds > 1")
+    return mixed.select(key, "size", (F.col("size") - F.col("top.n")).alias("outside"), F.col("top.component").alias("top"))
+
+
+def _settled_regions(marked: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
+    """(region, rep, component) of the regions that hold several components, each as deep as its crowd asks for."""
+    kind = "region long, tree int, rep long, component long"
+    rows, done, length = cut(marked.mapInArrow(_regions(trees, depth, least), kind)), [], least
+    while True:
+        crowds = cut(_crowds(rows, "region"))
+        over = crowds.where(F.col("outside") > PROBES) if length < min(DEEPEST, trees * depth) else crowds.limit(0)
+        done.append(rows.join(crowds.join(over.select("region"), "region", "left_anti").select("region"), "region", "left_semi").select("region", "rep", "component"))
+        if over.isEmpty():
+            return cut(reduce(DataFrame.union, done))
+        length += 1
+        deeper = rows.join(over.select("region"), "region", "left_semi").select("rep", "tree").join(marked, "rep").select("rep", "sig", "component", "tree")
+        rows = cut(deeper.mapInArrow(_regions(trees, depth, length), kind))
+
+
 def _deal(rows: DataFrame, key: str, payload: str) -> DataFrame:
     """Rows (key, rep, component, payload) of keys with several components, as blocks: what lies outside a key's largest component, the
     probes, against all of its rows, BLOCK by BLOCK at most in expectation."""
-    shares = rows.groupBy(key, "component").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy(key).agg(F.sum("n").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("top")).where("kinds > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = mixed.select(F.col(key).alias("__key"), blocks(F.col("size")).alias("mbs"), blocks(F.col("size") - F.col("top.n")).alias("pbs"), F.col("top.component").alias("__top"))
+    mixed = _crowds(rows, key).select(F.col(key).alias("__key"), blocks(F.col("size")).alias("mbs"), blocks(F.col("outside")).alias("pbs"), F.col("top").alias("__top"))
     rows = rows.join(mixed, F.col(key) == F.col("__key"))
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -293,7 +332,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, tre
 
     A null or wordless text has an empty set, n_shingles 0, and is linked with nothing. A row with a null doc_id
     is linked with nothing and has a null component_id and kept true. Repeated rows each come back; if several rows
-    share a doc_id, they share their links. An empty table gives an empty table."""
+    share a doc_id, they share their links. Texts of any length are taken whole. An empty table gives an empty table."""
     percent = round(100 * similarity)
     n = trees * depth
     sigs = cut(with_text_bytes(docs).mapInArrow(_sign(size, n), "doc_id long, n_shingles long, fp binary, sig binary"))
@@ -302,10 +341,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, tre
 
     orders = reps.select("rep", "sig").mapInArrow(_orders(trees, depth), "tree int, key binary, rep long")
     ordered = orders.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    found = cut(ordered.mapInArrow(_neighbours(least, True), "a long, b long, tree int, key binary"))
+    found = cut(ordered.mapInArrow(_neighbours(least, True), "a long, b long, lcp int, tree int, key binary"))
     joints = found.where("b is null").select("tree", "key", F.col("a").alias("rep")).repartition(1).sortWithinPartitions("tree", "key", "rep")
-    joints = joints.mapInArrow(_neighbours(least, False), "a long, b long, tree int, key binary")
-    pairs = found.where("b is not null").union(joints).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("votes"))
+    joints = joints.mapInArrow(_neighbours(least, False), "a long, b long, lcp int, tree int, key binary")
+    pairs = found.where("b is not null").union(joints).where("a <> b").groupBy("a", "b").agg(F.sum("lcp").alias("votes"))
 
     # Each document's best neighbour first: one confirmed link for most documents, which leaves few pairs across components.
     ends = pairs.select(F.col("a").alias("u"), "a", "b", "votes").union(pairs.select(F.col("b").alias("u"), "a", "b", "votes"))
@@ -323,9 +362,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, tre
     # What is left: links across components. Regions that hold several say which components may be near each other,
     # and in clusters of these every document outside the largest is held against all.
     marked = cut(reps.join(ids, F.col("rep") == F.col("id"), "left_semi").join(labels, F.col("rep") == F.col("node"), "left").select("rep", "sig", F.coalesce("component", "rep").alias("component")))
-    places = marked.mapInArrow(_regions(trees, depth, least), "region long, rep long, component long")
-    mixed = places.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("region")
-    places = cut(places.join(mixed, "region", "left_semi"))
+    places = _settled_regions(marked, trees, depth, least)
     low = marked.select("rep", "sig").mapInArrow(_short(trees, depth), "rep long, low binary")
     share = similarity - SLACK * (similarity * (1 - similarity) / n) ** 0.5
     near = components(_deal(places.join(low, "rep"), "region", "low").mapInArrow(_likely(share), "a long, b long"))

@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 from flowsieve.llm.components import components
+from flowsieve.llm import minhash
 from flowsieve.llm.minhash import near_duplicates
 
 from . import brute
@@ -54,3 +57,43 @@ def test_components_in_many_tasks(spark):
         got = {r.node: r.component for r in components(df, per_task).collect()}
         assert {k: v for k, v in got.items() if k in want} == want
     assert components(df.limit(0)).count() == 0
+
+
+def test_common_prefixes():
+    a = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [9, 2, 3, 4], [1, 2, 9, 4]], ">u4").view(np.uint8).reshape(4, 16)
+    assert minhash.common_prefix(a, a[[0, 0, 0, 0]]).tolist() == [4, 4, 0, 2]
+
+
+def test_prefixes_get_longer_in_a_crowd(spark, monkeypatch):
+    """Pages of one template, alike but not linked, with some near copies among them: regions deepen, and no link is lost."""
+    rng = random.Random(7)
+    template = [f"t{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        w = template + [f"own{i}_{j}" for j in range(50)]
+        texts.append(" ".join(w))
+        if i % 5 == 0:
+            w = list(w)
+            w[rng.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+    data = list(enumerate(texts))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    want = brute.near_duplicates(data, 4, 80)
+    assert len({c for _, c, _ in want.values()}) == 150
+    lengths = []
+    regions = minhash._regions
+    monkeypatch.setattr(minhash, "_regions", lambda trees, depth, length: lengths.append(length) or regions(trees, depth, length))
+    for probes in (4096, 10):
+        monkeypatch.setattr(minhash, "PROBES", probes)
+        lengths.clear()
+        assert rows(near_duplicates(df, 4)) == want
+        assert lengths == ([4] if probes > 10 else list(range(4, max(lengths) + 1))) and max(lengths) >= (4 if probes > 10 else 7)
+
+
+def test_a_very_long_text(spark):
+    """Longer than a slice and a block of hashes: sets of whole texts, and a copy of it is linked."""
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(100_000)}" for _ in range(400_000))
+    data = [(1, long), (2, "a b c d e f"), (3, long + " x"), (4, long[::-1])]
+    assert len(long) > 2 << 20
+    assert rows(near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 4)) == brute.near_duplicates(data, 4, 80)
