@@ -28,8 +28,10 @@ def lower_bounds(scores: DataFrame, alphas: tuple[float, ...], by: tuple[str, ..
 
 
 def certificates(scores: DataFrame, budgets: DataFrame, alphas: tuple[float, ...] = (0.1,), by: tuple[str, ...] = ("source",)) -> DataFrame:
-    """Bounds of each source against each budget (width, capacity): certified if the bound is above the threshold."""
-    out = lower_bounds(scores, alphas, by).join(F.broadcast(budgets.select("width", "capacity")))
+    """Bounds of each source against each budget (width, capacity): certified if the bound is above the threshold. Budgets are a handful: each bound gets all of them
+    as one list."""
+    each = budgets.agg(F.collect_list(F.struct("width", "capacity")).alias("budgets"))
+    out = lower_bounds(scores, alphas, by).join(F.broadcast(each)).withColumn("b", F.explode("budgets")).select("*", "b.*").drop("b", "budgets")
     out = out.withColumn("threshold", budget_threshold(F.col("width"), F.col("capacity")))
     return out.withColumn("certified", F.col("bound") > F.col("threshold")).withColumn("margin", F.col("bound") - F.col("threshold"))
 

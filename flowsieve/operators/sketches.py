@@ -145,9 +145,10 @@ def stream_summary(edges: DataFrame, candidates: DataFrame, sketch: DataFrame, w
 
 def streaming_accuracy(exact: DataFrame, approx: DataFrame, k: int = 20) -> DataFrame:
     """One row: candidate_recall (exact top k among all candidates), topk_recall (among the k best estimates), median and largest relative error of the top k; (1, 1, 0, 0)
-    without exact pairs. Both sides have k rows or a tracker's capacity, so the join is a broadcast."""
+    without exact pairs. What is broadcast are the k exact pairs, and what is found of them."""
     top = exact.where(F.col("rank") <= k).select("src", "dst", F.col("weight").cast("double").alias("w"))
-    found = top.join(F.broadcast(approx.select("src", "dst", F.col("estimated_weight").cast("double").alias("e"), F.col("rank").alias("r"))), ["src", "dst"], "left")
+    own = approx.select("src", "dst", F.col("estimated_weight").cast("double").alias("e"), F.col("rank").alias("r")).join(F.broadcast(top.select("src", "dst")), ["src", "dst"], "left_semi")
+    found = top.join(F.broadcast(own), ["src", "dst"], "left")
     error = F.coalesce(F.when(F.col("w") != 0, F.abs(F.coalesce("e", F.lit(0.0)) - F.col("w")) / F.col("w")), F.lit(0.0))
     share = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(1.0))
     return found.agg(share(F.col("r").isNotNull()).alias("candidate_recall"), share(F.coalesce(F.col("r") <= k, F.lit(False))).alias("topk_recall"), F.coalesce(F.median(error), F.lit(0.0)).alias("median_relative_error"), F.coalesce(F.max(error), F.lit(0.0)).alias("max_relative_error"))
@@ -225,7 +226,7 @@ def identifiability_report(edges: DataFrame, approx: DataFrame, k: int, width: i
     pairs = aggregate_pairs(edges)
     total = pairs.agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("w"))
     limits = total.join(F.broadcast(kth_weights(pairs, k)))
-    found = F.broadcast(approx.select("src", "dst", F.col("rank").alias("r")))
+    found = approx.select("src", "dst", F.col("rank").alias("r"))
     top = pairs.orderBy(F.desc("weight"), "src", "dst").limit(k).join(found, ["src", "dst"], "left").join(F.broadcast(limits))
     core = (F.col("w") > 0) & ((F.col("weight") - F.coalesce("next", F.lit(0.0))) / F.col("w") > budget_threshold(width, capacity))
     exact = top.agg(F.count("r").alias("hits"), F.count(F.when(core, 1)).alias("core"), F.count(F.when(core & F.col("r").isNotNull(), 1)).alias("core_hits"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.stats import entropy_bits, gini_total
-from .ordering import durable
+from .ordering import durable, with_sequence
 from .pairs import strengths
 
 
@@ -48,15 +48,31 @@ def top_singular_value(pairs: DataFrame, rounds: int = 16, cut_every: int = 4) -
     return value.select(F.coalesce("top_singular_value", F.lit(0.0)).alias("top_singular_value"))
 
 
+#: Labels in a bitmap of Spark's; 64-bit words of one.
+_LABELS, _WORDS = 32_768, 512
+
+
 def similarity_cells(pairs: DataFrame, axis: str = "src") -> DataFrame:
     """One row: stored cells of the similarity of sources (or destinations) by shared neighbours, diagonal included.
 
-    Half of the symmetric product is enough: pairs of labels with a < b, twice, and each label with itself. Labels that share a
-    neighbour meet in an equi-join on it; pairs found by several neighbours fall together before the exchange."""
+    A neighbour of d labels makes d * d / 2 pairs. Where these are few, half of the symmetric product is enumerated: labels that share a neighbour meet in an
+    equi-join on it, and pairs found by several neighbours fall together before the exchange. Where hubs would make too many, each neighbour's labels are
+    bitmaps, and a label's similar ones are the union of its neighbours' bitmaps, whose bits are counted: d bitmaps instead of d * d pairs. Both count exactly."""
     other = "dst" if axis == "src" else "src"
-    cells = pairs.select(F.col(axis).alias("a"), F.col(other).alias("via")).distinct()
-    half = cells.join(cells.select(F.col("a").alias("b"), "via"), "via").where("a < b").groupBy("a", "b").agg(F.lit(1).alias("one"))
-    return half.agg(F.count("*").alias("h")).join(F.broadcast(cells.agg(F.count_distinct("a").alias("d")))).select((2 * F.col("h") + F.col("d")).alias(f"{axis}_similarity_nnz"))
+    cells = durable(pairs.select(F.col(axis).alias("a"), F.col(other).alias("via")).distinct())
+    degree = cells.groupBy("via").agg(F.count("*").cast("double").alias("d"))
+    blocks = F.least(F.col("d"), F.ceil(F.col("labels") / _LABELS))
+    cost = degree.join(F.broadcast(cells.agg(F.count_distinct("a").alias("labels")))).agg(F.sum(F.col("d") * (F.col("d") - 1) / 2).alias("pairs"), F.sum(F.col("d") * blocks * _WORDS / 8).alias("maps")).first()
+    if (cost["pairs"] or 0) <= (cost["maps"] or 0):
+        half = cells.join(cells.select(F.col("a").alias("b"), "via"), "via").where("a < b").groupBy("a", "b").agg(F.lit(1).alias("one"))
+        count = half.agg(F.count("*").alias("h")).join(F.broadcast(cells.agg(F.count_distinct("a").alias("d")))).select((2 * F.col("h") + F.col("d")).alias("n"))
+    else:
+        codes = with_sequence(cells.select("a").distinct(), ["a"], name="code").select(F.col("a").alias("label"), "code")
+        coded = durable(cells.join(codes, F.col("a") == F.col("label")).select("code", "via"))
+        maps = coded.groupBy(F.col("via").alias("of"), F.expr(f"code div {_LABELS}").alias("block")).agg(F.bitmap_construct_agg(F.col("code") % _LABELS).alias("bits"))
+        unions = coded.join(maps, F.col("via") == F.col("of")).groupBy("code", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+        count = unions.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n"))
+    return count.select(F.col("n").cast("long").alias(f"{axis}_similarity_nnz"))
 
 
 def official_formula(pairs: DataFrame) -> DataFrame:

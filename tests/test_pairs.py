@@ -135,3 +135,19 @@ def test_window_differences(spark):
     right = left.where("seq <> 13").unionByName(spark.createDataFrame([(13, 9, 9), (13, 9, 9)], left.schema))
     rows = {r.window: (r.left_rows, r.right_rows, r.unmatched, r["equal"]) for r in P.window_differences(left, right, 8).collect()}
     assert rows == {0: (8, 8, 0, True), 1: (8, 9, 3, False), 2: (4, 4, 0, True)}
+
+
+def test_similarity_of_hubs(spark, monkeypatch):
+    """Pairs and bitmaps count alike: a hub of all labels, small neighbours, and more labels than a bitmap holds."""
+    rows = [(i, 1000 + i % 70) for i in range(300)] + [(i, 5) for i in range(0, 300, 2)] + [(500, 6)]
+    pairs = spark.createDataFrame(rows, "src long, dst long").distinct().withColumn("weight", F.lit(1))
+    near = {}
+    for a, v in set(rows):
+        near.setdefault(v, set()).add(a)
+    want = len({(a, b) for s in near.values() for a in s for b in s})
+    got = []
+    for words, labels in ((512, 32_768), (1e-9, 32_768), (1e-9, 64)):
+        monkeypatch.setattr(summary, "_WORDS", words)
+        monkeypatch.setattr(summary, "_LABELS", labels)
+        got.append(summary.similarity_cells(pairs, "src").first()[0])
+    assert got == [want] * 3
