@@ -77,7 +77,7 @@ def with_text_bytes(docs: DataFrame) -> DataFrame:
 
 
 #: Bits of the filter for each id; its least and largest size. What is broadcast is 16 MB at most.
-BITS_PER_ID, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 27
+BITS_PER_ID, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
 _ROW_BITS = 32768
 
 

@@ -314,7 +314,8 @@ def _deal(rows: DataFrame, key: str, payload: str) -> DataFrame:
     """Rows (key, rep, component, payload) of keys with several components, as blocks: what lies outside a key's largest component, the
     probes, against all of its rows, BLOCK by BLOCK at most in expectation."""
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = _crowds(rows, key).select(F.col(key).alias("__key"), blocks(F.col("size")).alias("mbs"), blocks(F.col("outside")).alias("pbs"), F.col("top").alias("__top"))
+    # Written, so that Spark may split the rows of a crowd in the join.
+    mixed = cut(_crowds(rows, key)).select(F.col(key).alias("__key"), blocks(F.col("size")).alias("mbs"), blocks(F.col("outside")).alias("pbs"), F.col("top").alias("__top"))
     rows = rows.join(mixed, F.col(key) == F.col("__key"))
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
