@@ -1,3 +1,6 @@
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from flowsieve import cli
@@ -59,3 +62,16 @@ def test_injected_bins_stand_out(spark):
     assert set(got) == set(synthetic.SCENARIOS) and all(r.anomaly_rank == 1 for r in got.values())
     weights = sorted(r.total_weight for r in bins.where("scenario = 'scan' and time_bin <> 17").collect())
     assert got["scan"].typical_total_weight_median == (weights[11] if len(weights) % 2 else (weights[len(weights) // 2 - 1] + weights[len(weights) // 2]) / 2)
+
+
+@pytest.mark.parametrize("kind", ["identifiable", "priced", "router", "formula", "smoke", "trace", "dyadic", "select", "certify", "anomaly"])
+def test_experiments_by_command_line(spark, tmp_path, capsys, kind):
+    files = []
+    if kind in ("formula", "smoke"):
+        cli.main(["synth", "--out", str(tmp_path / "e.parquet"), "--edges", "300"], spark)
+        files = ["--input", str(tmp_path / "e.parquet")]
+    cli.main(["experiment", "--kind", kind, "--edges", "1500", "--labels", "64", "--window", "50", "--top-k", "5", "--out", str(tmp_path), *files], spark)
+    rows = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert rows and all(isinstance(r, dict) for r in rows)
+    if kind == "smoke":
+        assert [r["matches"] for r in rows] == [True] * 4
