@@ -23,7 +23,7 @@ from .kernels import Words, slices
 #: Items of a cell; bins that the driver places.
 CELL, ON_DRIVER = 2048, 32_768
 #: Rows whose slots are counted off together.
-SLOTS = 4096
+SLOTS = 1024
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
