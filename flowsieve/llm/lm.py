@@ -218,7 +218,7 @@ def score(docs: DataFrame) -> DataFrame:
     docs: doc_id and text; other columns are ignored. Held out are documents with crc32(doc_id as text) mod 5 = 1; the others are
     learned from. Tokens are words in lower case (A-Z) and one end; a null or empty text is the end alone. base_score: sum of
     log10((c + 0.5) / (N + 0.5 * (V + 1))); score: log10 of the model's probability of the text. A null doc_id is learned from.
-    Repeated rows count and come back each. Without held-out documents the weights are equal. An empty table gives an empty table."""
+    Repeated rows count and come back each; texts of any length are scored whole. Without held-out documents the weights are equal. An empty table gives an empty table."""
     chunks = cut(with_text_bytes(docs).mapInArrow(_gather, _CHUNK))
     size = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = partitions_for(size // 6, TOKENS)

@@ -116,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
 
     docs: doc_id, text, source; other columns are ignored. The mix takes a document `repeats` times, 0 to `most`, and so
     taken = repeats * size words. A source's taken words miss its target by half a document at most (repeated doc_ids
-    stand or fall together). Null sources are one source, ordered last; a null or empty text has size 0. The result depends on ids and sizes only, so that
+    stand or fall together). Null sources are one source, ordered last; a null or empty text has size 0, one of any length is counted whole. The result depends on ids and sizes only, so that
     reruns agree. An empty table gives an empty table."""
     rows = cut(sizes(docs, seed))
     goals = shares(rows, weights, most)

@@ -1,7 +1,7 @@
 """Packing documents into token sequences by best-fit decreasing.
 
 A document longer than a sequence is first cut into full windows; what is left of it is one piece. Pieces are
-dealt into groups of about GROUP rows by a hash of (doc_id, start), so that no document or source makes a large group. Each group is packed by
+dealt into groups of about GROUP rows by a hash of (doc_id, start) and of their place, so that no document, source or crowd of equal rows makes a large group. Each group is packed by
 itself, longest piece first, into the tightest open window, found in a segment tree indexed by remaining
 capacity. Only lengths are exchanged; the ids stay where the text was read, unless asked for.
 """
@@ -129,12 +129,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, keep
 
     docs: doc_id and text; other columns are ignored. A document is its token ids and then `end`; a null or empty
     text is `end` alone. Each id lies in exactly one piece, each piece in one sequence of at most `window` ids, and the pieces of a sequence
-    follow each other from offset 0. Repeated rows are packed each; a null doc_id stays null. An empty table gives no rows.
-    ids: the piece's ids as little-endian unsigned 32-bit integers."""
+    follow each other from offset 0. Repeated rows are packed each; a null doc_id stays null. A text of any length is taken
+    whole. An empty table gives no rows. ids: the piece's ids as little-endian unsigned 32-bit integers."""
     names = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
     pieces = cut(with_text_bytes(docs).mapInArrow(_pieces(tokenizer, window, end, keep_ids, remembered), names))
     groups = partitions_for(pieces.count(), group)
-    dealt = pieces.select(F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).alias("part"), "*")
+    # The place of a row in what was written tells equal rows apart, so that thousands of them don't make one group.
+    dealt = pieces.select(F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)).alias("part"), "*")
     dealt = dealt.repartition("part").sortWithinPartitions("part", F.desc("length"), "doc_id", "start", "ids_crc32")
     return dealt.mapInArrow(_pack(window, groups), names + ", sequence_id long, offset long")
 

@@ -508,7 +508,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, meta: DataFrame | None =
     docs: doc_id and text; other columns are ignored. A string is repeated if it also starts earlier: in a document with a
     smaller doc_id, or before in the same one. Texts are UTF-8 bytes, null is empty; matches never cross documents.
     Spans are apart and ascending; documents without any don't appear. Rows with a null doc_id take no part. Rows that share
-    a doc_id count as one document at the same positions, and share spans. An empty table gives no rows."""
+    a doc_id count as one document at the same positions, and share spans. Texts of any length are taken whole. An empty table gives no rows."""
     if not 4 <= length <= 160:
         raise ValueError("length must be from 4 to 160 bytes")
     meta = meta if meta is not None else _meta(docs)

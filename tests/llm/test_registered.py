@@ -113,3 +113,60 @@ def test_pipeline_equals_plain_stages(spark, docs_rows, empty, tmp_path, monkeyp
         assert r.offset == used[r.sequence_id]
         used[r.sequence_id] += r.length
     assert max(used.values()) <= 2048
+
+
+def test_very_long_texts(spark, tokenizer):
+    """Longer than a slice of text: counts, ids, repeated strings and scores of the whole."""
+    from flowsieve.llm import kernels, lm, packing, suffix
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(230_000))
+    assert len(long) > kernels.SLICE_BYTES
+    rows = [(1, long, "en"), (2, "a b c " * 30, "en"), (3, "x " + long[400_000:400_500], "en"), (6, long[:300], "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = [r[:2] for r in rows]
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in q.quality(df).collect()} == {i: brute.quality_counts(t) for i, t in texts}
+    check(packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")).collect(), texts, tokenizer)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.deduplicate(df).collect()} == brute.repeated(texts)
+    got, base = {r.doc_id: r for r in lm.score(df).collect()}, brute.base_scores(texts)
+    assert all((got[i].n_tokens, got[i].n_known) == (n, known) and got[i].base_score == pytest.approx(s, rel=1e-9) for i, (_, n, known, _, s) in base.items())
+
+
+def test_anchors_of_a_text_in_blocks():
+    from flowsieve.llm.suffix import anchors
+
+    data = np.random.default_rng(4).integers(97, 101, 9000, dtype=np.uint8)
+    offs = np.array([0, 50, 4000, 4000, 9000])
+    whole = anchors(data, offs, 100)
+    parts = anchors(data, offs, 100, 1000)
+    assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
+
+
+def test_crowds_of_equal_rows_are_dealt_out(spark):
+    """Thousands of equal rows: groups stay near their size, every row is packed."""
+    from pyspark.sql import functions as F
+
+    from flowsieve.llm import packing
+
+    df = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same short text").alias("text"))
+    rows = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), group=200)
+    sizes = Counter(r.sequence_id % 15 for r in rows.collect())
+    assert sum(sizes.values()) == 3000 and len(sizes) == 15 and max(sizes.values()) < 300
+
+
+def test_columns_with_the_operators_names(spark):
+    """Extra columns under names that operators use inside come back as they were."""
+    from flowsieve.llm import stages
+
+    names = ["id", "__id", "_id", "spans", "row", "held", "own_id", "bound", "target", "source_size", "nth", "ref", "name", "__hit", "__slot", "__row", "__n", "part", "bucket", "length", "z", "h", "kept"]
+    rng = random.Random(11)
+    prose = lambda n: " ".join(f"word{rng.randrange(300)}" for _ in range(n))
+    shared = prose(40)
+    rows = [(i, prose(60) + " " + shared, "en", "ab"[i % 2], 1, *(f"{c}{i}" for c in names)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    for stage in (stages.quality_stage, stages.near_duplicate_stage, stages.passage_stage, stages.mixing_stage):
+        got = stage(df)
+        assert got.columns == df.columns
+        found = got.collect()
+        assert found and all(tuple(r)[5:] == tuple(f"{c}{r.doc_id}" for c in names) for r in found)
