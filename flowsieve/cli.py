@@ -29,7 +29,7 @@ def build() -> argparse.ArgumentParser:
     sweep.add_argument("--edges", type=int, default=100_000)
     sweep.add_argument("--regime", default="hotspot")
     experiment = sub.add_parser("experiment", help="the experiments over edge files and generated regimes; a row of JSON each")
-    experiment.add_argument("--kind", choices=("identifiable", "priced", "router", "formula", "smoke", "trace", "dyadic", "phase", "anomaly", "select", "certify"), required=True)
+    experiment.add_argument("--kind", choices=("identifiable", "priced", "router", "formula", "smoke", "trace", "dyadic", "phase", "anomaly", "select", "certify", "benchmark"), required=True)
     experiment.add_argument("--input", nargs="*", default=[])
     experiment.add_argument("--regimes", nargs="*", default=["hotspot"])
     experiment.add_argument("--edges", type=int, default=100_000)
@@ -68,6 +68,8 @@ def _experiment(args, spark) -> list:
     k, kind = args.top_k, args.kind
     if kind == "anomaly":
         return [sweeps.anomaly_ranking(spark, n=args.edges, labels=args.labels)[1]]
+    if kind == "benchmark":
+        return list(sweeps.benchmark(spark, (args.edges,), tuple(args.regimes), 2).values())
     sources = _sources(args, spark)
     each = lambda f: [f(e).withColumn("source", F.lit(n)) for n, e in sources.items()]
     if kind == "identifiable":

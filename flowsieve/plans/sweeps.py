@@ -171,3 +171,23 @@ def anomaly_ranking(spark: SparkSession, scenarios: tuple[str, ...] = synthetic.
         scored.append(timebins.anomaly_scores(timebins.time_bin_summary(edges)).withColumn("scenario", F.lit(scenario)))
     bins_ = durable(_union(scored))
     return bins_, timebins.injected_bins(bins_, bad_bin)
+
+
+def benchmark(spark: SparkSession, sizes: tuple[int, ...] = (10_000, 100_000), regimes: tuple[str, ...] = synthetic.REGIMES, repeats: int = 3, seed: int = 7) -> dict[str, DataFrame]:
+    """Every way to build the pair table over generated regimes: `runs`, a row for each run with its seconds, sizes, whether its cells are the same as the direct ones' and the JVM's
+    memory in use; their `means`; the `fastest` way of each regime and size."""
+    rows = []
+    jvm = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    for n in sizes:
+        for regime in regimes:
+            edges = durable(E.normalise(synthetic.make_edges(spark, n, *synthetic.shape(regime, n), regime, seed)))
+            exact = durable(P.aggregate_pairs(edges))
+            one = summary.matrix_summary(exact).first()
+            for method in P.STRATEGIES:
+                same = P.compare(exact, P.aggregate_pairs(edges, strategy=method)).first()["equivalent"]
+                for i, seconds in enumerate(_timed(lambda m=method: P.aggregate_pairs(edges, strategy=m), repeats)):
+                    used = (jvm.totalMemory() - jvm.freeMemory()) / 2**20
+                    rows.append((regime, method, n, i, seconds, n / max(seconds, 1e-12), one["nnz"], one["density"], one["total_weight"], one["edge_gini"], same, used))
+    runs = spark.createDataFrame(rows, "regime string, method string, n_edges long, run int, seconds double, edges_per_second double, nnz long, density double, total_weight double, edge_gini double, matches boolean, memory_mb double")
+    means = summary.mean_and_std(runs, ["regime", "method", "n_edges"], "seconds")
+    return {"runs": runs, "means": means, "fastest": summary.fastest(means, ["regime", "n_edges"], "method", "mean")}

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 REGIMES = ("uniform", "hotspot", "community", "scanner")
+#: Fixed: other names of the regimes.
+ALIASES = {"uniform_sparse": "uniform", "hotspot_zipf": "hotspot", "community_bursty": "community", "scanner_fanout": "scanner"}
+#: Fixed: least labels of a side and the powers of the number of edges that sources and destinations grow by.
+SHAPES = {"hotspot": (512, 0.50, 0.50), "community": (2048, 0.58, 0.58), "scanner": (4096, 0.62, 0.68), "uniform": (8192, 0.72, 0.72)}
 #: Fixed shape parameters of the regimes.
 ZIPF, LOCAL, BURST, SCAN = 1.35, 0.88, 0.08, 0.18
 
@@ -62,8 +66,18 @@ def _values(df: DataFrame, seed: int, bins: int, regime: str) -> DataFrame:
     return df.withColumn("packets", F.bround(F.greatest(F.col("bytes") / 512.0, F.lit(1.0)), 3)).withColumn("regime", F.lit(regime))
 
 
+def shape(regime: str, n: int) -> tuple[int, int]:
+    """Sources and destinations with which a regime is benchmarked at n edges."""
+    regime = ALIASES.get(regime, regime)
+    if regime not in SHAPES:
+        raise ValueError(f"unknown regime {regime!r}; one of {', '.join(REGIMES)}")
+    least, *powers = SHAPES[regime]
+    return tuple(max(least, int(n**p)) for p in powers)
+
+
 def make_edges(spark: SparkSession, n: int, sources: int, destinations: int, regime: str = "hotspot", seed: int = 7, bins: int = 24, strings: bool = False) -> DataFrame:
     """seq, time_bin, src, dst, packets, bytes, regime."""
+    regime = ALIASES.get(regime, regime)
     if regime not in REGIMES:
         raise ValueError(f"unknown regime {regime!r}; one of {', '.join(REGIMES)}")
     u = [uniform(seed, i) for i in range(8)]

@@ -64,7 +64,7 @@ def test_injected_bins_stand_out(spark):
     assert got["scan"].typical_total_weight_median == (weights[11] if len(weights) % 2 else (weights[len(weights) // 2 - 1] + weights[len(weights) // 2]) / 2)
 
 
-@pytest.mark.parametrize("kind", ["identifiable", "priced", "router", "formula", "smoke", "trace", "dyadic", "select", "certify", "anomaly"])
+@pytest.mark.parametrize("kind", ["identifiable", "priced", "router", "formula", "smoke", "trace", "dyadic", "select", "certify", "anomaly", "benchmark"])
 def test_experiments_by_command_line(spark, tmp_path, capsys, kind):
     files = []
     if kind in ("formula", "smoke"):
