@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 #: Rows of a histogram that one task may sort.
-SMALL = 200_000
+SMALL = 1_000_000
 
 
 def positive(w: Column) -> Column:
