@@ -273,9 +273,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
 
     rows = cut(usable(vectors))
     # Only the smallest ids of equal vectors: each task passes on k + 1 of them at most.
-    first = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    first = F.dense_rank().over(Window.partitionBy("vector").orderBy("id"))
     tops = _tops(rows, shard)
-    some = rows.distinct().withColumn("r", first).where(F.col("r") <= k + 1).drop("r")
+    some = rows.withColumn("r", first).where(F.col("r") <= k + 1).drop("r").dropDuplicates(["vector", "id"])
     placed = cut(some.mapInArrow(_place(tops, False, factor), _PLACED))
     sizes = placed.groupBy("length", "region").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
     named = cut(usable(queries).groupBy("id").agg(F.min("vector").alias("vector")))
@@ -290,10 +290,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
 
     best = lambda found: found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1)
     near = cut(best(search(asked.mapInArrow(_place(tops, False, factor), _PLACED))))
-    balls = near.where(F.col("r") == k + 1).select("query_id", F.col("score").alias("reach"))
-    reach = asked.drop("ball").join(balls, F.col("id") == F.col("query_id"), "left").select("id", "length", F.coalesce("reach", F.lit(float("inf"))).alias("ball"), "vector")
-    far = search(reach.mapInArrow(_place(tops, True, factor), _PLACED))
-    found = best(near.select("query_id", "vec_id", "score").union(far)).drop("r")
+    found = near.drop("r")
+    if tops:
+        balls = near.where(F.col("r") == k + 1).select("query_id", F.col("score").alias("reach"))
+        reach = asked.drop("ball").join(balls, F.col("id") == F.col("query_id"), "left").select("id", "length", F.coalesce("reach", F.lit(float("inf"))).alias("ball"), "vector")
+        found = best(found.union(search(reach.mapInArrow(_place(tops, True, factor), _PLACED)))).drop("r")
     own = named.join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("same")), F.col("vector") == F.col("same")).select("id", "query_id")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("score", "vec_id"))
     out = own.join(found, "query_id").where("vec_id <> id").withColumn("rank", rank).where(F.col("rank") <= k)
