@@ -108,7 +108,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
         print("\n".join(sinks.save_analysis(args.out_prefix, pairs, args.top_k)))
     elif args.command == "synth":
         df = synthetic.make_edges(spark, args.edges, args.sources, args.destinations, args.regime, args.seed)
-        (df.write.mode("overwrite").parquet if args.out.endswith((".parquet", ".pq")) else df.write.mode("overwrite").option("header", True).csv)(args.out)
+        synthetic.write_edges(df, args.out)
     elif args.command == "experiment":
         for frame in _experiment(args, spark):
             for r in frame.collect():  # a row for each setting or source

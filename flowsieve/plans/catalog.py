@@ -618,15 +618,24 @@ def gini_by_destination(spark, sf):
 _SYN = (5000, 2048, 1500, 7, 24)
 
 
-def _synthetic_ctes(regime: str) -> str:
-    """e<regime> with the generator's rows: three quadratic rounds for each stream of numbers, then the regime's shape."""
-    n, sources, targets, seed, bins = _SYN
+def _streams_sql(name: str, first: int, last: int, seed: int) -> list[str]:
+    """u<name>: rows `first` to `last` with the generator's eleven streams of numbers, three quadratic rounds each."""
     g, prime = synthetic, synthetic.PRIME
-    out = [f"x0{regime} AS (SELECT i AS seq, {', '.join(f'i % {prime} AS x{k}' for k in range(11))} FROM generate_series(0, {n - 1}) t(i))"]
+    out = [f"x0{name} AS (SELECT i AS seq, {', '.join(f'i % {prime} AS x{k}' for k in range(11))} FROM generate_series({first}, {last}) t(i))"]
     for r in range(g.ROUNDS):
         cols = ", ".join(f"(x{k} * x{k} % {prime} + x{k} * CAST({g.stream(seed, k)[r][0]} AS BIGINT) + CAST({g.stream(seed, k)[r][1]} AS BIGINT)) % {prime} AS x{k}" for k in range(11))
-        out.append(f"x{r + 1}{regime} AS (SELECT seq, {cols} FROM x{r}{regime})")
-    out.append(f"u{regime} AS (SELECT seq, {', '.join(f'x{k} / CAST({prime} AS DOUBLE) AS u{k}' for k in range(11))} FROM x{g.ROUNDS}{regime})")
+        out.append(f"x{r + 1}{name} AS (SELECT seq, {cols} FROM x{r}{name})")
+    return [*out, f"u{name} AS (SELECT seq, {', '.join(f'x{k} / CAST({prime} AS DOUBLE) AS u{k}' for k in range(11))} FROM x{g.ROUNDS}{name})"]
+
+
+_SIZE_SQL = "greatest(CAST(floor(exp(5.0 + 1.1 * sqrt(-2 * ln(1 - u8)) * cos(2 * 3.141592653589793 * u9))) AS BIGINT), 1)"
+
+
+def _synthetic_ctes(regime: str) -> str:
+    """e<regime> with the generator's rows."""
+    n, sources, targets, seed, bins = _SYN
+    g = synthetic
+    out = _streams_sql(regime, 0, n - 1, seed)
     pick = lambda u, m: f"CAST(floor({u} * {m}) AS BIGINT)"
     src, dst = pick("u0", sources), pick("u1", targets)
     if regime == "hotspot":
@@ -643,8 +652,7 @@ def _synthetic_ctes(regime: str) -> str:
         dst = f"CASE WHEN u4 < {g.BURST} THEN {pick('u5', max(1, targets // 64))} WHEN u3 < {g.LOCAL} THEN {inside('u1', targets)} ELSE {dst} END"
     elif regime == "scanner":
         src = f"CASE WHEN u3 < {g.SCAN} THEN {pick('u4', 3)} % {sources} ELSE {src} END"
-    size = "greatest(CAST(floor(exp(5.0 + 1.1 * sqrt(-2 * ln(1 - u8)) * cos(2 * 3.141592653589793 * u9))) AS BIGINT), 1)"
-    return ", ".join([*out, f"e{regime} AS (SELECT seq, {src} AS src, {dst} AS dst, {size} AS weight, CAST(floor(u10 * {bins}) AS INTEGER) AS time_bin FROM u{regime})"])
+    return ", ".join([*out, f"e{regime} AS (SELECT seq, {src} AS src, {dst} AS dst, {_SIZE_SQL} AS weight, CAST(floor(u10 * {bins}) AS INTEGER) AS time_bin FROM u{regime})"])
 
 
 def _synthetic(spark, regime: str) -> DataFrame:
@@ -791,3 +799,86 @@ def priced_recall(spark, sf):
 @query()
 def anomaly_ranking(spark, sf):
     return rounded(sweeps.anomaly_ranking(spark, n=20_000, labels=512)[1], 4)
+
+
+def _controlled_sql(name: str, n: int, sources: int, targets: int, nnz: int, seed: int, bins: int, scanners: float, bursts: float) -> str:
+    cells = sources * targets
+    slot = f"CASE WHEN seq < {min(n, nnz)} THEN seq ELSE CAST(floor(u0 * {nnz}) AS BIGINT) END"
+    cell = f"(({slot}) * {synthetic.scatter_step(cells)} + {seed % cells}) % {cells}"
+    return f"""{", ".join(_streams_sql(name, 0, n - 1, seed))}, e{name} AS (SELECT seq, CAST(CASE WHEN u4 < {bursts} THEN {bins // 2} ELSE floor(u10 * {bins}) END AS INTEGER) AS time_bin,
+CASE WHEN u3 < {scanners} THEN 0 ELSE ({cell}) // {targets} END AS src, ({cell}) % {targets} AS dst, {_SIZE_SQL} AS bytes FROM u{name})"""
+
+
+@query(f"WITH {_controlled_sql('ctl', 4000, 64, 48, 700, 7, 8, 0.1, 0.1)} SELECT seq, time_bin, printf('s%08d', src) AS src, printf('d%08d', dst) AS dst, bytes FROM ectl")
+def controlled_edges(spark, sf):
+    """Records over a fixed number of pairs, with scanners and bursts, under text labels."""
+    rows = synthetic.make_controlled_edges(spark, 4000, 64, 48, target_nnz=700, scanners=0.1, bursts=0.1, bins=8)
+    return rows.select("seq", "time_bin", synthetic.label(F.col("src"), "s", True).alias("src"), synthetic.label(F.col("dst"), "d", True).alias("dst"), "bytes")
+
+
+_ANOM = (3000, 128, 12, 5, 59)
+
+
+def _anomaly_rows_sql(scenario: str) -> str:
+    n, labels, bins, bad, seed = _ANOM
+    any_ = lambda i: f"CAST(floor(u{i} * {labels}) AS BIGINT)"
+    src, dst, size = {"volume_spike": (any_(0), any_(1), 20_000), "scan": ("1", f"seq % {labels}", 60), "hotspot": ("2", "3", 5_000), "fan_in": (f"seq % {labels}", "5", 400)}[scenario]
+    return f"SELECT '{scenario}' AS scenario, * FROM ebase UNION ALL SELECT '{scenario}', seq, {bad}, {src}, {dst}, {size} FROM uextra"
+
+
+@query(f"WITH {_controlled_sql('base', _ANOM[0], _ANOM[1], _ANOM[1], round(_ANOM[0] * 0.7), _ANOM[4], _ANOM[2], 0.0, 0.0)}, {', '.join(_streams_sql('extra', _ANOM[0], _ANOM[0] * 11 // 10 - 1, _ANOM[4] + 1))} {' UNION ALL '.join(map(_anomaly_rows_sql, synthetic.SCENARIOS))}")
+def anomaly_edges(spark, sf):
+    """Every scenario's edges: base traffic and what is injected in one bin."""
+    n, labels, bins, bad, seed = _ANOM
+    return reduce(DataFrame.unionByName, (synthetic.make_anomaly_edges(spark, x, n, labels, bins, bad, seed).withColumn("scenario", F.lit(x)) for x in synthetic.SCENARIOS))
+
+
+@query(f"WITH {_synthetic_ctes('community')} SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST(sum(weight) AS BIGINT) AS weight FROM ecommunity GROUP BY 1, 2")
+def synthetic_scan(spark, sf):
+    """Generated edges written as files, scanned and aggregated."""
+    path = _scratch(spark, "edges.parquet")
+    n, sources, targets, seed, bins = _SYN
+    synthetic.write_edges(synthetic.make_edges(spark, n, sources, targets, "community_bursty", seed, bins), path)
+    return P.aggregate_pairs(E.read_edges(spark, path))
+
+
+# The sketch path as a whole
+
+
+def _cm_of(pairs: str, width: int, depth: int, name: str) -> str:
+    rows = lambda table, extra: " UNION ALL ".join(f"SELECT {extra}, {r} AS row, {_bucket_sql('src', 'dst', r, width, sketches.SEED)} AS col FROM {table}" for r in range(depth))
+    return f"cm{name} AS (SELECT row, col, CAST(sum(weight) AS BIGINT) AS w FROM ({rows(pairs, 'weight')}) GROUP BY row, col), est{name} AS (SELECT src, dst, min(w) AS e FROM ({rows(pairs, 'src, dst')}) k JOIN cm{name} USING (row, col) GROUP BY src, dst)"
+
+
+_SW, _SD = 256, 3
+
+
+@query(f"""{with_ctes("c", pairs="c")} SELECT (SELECT count(*) FROM ec) AS n_edges, CAST(sum(weight) AS DOUBLE) AS total_weight, count(DISTINCT src) AS unique_sources, (SELECT {R(entropy("w"))} FROM (SELECT sum(weight) AS w FROM p GROUP BY src)) AS row_entropy_bits,
+count(DISTINCT dst) AS unique_destinations, (SELECT {R(entropy("w"))} FROM (SELECT sum(weight) AS w FROM p GROUP BY dst)) AS column_entropy_bits, CAST({_SW * _SD * 8} AS BIGINT) AS sketch_bytes, count(*) AS candidate_count FROM p""")
+def stream_totals(spark, sf):
+    e = fx.dense(spark, sf)
+    return rounded(sketches.stream_summary(e, sketches.space_saving(e, 1024), sketches.count_min(e, _SW, _SD), _SW, _SD)[0])
+
+
+@query(f"{with_ctes('c', pairs='c')}, {_cm_of('p', _SW, _SD, 's')} SELECT row_number() OVER (ORDER BY e DESC, src, dst) AS rank, src, dst, e AS estimated_weight FROM ests")
+def stream_ranking(spark, sf):
+    e = fx.dense(spark, sf)
+    return sketches.stream_summary(e, sketches.space_saving(e, 1024), sketches.count_min(e, _SW, _SD), _SW, _SD)[1]
+
+
+@query(f"""{_descent_sql().rsplit(" SELECT row_number()", 1)[0]}, ap AS (SELECT p >> {_BITS[1]} AS src, p & {(1 << _BITS[1]) - 1} AS dst, e, row_number() OVER (ORDER BY e DESC, p) AS r FROM n{sum(_BITS)}), ex AS (SELECT src, dst, weight, row_number() OVER (ORDER BY weight DESC, src, dst) AS rank FROM p QUALIFY rank <= {K}),
+j AS (SELECT ex.*, ap.r, ap.e FROM ex LEFT JOIN ap USING (src, dst)) SELECT {R("avg(CASE WHEN r IS NULL THEN 0.0 ELSE 1.0 END)")} AS candidate_recall, {R(f"avg(CASE WHEN coalesce(r, 1000000) <= {K} THEN 1.0 ELSE 0.0 END)")} AS topk_recall,
+{R("median(abs(coalesce(e, 0) - weight) / CAST(weight AS DOUBLE))")} AS median_relative_error, {R("max(abs(coalesce(e, 0) - weight) / CAST(weight AS DOUBLE))")} AS max_relative_error FROM j""")
+def dyadic_recall(spark, sf):
+    """Accuracy of the decoder's top k."""
+    return rounded(sketches.streaming_accuracy(top_k_edges(spark, sf), dyadic_top_k(spark, sf), K))
+
+
+_PW = (64, 512)
+
+
+@query(f"""{with_ctes("c", pairs="c")}, {", ".join(_cm_of("p", w, 5, str(w)) for w in _PW)}, gp AS (SELECT *, row_number() OVER (ORDER BY weight DESC, src, dst) AS rank, lead(weight) OVER (ORDER BY weight DESC, src, dst) AS nxt FROM p),
+gg AS (SELECT (weight - nxt) / (SELECT CAST(sum(weight) AS DOUBLE) FROM p) AS gap FROM gp WHERE rank = {K}) {" UNION ALL ".join(f"SELECT {w} AS width, 1024 AS capacity, 1.0::DOUBLE AS candidate_recall, (SELECT {R('avg(CASE WHEN r <= 20 THEN 1.0 ELSE 0.0 END)')} FROM gp JOIN (SELECT src, dst, row_number() OVER (ORDER BY e DESC, src, dst) AS r FROM est{w}) USING (src, dst) WHERE rank <= {K}) AS topk_recall, {R('gap', 9)} AS gap, {R(f'gap / (2 * (exp(1.0) / {w} + 1.0 / 1025))', 9)} AS index FROM gg" for w in _PW)}""")
+def phase_points(spark, sf):
+    """Gap, budget and measured recall, with room for every candidate."""
+    return rounded(sweeps.phase_points(fx.dense(spark, sf), _PW, (1024,), K), 9)

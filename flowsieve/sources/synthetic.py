@@ -133,3 +133,9 @@ def make_anomaly_edges(spark: SparkSession, scenario: str, n: int = 120_000, lab
         "fan_in": (F.pmod(F.col("seq"), F.lit(labels)), F.lit(5), F.lit(400)),
     }[scenario]
     return base.unionByName(extra.select("seq", F.lit(bad_bin).cast("int").alias("time_bin"), src.cast("long").alias("src"), dst.cast("long").alias("dst"), size.cast("long").alias("bytes")))
+
+
+def write_edges(df: DataFrame, path: str) -> None:
+    """Generated edges as a Parquet (.parquet, .pq) or CSV folder."""
+    writer = df.write.mode("overwrite")
+    writer.parquet(path) if path.rstrip("/").endswith((".parquet", ".pq")) else writer.option("header", True).csv(path)
