@@ -25,16 +25,20 @@ def share(part: Column, total: Column) -> Column:
     return F.coalesce(F.when(total > 0, part.cast("double") / total.cast("double")), F.lit(0.0))
 
 
-def gini(df: DataFrame, weight: str, by: list[str], ranges: int | None = None) -> DataFrame:
+def gini(df: DataFrame, weight: str, by: list[str], ranges: int | None = None, rows: int | None = None) -> DataFrame:
     """Gini coefficient of a weight column for each group: by, gini.
 
     Equal weights are counted first. Ranks then follow from a running count over distinct weights, so that the window
     sees a histogram and not the rows. A histogram of more than SMALL rows is cut into ranges, groups too, so that no single task sorts it all; `ranges`
-    asks for that many in any case."""
+    asks for that many in any case. rows: how many rows df has at most, where that is known; it saves a look at the histogram."""
     from ..operators.ordering import durable, with_sequence
 
-    hist = durable(df.groupBy(*by, F.col(weight).cast("double").alias("w")).agg(F.count("*").cast("double").alias("c")))
-    if ranges or hist.count() > SMALL:
+    hist = df.groupBy(*by, F.col(weight).cast("double").alias("w")).agg(F.count("*").cast("double").alias("c"))
+    small = rows is not None and rows <= SMALL and not ranges
+    if not small:
+        hist = durable(hist)
+        small = not ranges and hist.count() <= SMALL
+    if not small:
         ranked = with_sequence(hist, ["w"], count="c", name="b", partitions=ranges, by=tuple(by))
     else:
         before = F.sum("c").over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("w").rowsBetween(Window.unboundedPreceding, -1))
@@ -45,6 +49,6 @@ def gini(df: DataFrame, weight: str, by: list[str], ranges: int | None = None) -
     return ranked.groupBy(*by).agg(value.alias("gini"))
 
 
-def gini_total(df: DataFrame, weight: str, ranges: int | None = None) -> DataFrame:
+def gini_total(df: DataFrame, weight: str, ranges: int | None = None, rows: int | None = None) -> DataFrame:
     """Gini coefficient of a whole column, one row; 0 without rows."""
-    return gini(df, weight, [], ranges)
+    return gini(df, weight, [], ranges, rows)

@@ -29,7 +29,7 @@ def early_features(edges: DataFrame, prefix_edges: int = 50_000) -> DataFrame:
     pairs = durable(head.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")))
     cells = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("observed_edges"), F.count("*").alias("unique_pairs"), F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("w"), F.max("weight").alias("top_e"), entropy_bits("weight").alias("edge_entropy_bits"))
     side = lambda a, p, q: pairs.groupBy(a).agg(F.sum("weight").alias("s")).agg(F.count("*").alias(f"unique_{q}"), F.max("s").alias(f"top_{a}"), entropy_bits("s").alias(f"{p}_entropy_bits"))
-    one = cells.join(F.broadcast(side("src", "source", "sources"))).join(F.broadcast(side("dst", "destination", "destinations"))).join(F.broadcast(gini_total(pairs, "weight")))
+    one = cells.join(F.broadcast(side("src", "source", "sources"))).join(F.broadcast(side("dst", "destination", "destinations"))).join(F.broadcast(gini_total(pairs, "weight", rows=pairs.count())))
     n = F.col("observed_edges")
     rate = F.when(n > 0, F.col("unique_pairs") / n).otherwise(0.0)
     return one.select(
@@ -97,7 +97,7 @@ def window_stability(edges: DataFrame, window_edges: int, prefix_edges: int, k:
     pairs = durable(rows.groupBy("window", "src", "dst").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")))
     cells = pairs.groupBy("window").agg(F.sum("n").alias("observed_edges"), F.count("*").alias("unique_pairs"), F.sum("weight").cast("double").alias("w"), F.max("weight").alias("top_e"))
     side = lambda a: pairs.groupBy("window", a).agg(F.sum("weight").alias("s")).groupBy("window").agg(F.max("s").alias(f"top_{a}"))
-    one = cells.join(side("src"), "window").join(side("dst"), "window").join(gini(pairs, "weight", ["window"]).withColumnRenamed("gini", "edge_gini"), "window")
+    one = cells.join(side("src"), "window").join(side("dst"), "window").join(gini(pairs, "weight", ["window"], rows=pairs.count()).withColumnRenamed("gini", "edge_gini"), "window")
     rate = F.col("unique_pairs") / F.col("observed_edges")
     one = one.select("window", "observed_edges", "unique_pairs", (1 - rate).alias("duplication_rate"), rate.alias("nnz_growth_rate"), "edge_gini", share(F.col("top_e"), F.col("w")).alias("top_edge_share"), share(F.col("top_src"), F.col("w")).alias("top_source_share"), share(F.col("top_dst"), F.col("w")).alias("top_destination_share"))
     gaps = window_statistics(edges, window_edges, k, on_exact_k="zero").select("window", "topk_gap_share")

@@ -18,7 +18,7 @@ def matrix_summary(pairs: DataFrame, singular: DataFrame | None = None) -> DataF
     side = lambda s, p: s.agg(F.count("*").alias(f"n_{p}"), F.coalesce(F.max("strength"), F.lit(0)).cast("double").alias(f"max_{p}_strength"), F.coalesce(F.max("degree"), F.lit(0)).alias(f"max_{p}_degree"), entropy_bits("strength").alias(f"{p}_entropy_bits"))
     cells = pairs.agg(F.count("*").alias("nnz"), F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("total_weight"), F.coalesce(F.max("weight"), F.lit(0)).cast("double").alias("max_edge"))
     # Single rows, each an aggregate: joining them is no product of tables.
-    out = cells.join(F.broadcast(side(src, "source"))).join(F.broadcast(side(dst, "destination"))).join(F.broadcast(gini_total(pairs, "weight").withColumnRenamed("gini", "edge_gini")))
+    out = cells.join(F.broadcast(side(src, "source"))).join(F.broadcast(side(dst, "destination"))).join(F.broadcast(gini_total(pairs, "weight", rows=pairs.count()).withColumnRenamed("gini", "edge_gini")))
     out = out.withColumn("density", F.col("nnz") / F.greatest(F.col("n_source") * F.col("n_destination"), F.lit(1)))
     return out.join(F.broadcast(singular)) if singular is not None else out
 

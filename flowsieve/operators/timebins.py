@@ -23,7 +23,7 @@ def time_bin_summary(edges: DataFrame) -> DataFrame:
         s = pairs.groupBy("time_bin", axis).agg(F.sum("weight").alias("s"))
         return s.groupBy("time_bin").agg(entropy_bits("s").alias(f"{name}_entropy_bits"), F.max("s").cast("double").alias(f"top_{name}"), F.count("*").alias(f"unique_{plural}"))
 
-    out = whole.join(side("src", "source", "sources"), "time_bin").join(side("dst", "destination", "destinations"), "time_bin").join(gini(pairs, "weight", ["time_bin"]), "time_bin")
+    out = whole.join(side("src", "source", "sources"), "time_bin").join(side("dst", "destination", "destinations"), "time_bin").join(gini(pairs, "weight", ["time_bin"], rows=pairs.count()), "time_bin")
     total = F.col("total_weight")
     return out.select(
         "time_bin", "n_edges", "nnz", "total_weight", "source_entropy_bits", "destination_entropy_bits", F.col("gini").alias("edge_gini"),
