@@ -80,7 +80,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, block: int = 4 << 2
     spread[w - 1 : w - 1 + len(low)] = low
     best = _sliding(spread, w, False)  # over the strings that hold the gram
     found = np.flatnonzero((best == v) & (best > 0))
-    return found, h[found]
+    return found, mix(h[found])  # small hashes make anchors: mixed once more, they spread over all buckets again
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
