@@ -8,7 +8,8 @@ A crowded region of an order holds more pairs than neighbours. Pairs inside one
 looked at again. How deep a region's prefix is adapts to its crowd: it has `least` values, and one more as long as more than PROBES documents in it lie outside
 the region's largest component, so that what is dealt out grows with the documents and not with the square of a crowd. Beyond a tree's own values the prefix goes on with
 the next tree's. In regions, signatures say in blocks which components may be linked; these form clusters. In a cluster every document outside the
-largest component is held against all of its documents, in blocks, by an inverted index over full shingle sets.
+largest component is held against all of its documents, in blocks, by an inverted index over full shingle sets. A cluster with more than PROBES documents outside its largest
+component is first cut by rare shingles: only documents that share one of their rarest are held against each other, which loses no pair.
 
 What can be missed: a pair of similarity 0.8 shares 4 leading values in none of 20 orders with probability 3e-5, 6 with 2e-3, 8 with 3e-2 (the last two matter in regions
 with PROBES unlinked documents only, and a pair may be neighbours all the same); signatures of a pair at 0.8 agree on less than the share asked for
@@ -27,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut, likely_ids, with_text_bytes
 from .components import components
@@ -324,6 +325,38 @@ def _deal(rows: DataFrame, key: str, payload: str) -> DataFrame:
     return members.union(probes).repartition(key, "mb", "pb").sortWithinPartitions(key, "mb", "pb")
 
 
+def _sets(size: int):
+    """Rows (cluster, rep, component, z) with the text's shingles instead of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                data = [np.frombuffer(press.decompress(z), np.uint8) for z in part.column(3).to_pylist()]
+                sets = [shingle_sets(d, np.array([0, len(d)]), size)[0].view(np.int64) for d in data]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.list_(pa.int64()))], ["cluster", "rep", "component", "shingles"])
+
+    return run
+
+
+def _by_rare_shingles(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(cluster, rep, component, z) with a cluster for each rare shingle that documents share, instead of theirs.
+
+    Of n shingles in an order common to all, the first that two sets of similarity t share is among the first n - ceil(t n) + 1 of each, and in the smaller set even among the
+    first n - ceil(2 t n / (1 + t)) + 1. In order of frequency these are the rarest: pages of one template whose own shingles make them less alike than t meet nowhere,
+    however many they are."""
+    tokens = cut(texts.mapInArrow(_sets(size), "cluster long, rep long, component long, shingles array<long>")).select("cluster", "rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = cut(tokens.groupBy(F.col("cluster").alias("of"), F.col("s").alias("t")).agg(F.count("*").alias("often")))
+    order = F.row_number().over(Window.partitionBy("cluster", "rep").orderBy("often", "s"))
+    ranked = tokens.join(often, (F.col("cluster") == F.col("of")) & (F.col("s") == F.col("t"))).withColumn("r", order)
+    first = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("often > 1")
+    narrow = F.col("r") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
+    met = cut(first.select(F.xxhash64("cluster", "s").alias("cluster"), "rep", "component", narrow.alias("narrow")))
+    mixed = cut(_crowds(met, "cluster").join(met.where("narrow").select("cluster").distinct(), "cluster", "left_semi").select("cluster"))
+    return met.join(mixed, "cluster", "left_semi").join(texts.select("rep", "z"), "rep").select("cluster", "rep", "component", "z")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, trees: int = TREES, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept.
 
@@ -368,7 +401,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, tre
     share = similarity - SLACK * (similarity * (1 - similarity) / n) ** 0.5
     near = components(_deal(places.join(low, "rep"), "region", "low").mapInArrow(_likely(share), "a long, b long"))
     clusters = cut(marked.select("rep", "component").join(near.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component"))
-    texts = clusters.join(blobs.select(F.col("doc_id").alias("rep"), "z"), "rep")
+    texts = clusters.join(blobs.select(F.col("doc_id").alias("rep"), "z"), "rep").select("cluster", "rep", "component", "z")
+    large = cut(_crowds(clusters, "cluster").where(F.col("outside") > PROBES).select("cluster"))
+    if not large.isEmpty():
+        rare = _by_rare_shingles(cut(texts.join(large, "cluster", "left_semi")), size, percent)
+        texts = texts.join(large, "cluster", "left_anti").unionByName(rare)
     links = links.union(_deal(texts, "cluster", "z").mapInArrow(_exact(size, percent), "a long, b long"))
     labels = components(links)
 

@@ -97,3 +97,30 @@ def test_a_very_long_text(spark):
     data = [(1, long), (2, "a b c d e f"), (3, long + " x"), (4, long[::-1])]
     assert len(long) > 2 << 20
     assert rows(near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), 4)) == brute.near_duplicates(data, 4, 80)
+
+
+def test_a_large_cluster_without_links_is_cut_by_rare_shingles(spark, monkeypatch):
+    """Pages alike at about 0.7, a few of them linked: the same links by blocks of the whole cluster and by rare shingles, which leave out most pages."""
+    rng = random.Random(12)
+    template = [f"t{i}" for i in range(160)]
+    texts = []
+    for i in range(80):
+        w = template + [f"own{i}_{j}" for j in range(30)]
+        texts.append(" ".join(w))
+        if i % 8 == 0:
+            w = list(w)
+            w[rng.randrange(150)] = "changed"
+            texts.append(" ".join(w))
+    data = list(enumerate(texts))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    want = brute.near_duplicates(data, 4, 80)
+    seen = []
+    rare = minhash._by_rare_shingles
+    monkeypatch.setattr(minhash, "_by_rare_shingles", lambda *a: seen.append(rare(*a)) or seen[-1])
+    for probes in (4096, 10):
+        monkeypatch.setattr(minhash, "PROBES", probes)
+        seen.clear()
+        assert rows(near_duplicates(df, 4)) == want
+        assert len(seen) == (probes == 10)
+    assert seen[0].select("rep").distinct().count() <= 25
+    assert len({c for _, c, _ in want.values()}) == 80
