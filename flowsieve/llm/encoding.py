@@ -17,7 +17,9 @@ import numpy as np
 from .kernels import Words, hash_ranges, mix
 
 #: Pieces of text whose ids a worker remembers, some 30 bytes each. Fewer cost time, not results.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
+#: The newest of them, in a table of their own, so that a new piece moves few others.
+YOUNG = 1 << 16
 #: New pieces encoded as one text.
 TOGETHER = 500
 _ODD = np.zeros(256, bool)
@@ -74,10 +76,16 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.start, self.n = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        """Tables (hash, ascending; place and number of ids), the large one first; ids."""
+        empty = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.tables = [empty, empty]
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
+    def _add(self, i: int, new: tuple) -> None:
+        at = np.searchsorted(self.tables[i][0], new[0])
+        self.tables[i] = tuple(np.insert(old, at, x) for old, x in zip(self.tables[i], new))
+
     def _odd(self, data: np.ndarray, offs: np.ndarray, words: Words) -> np.ndarray:
         """Documents that must be encoded whole."""
         n = len(offs) - 1
@@ -102,9 +110,8 @@ class Encoder:
         odd[np.searchsorted(offs, np.concatenate(bad), "right") - 1] = True
         return odd if self.usual else np.ones(n, bool)
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        if not len(keys):
-            return
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes new pieces: places and numbers of their ids."""
         parts = ["\n".join(pieces[i : i + TOGETHER]) + "\n" for i in range(0, len(pieces), TOGETHER)]
         ids = np.concatenate([np.array(x, np.uint32) for x in self.whole(parts)])
         ends = np.flatnonzero(ids == self.line)
@@ -114,25 +121,33 @@ class Encoder:
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids[: self.used], np.zeros(max(len(ids), self.used // 2), np.uint32), ids))
         self.ids[self.used : self.used + len(ids)] = ids
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.start, self.n = np.insert(self.keys, at, keys), np.insert(self.start, at, starts + self.used), np.insert(self.n, at, (ends - starts).astype(np.int32))
+        new = keys, starts + self.used, (ends - starts).astype(np.int32)
         self.used += len(ids)
-
-    def _slots(self, keys: np.ndarray, first: np.ndarray, last: np.ndarray, lead: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Where each piece's ids are remembered."""
+        self._add(1, new)
+        if len(self.tables[1][0]) > YOUNG:
+            self._add(0, self.tables[1])
+            self.tables[1] = tuple(x[:0] for x in self.tables[1])
+        return new[1:]
+
+    def _remembered(self, keys: np.ndarray, first: np.ndarray, last: np.ndarray, lead: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and numbers of the pieces' ids."""
         kinds, example, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) + len(kinds) > self.remembered:
+        if sum(len(t[0]) for t in self.tables) + len(kinds) > self.remembered:
             self._forget()
-        at = np.searchsorted(self.keys, kinds)
-        new = np.ones(len(kinds), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != kinds[inside]
-        i = example[new]
-        self._learn(kinds[new], [_LEADS[x] + data[a:b].tobytes().decode() for x, a, b in zip(lead[i].tolist(), first[i].tolist(), last[i].tolist())])
-        return np.searchsorted(self.keys, kinds)[inverse]
-
-    def _pieces(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts that can be cut: document and place of each piece's ids, and whether a newline comes before it; and the documents that can't be cut."""
+        start, n = np.full(len(kinds), -1, np.int64), np.zeros(len(kinds), np.int32)
+        for known, places, counts in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, kinds), len(known) - 1)
+                here = known[at] == kinds
+                start[here], n[here] = places[at[here]], counts[at[here]]
+        new = np.flatnonzero(start < 0)
+        if len(new):
+            i = example[new]
+            start[new], n[new] = self._learn(kinds[new], [_LEADS[x] + data[a:b].tobytes().decode() for x, a, b in zip(lead[i].tolist(), first[i].tolist(), last[i].tolist())])
+        return start[inverse], n[inverse].astype(np.int64)
+
+    def _pieces(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts that can be cut: document, place and number of each piece's ids, and whether a newline comes before it; and the documents that can't be cut."""
         words = Words(data, offs)
         odd = self._odd(data, offs, words)
         doc = words.docs()
@@ -153,26 +168,26 @@ class Encoder:
         a, b, d, lead = first[word], end[word], doc[word], lead[word]
         a[tail], b[tail], lead[tail] = end[split], last[split], 0
         keys = mix(hash_ranges(data, a, b) + (lead == 1).astype(_U) * _U(0x9E3779B97F4A7C15))
-        return d, self._slots(keys, a, b, lead, data), lead == 2, np.flatnonzero(odd)
+        return d, *self._remembered(keys, a, b, lead, data), lead == 2, np.flatnonzero(odd)
 
     def _whole(self, data: np.ndarray, offs: np.ndarray, which: np.ndarray) -> list:
         return [self.whole([data[offs[i] : offs[i + 1]].tobytes().decode()])[0] for i in which.tolist()]
 
     def counts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Ids in each of a slice of texts."""
-        d, slots, broken, which = self._pieces(data, offs)
-        sizes = np.bincount(d, self.n[slots].astype(np.int64) + broken, len(offs) - 1).astype(np.int64)
+        d, _, counts, broken, which = self._pieces(data, offs)
+        sizes = np.bincount(d, counts + broken, len(offs) - 1).astype(np.int64)
         sizes[which] = [len(t) for t in self._whole(data, offs, which)]
         return sizes
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a slice of texts, one after the other, and where each text's begin and end."""
-        d, slots, broken, which = self._pieces(data, offs)
+        d, places, own, broken, which = self._pieces(data, offs)
         n = len(offs) - 1
-        counts = self.n[slots].astype(np.int64) + broken  # a newline's own id comes before what follows it
+        counts = own + broken  # a newline's own id comes before what follows it
         flat = np.full(int(counts.sum()), self.line, np.int64).astype(np.uint32)
         begin = np.cumsum(counts) - counts
-        flat[ragged(begin + broken, counts - broken)] = self.ids[ragged(self.start[slots], self.n[slots].astype(np.int64))]
+        flat[ragged(begin + broken, own)] = self.ids[ragged(places, own)]
         sizes = np.bincount(d, counts, n).astype(np.int64)
         if len(which):
             text = self._whole(data, offs, which)
