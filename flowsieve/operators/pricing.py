@@ -27,13 +27,14 @@ def price(gaps: DataFrame, depth: int = 5, counter: int = COUNTER, candidate: in
     """gaps (with column gap) and the cheapest certifying (width, capacity): feasible, width, capacity, sketch_bytes, candidate_bytes, total_bytes, margin.
 
     Memory as a function of width has its least value near m = (2/L)(e + sqrt(e * candidate / (depth * counter))). Integer capacities make steps, so the widths
-    where the capacity changes are tried: for capacity c the least width is ceil(e / (L/2 - 1/(c+1))), and capacities around the optimum's
-    are enough, as a step of one capacity is worth `candidate` bytes. Ties go to the smaller width."""
+    where the capacity changes are tried: for capacity c the least width is ceil(e / (L/2 - 1/(c+1))). Away from the optimum c* memory grows by
+    candidate * (c - c*)^2 / c* bytes at least, and what rounding can give back are two counters of each row: so many capacities on either side are enough. Ties go to the
+    smaller width."""
     gap = F.col("gap")
     ok = (gap > 0) & (gap < float("inf")) & ~F.isnan(gap)
     best = (2 / gap) * (E + math.sqrt(E * candidate / (depth * counter)))
     start = F.greatest(F.ceil(1 / (gap / 2 - E / best)) - 1, F.lit(1))
-    span = 1024
+    span = F.ceil(math.sqrt(2 * depth * counter / candidate) * F.sqrt(start)) + 16
     rows = gaps.withColumn("__ok", ok)
     tries = rows.where("__ok").select("gap").distinct().withColumn("capacity", F.explode(F.sequence(F.greatest(start - span, F.lit(1)), start + span)))
     least = F.ceil(F.lit(E) / (gap / 2 - 1 / (F.col("capacity") + 1)))
