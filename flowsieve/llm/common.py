@@ -30,12 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Bytes of a batch between the JVM and Python: what a task holds of texts at once, on both sides.
+BATCH, _BATCH = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's limit of a batch to BATCH bytes where it is larger: rows alone don't bound a batch of long texts."""
+    limit = spark.conf.get(_BATCH, None)
+    number = "".join(c for c in limit or "" if c.isdigit())
+    if limit and not (limit.rstrip("b").isdigit() and 0 < int(number) <= BATCH):
+        spark.conf.set(_BATCH, str(BATCH))
+
+
 _written: list[list[str]] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, and a lost executor costs a reread."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/flowsieve/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if _written:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.pcap import open_file
-from .common import table
+from .common import small_batches, table
 
 VERSION = "WARC/1.1"
 _NAMES = uuid.UUID("6f1d2c8e-4b0a-5d7c-9e3f-2a1b0c9d8e7f")
@@ -343,6 +343,7 @@ def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
                     [key, *_TEXT, "content_length", "record", "error"],
                 )
 
+    small_batches(records.sparkSession)
     schema = f"{key} long, " + ", ".join(f"{c} string" for c in _TEXT) + ", content_length long, record binary, error string"
     return records.select(F.col(key).cast("long").alias(key), F.col("record").cast("binary").alias("record")).mapInArrow(run, schema)
 
