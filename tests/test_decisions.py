@@ -109,3 +109,51 @@ def test_identifiability(spark):
         top = spark.createDataFrame([(i + 1, s, 0) for i, s in enumerate(take)], "rank long, src long, dst long")
         r = sketches.identifiability_report(df, top, k).first()
         assert (r.strict_recall, r.tie_aware_recall, r.identifiable_core_size, r.identifiable_recall) == want
+
+
+@pytest.mark.parametrize("parts", [1, 9, 100])
+def test_capacity_holds_over_many_tasks(spark, parts):
+    """Dealt by pair beforehand, so that every partition has a summary of its own: one of `capacity` rows is left, with its promises."""
+    rows = [(i % 50, i % 7, 1 + (i % 50 == 3) * 40) for i in range(2000)]
+    df = spark.createDataFrame(rows, "src long, dst long, weight long").repartition(parts, "src", "dst")
+    exact = {}
+    for s, d, w in rows:
+        exact[s, d] = exact.get((s, d), 0) + w
+    total, got = sum(exact.values()), sketches.space_saving(df, 16).collect()
+    assert len(got) <= 16
+    assert all(exact[r.src, r.dst] <= r["count"] + 1e-9 and r["count"] - r.error <= exact[r.src, r.dst] + 1e-9 and r.error <= total / 16 + 1e-9 for r in got)
+    assert {p for p, w in exact.items() if w > total / 16} <= {(r.src, r.dst) for r in got}
+    assert {(r.src, r.dst): r.weight for r in sketches.heavy_hitters(df, 16).collect()} == {p: w for p, w in exact.items() if w > total / 16}
+
+
+def test_prices_follow_their_gap(spark):
+    """Equal gaps have equal prices, whatever the partitioning; rows keep their own."""
+    rows = [(i, [1e-2, 1e-3, 0.0, float("nan"), 5e-5][i % 5]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, gap double")
+    one = {r.id: (r.feasible, r.width, r.capacity) for r in pricing.price(df).collect()}
+    two = {r.id: (r.feasible, r.width, r.capacity) for r in pricing.price(df.repartition(7, "id")).collect()}
+    assert one == two and len(one) == 50 and all(one[i] == one[i % 5] for i in range(50))
+    assert len({one[i] for i in (0, 1, 4)}) == 3 and not one[2][0] and not one[3][0]
+
+
+def test_price_of_a_tiny_gap_is_the_least(spark):
+    """Around an optimum of some ten thousand capacities, against every one of them."""
+    import math
+
+    gap = 2e-4
+    r = pricing.price(spark.createDataFrame([(gap,)], "gap double")).first()
+    best = None
+    for c in range(max(1, r.capacity - 3000), r.capacity + 3000):
+        if gap / 2 > 1 / (c + 1):
+            w = math.ceil(math.e / (gap / 2 - 1 / (c + 1)))
+            for w in (w, w + 1):
+                k = max(math.ceil(1 / (gap / 2 - math.e / w)) - 1, 1) if gap / 2 > math.e / w else None
+                if k:
+                    best = min(best or (1e99,), (40 * w + 32 * k, w, k))
+    assert (r.total_bytes, r.width, r.capacity) == best
+
+
+def test_bounds_by_name(spark):
+    bounds = spark.createDataFrame([("a", 0.2), ("a", 0.1), ("b_edges", 0.3), ("c", -5.0)], "source string, bound double")
+    rows = spark.createDataFrame([("a",), ("a_edges",), ("b_edges",), ("b",), ("c",), ("d",)], "source string")
+    assert {r.source: r.gap for r in pricing.with_bounds(rows, bounds).collect()} == {"a": 0.1, "a_edges": 0.1, "b_edges": 0.3, "b": 0.0, "c": 0.0, "d": 0.0}
