@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .kernels import Words, hash_ranges, mix
+from .kernels import Words, give_back, hash_ranges, mix
 
 #: Pieces of text whose ids a worker remembers, some 30 bytes each. Fewer cost time, not results.
 REMEMBERED = 1_500_000
@@ -41,10 +41,10 @@ def _json(path: str, special_as_text: bool) -> tuple[Callable[[list[str]], list]
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = special_as_text
     special = [] if special_as_text else [x.content.encode() for x in t.get_added_tokens_decoder().values()]
-    import json
+    from tokenizers.pre_tokenizers import ByteLevel
 
-    made = json.loads(t.to_str()) | {"model": None}
-    usual = made["normalizer"] is None and (made["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not made["pre_tokenizer"]["add_prefix_space"] and made["pre_tokenizer"].get("use_regex", True)
+    before = t.pre_tokenizer
+    usual = t.normalizer is None and isinstance(before, ByteLevel) and not before.add_prefix_space and getattr(before, "use_regex", True)
     return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)], special, usual
 
 
@@ -204,3 +204,9 @@ def encoder(path: str, remembered: int = REMEMBERED, special_as_text: bool = Fal
     """One of each kind in a worker."""
     key = path, remembered, special_as_text
     return _encoders.get(key) or _encoders.setdefault(key, Encoder(*key))
+
+
+def forget() -> None:
+    """Gives up all encoders of this worker, for tasks after which it has other things to do."""
+    _encoders.clear()
+    give_back()

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, partitions_for, table, with_text_bytes
-from .encoding import REMEMBERED, encoder
+from .encoding import REMEMBERED, encoder, forget
 from .kernels import slices
 
 GROUP = 2048
 
 
-def _pieces(path: str, window: int, end: int, keep_ids: bool, remembered: int):
+def _pieces(path: str, window: int, end: int, keep_ids: bool, remembered: int, lasting: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(path, remembered)
         last = np.array([end], "<u4").tobytes()
@@ -44,6 +44,9 @@ def _pieces(path: str, window: int, end: int, keep_ids: bool, remembered: int):
                 if keep_ids:
                     out, names = [*out, pa.array(pieces, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(out, names)
+        if not lasting:
+            del made
+            forget()
 
     return run
 
@@ -124,15 +127,15 @@ def _pack(window: int, groups: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, keep_ids: bool = False, group: int = GROUP, remembered: int = REMEMBERED) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, keep_ids: bool = False, group: int = GROUP, remembered: int = REMEMBERED, lasting: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with keep_ids also ids.
 
     docs: doc_id and text; other columns are ignored. A document is its token ids and then `end`; a null or empty
     text is `end` alone. Each id lies in exactly one piece, each piece in one sequence of at most `window` ids, and the pieces of a sequence
     follow each other from offset 0. Repeated rows are packed each; a null doc_id stays null. A text of any length is taken
-    whole. An empty table gives no rows. ids: the piece's ids as little-endian unsigned 32-bit integers."""
+    whole. An empty table gives no rows. remembered: pieces of text that a worker keeps the ids of; lasting: beyond its task. ids: the piece's ids as little-endian unsigned 32-bit integers."""
     names = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
-    pieces = cut(with_text_bytes(docs).mapInArrow(_pieces(tokenizer, window, end, keep_ids, remembered), names))
+    pieces = cut(with_text_bytes(docs).mapInArrow(_pieces(tokenizer, window, end, keep_ids, remembered, lasting), names))
     groups = partitions_for(pieces.count(), group)
     # The place of a row in what was written tells equal rows apart, so that thousands of them don't make one group.
     dealt = pieces.select(F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)).alias("part"), "*")

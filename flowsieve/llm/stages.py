@@ -71,5 +71,6 @@ def mixing_stage(docs: DataFrame) -> DataFrame:
 
 def packing_stage(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Token sequences of at most 2048: a row for each piece of a document, as op2 has them. A null or empty text is its end alone; rows that
-    are there several times are packed as often, a null doc_id stays null; an empty table gives no rows."""
-    return pack(docs, tokenizer)
+    are there several times are packed as often, a null doc_id stays null; an empty table gives no rows. Workers of a pipeline have other stages to serve, so that they remember
+    fewer pieces of text and nothing beyond a task."""
+    return pack(docs, tokenizer, remembered=250_000, lasting=False)

@@ -34,7 +34,7 @@ from .kernels import Prefix, mix, pack_ints, pack_sorted, shared_buckets, slices
 #: can't be cut below one gram.
 HOT, MANY = 64, 4096
 #: Anchors for a bucket of hashes, suffixes for a bucket of the sort, bytes of text or suffixes that a task gathers before it sends.
-HASHES, SUFFIXES, TEXT, RUN = 100_000, 16_384, 12 << 20, 32_768
+HASHES, SUFFIXES, TEXT, RUN = 300_000, 16_384, 12 << 20, 32_768
 _U = np.uint64
 
 
