@@ -46,16 +46,17 @@ def _star_step(edges: DataFrame) -> DataFrame:
     return small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("k", "m")).distinct()
 
 
-def components(links: DataFrame, per_task: int = LINKS_PER_TASK) -> DataFrame:
+def components(links: DataFrame, per_task: int = LINKS_PER_TASK, written: bool = False) -> DataFrame:
     """(node, component): component is the smallest node reachable; nodes without links don't appear.
 
-    links: two integer columns, in any order, repeats and self-links allowed; null ends are dropped.
+    links: two integer columns, in any order, repeats and self-links allowed; null ends are dropped. written: they come from a table, so that reading them twice costs little.
     Tasks of at most `per_task` links first reduce theirs to a forest, which never has more rows than
     links. If one task held them all, that is the answer; else star steps on the forests follow,
     each a few aggregations and joins, in O(log n) rounds. Hubs are safe: minima combine before the exchange,
     and the joins can be split by Spark. Nothing but two sums reaches the driver."""
     a, b = links.columns[:2]
-    links = cut(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null"))
+    links = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")
+    links = links if written else cut(links)
     parts = partitions_for(links.count(), per_task)
     forest = links.repartition(parts).mapInArrow(_forest, "node long, component long")
     if parts == 1:

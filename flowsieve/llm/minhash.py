@@ -299,7 +299,7 @@ def _crowds(rows: DataFrame, key: str) -> DataFrame:
 def _settled_regions(marked: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
     """(region, rep, component) of the regions that hold several components, each as deep as its crowd asks for."""
     kind = "region long, tree int, rep long, component long"
-    rows, done, length = cut(marked.mapInArrow(_regions(trees, depth, least), kind)), [], least
+    rows, done, length = marked.mapInArrow(_regions(trees, depth, least), kind), [], least
     while True:
         crowds = cut(_crowds(rows, "region"))
         over = crowds.where(F.col("outside") > PROBES) if length < min(DEEPEST, trees * depth) else crowds.limit(0)
@@ -315,8 +315,7 @@ def _deal(rows: DataFrame, key: str, payload: str) -> DataFrame:
     """Rows (key, rep, component, payload) of keys with several components, as blocks: what lies outside a key's largest component, the
     probes, against all of its rows, BLOCK by BLOCK at most in expectation."""
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    # Written, so that Spark may split the rows of a crowd in the join.
-    mixed = cut(_crowds(rows, key)).select(F.col(key).alias("__key"), blocks(F.col("size")).alias("mbs"), blocks(F.col("outside")).alias("pbs"), F.col("top").alias("__top"))
+    mixed = _crowds(rows, key).select(F.col(key).alias("__key"), blocks(F.col("size")).alias("mbs"), blocks(F.col("outside")).alias("pbs"), F.col("top").alias("__top"))
     rows = rows.join(mixed, F.col(key) == F.col("__key"))
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -391,7 +390,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, tre
         return both.select("a", "za", "b", "zb").mapInArrow(_confirm(size, percent), "a long, b long")
 
     links = cut(confirmed(first))
-    labels = components(links)
+    labels = components(links, written=True)
 
     # What is left: links across components. Regions that hold several say which components may be near each other,
     # and in clusters of these every document outside the largest is held against all.
@@ -402,7 +401,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, tre
     near = components(_deal(places.join(low, "rep"), "region", "low").mapInArrow(_likely(share), "a long, b long"))
     clusters = cut(marked.select("rep", "component").join(near.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component"))
     texts = clusters.join(blobs.select(F.col("doc_id").alias("rep"), "z"), "rep").select("cluster", "rep", "component", "z")
-    large = cut(_crowds(clusters, "cluster").where(F.col("outside") > PROBES).select("cluster"))
+    large = _crowds(clusters, "cluster").where(F.col("outside") > PROBES).select("cluster")
     if not large.isEmpty():
         rare = _by_rare_shingles(cut(texts.join(large, "cluster", "left_semi")), size, percent)
         texts = texts.join(large, "cluster", "left_anti").unionByName(rare)

@@ -499,7 +499,7 @@ def _copies(meta: DataFrame, length: int) -> DataFrame:
     either side of it is written, so that Spark may split the rows of a text that is very common."""
     long = meta.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull())
     firsts = cut(long.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("sha").alias("same"), "first"))
-    return cut(cut(long.join(firsts, F.col("sha") == F.col("same")).where("doc_id > first").select("doc_id", "n_bytes")).distinct())
+    return cut(long.join(firsts, F.col("sha") == F.col("same")).where("doc_id > first").select("doc_id", "n_bytes").distinct())
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, meta: DataFrame | None = None, hot: int = HOT) -> DataFrame:
