@@ -29,7 +29,7 @@ def without_zeros(sql):
     return out
 
 
-@pytest.mark.parametrize("name", ["early_features", "timebin_summary"])
+@pytest.mark.parametrize("name", ["early_features", "timebin_summary", "timebin_anomaly"])
 def test_zero_sums_have_no_entropy(spark, zeros, name):
     same(spark, zeros, name, QUERIES, {name: without_zeros(ORACLE_SQL[name])})
     plain = rows(connect(zeros).sql(ORACLE_SQL[name]).df())
