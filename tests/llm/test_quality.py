@@ -80,3 +80,27 @@ def test_odd_text_of_a_small_language_goes(spark, monkeypatch):
         monkeypatch.setattr(q, "MAX_LANGUAGES", most)
         kept = {r.doc_id: r.kept for r in q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id <= 40").collect()}
         assert [i for i, k in kept.items() if not k] == [40]
+
+
+def crowd(most=8):
+    """Documents of `most` languages, each with its own words, and documents without a language: of each of their words, odd ones and a text without words."""
+    rng = random.Random(5)
+    texts = {f"l{i}": prose(rng, rng.sample("abcdefghijklmnopqrstuvwxyz", 7)) for i in range(most)}
+    rows = [(text(), lang) for lang, text in texts.items() for _ in range(30)]
+    rows += [(text(), None) for text in texts.values()] + [(prose(rng, "#$%&*<>|")(), None), (prose(rng, "ㄱㄴㄷㄹㅁ")(), None), (" ", None), (texts["l0"]() + " " + texts["l1"](), None)]
+    return [(i, t, lang) for i, (t, lang) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_documents_without_a_language_are_held_against_every_reference(spark, monkeypatch, most):
+    rows = crowd()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    monkeypatch.setattr(q, "COMMON", 1_000_000)
+    plain = {r.doc_id: r for r in q.quality(docs).collect()}
+    monkeypatch.setattr(q, "MAX_LANGUAGES", most)
+    got = {r.doc_id: r for r in q.quality(docs).collect()}
+    assert got == plain
+    want = brute.quality_verdicts(rows)
+    assert {i: r.kept for i, r in got.items()} == want
+    odd = [i for i, _, lang in rows if lang is None and not want[i]]
+    assert len(odd) >= 2 and any(got[i].n_words >= 80 and not got[i].base_failed for i in odd)
