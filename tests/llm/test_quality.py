@@ -104,3 +104,14 @@ def test_documents_without_a_language_are_held_against_every_reference(spark, mo
     assert {i: r.kept for i, r in got.items()} == want
     odd = [i for i, _, lang in rows if lang is None and not want[i]]
     assert len(odd) >= 2 and any(got[i].n_words >= 80 and not got[i].base_failed for i in odd)
+
+
+def test_kept_rows_do_not_depend_on_how_many_references_are_held(spark, monkeypatch):
+    from flowsieve.llm import stages
+
+    docs = spark.createDataFrame([(i, t, lang, i) for i, t, lang in crowd()], "doc_id long, text string, lang string, n long").repartition(3)
+    want = sorted(stages.quality_stage(docs).collect(), key=lambda r: r.n)
+    assert 2 <= docs.count() - len(want) < 10
+    for most in (1, 3):
+        monkeypatch.setattr(q, "MAX_LANGUAGES", most)
+        assert sorted(stages.quality_stage(docs).collect(), key=lambda r: r.n) == want
