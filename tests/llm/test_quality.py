@@ -115,3 +115,18 @@ def test_kept_rows_do_not_depend_on_how_many_references_are_held(spark, monkeypa
     for most in (1, 3):
         monkeypatch.setattr(q, "MAX_LANGUAGES", most)
         assert sorted(stages.quality_stage(docs).collect(), key=lambda r: r.n) == want
+
+
+def test_one_language_more_than_are_held_changes_no_other_row(spark):
+    from flowsieve.llm import stages
+
+    rows = crowd()
+    rows += [(len(rows) + i, f"{i}a {i}b", f"m{i}") for i in range(q.MAX_LANGUAGES - 8)]
+
+    def kept(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+        return sorted(r.doc_id for r in stages.quality_stage(docs).collect())
+
+    few = kept(rows)
+    assert sum(1 for i, t, lang in rows if lang is None and len(t.split()) >= 80 and i not in few) >= 2
+    assert kept([*rows, (len(rows), "one more", "one")]) == few
