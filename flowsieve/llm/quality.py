@@ -290,8 +290,8 @@ def _sums(refs: dict, classes: np.ndarray, doc: np.ndarray, key: np.ndarray, sha
         cell = np.repeat(doc[i:j] - a, n) * size + refs["of"][entry]
         p, q = np.repeat(share[i:j], n), refs["shares"][entry]
         met = np.bincount(cell, p, (b - a) * size).reshape(b - a, size)
-        words = np.bincount(cell, terms(p, q) - q, (b - a) * size).reshape(b - a, size)
-        words += refs["known"] + terms(np.maximum(1 - met, 0), refs["rest"])
+        words = np.bincount(cell, terms(p, q) - q, (b - a) * size).reshape(b - a, size)  # of integers where no word is shared
+        words = words + (refs["known"] + terms(np.maximum(1 - met, 0), refs["rest"]))
         kinds = terms(classes[a:b, None, :], refs["classes"][None]).sum(2)
         out[a:b] = np.sqrt(np.clip(kinds / 2, 0, 1)) + np.sqrt(np.clip(words / 2, 0, 1))
         a = b

@@ -130,3 +130,16 @@ def test_one_language_more_than_are_held_changes_no_other_row(spark):
     few = kept(rows)
     assert sum(1 for i, t, lang in rows if lang is None and len(t.split()) >= 80 and i not in few) >= 2
     assert kept([*rows, (len(rows), "one more", "one")]) == few
+
+
+@pytest.mark.parametrize("most", [1, 256])
+def test_a_document_without_a_language_may_share_no_word_with_a_reference(spark, monkeypatch, most):
+    monkeypatch.setattr(q, "MAX_LANGUAGES", most)
+    rng = random.Random(6)
+    rows = [(text(), lang) for lang, text in (("en", prose(rng, LETTERS["en"])), ("ru", prose(rng, LETTERS["ru"]))) for i in range(8)]
+    rows += [(" ".join(f"c{j} c{j}" for j in range(q.COMMON)), None), (" ".join(f"r{j}" for j in range(90)), None)]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(rows)]
+    alone = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in q.quality(alone).collect()}
+    assert len(got) == len(rows) and got[len(rows) - 1].n_words == 90 and 0 < got[len(rows) - 1].word_distance <= 1
+    assert {i: r.kept for i, r in got.items()} == brute.quality_verdicts(rows)
